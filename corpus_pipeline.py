@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import language, packing
+from tidegate.llm import decontaminate, language, neardup, packing, pii
 from tidegate.llm.base import materialise, table
 
 
@@ -19,12 +19,47 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each class of near duplicates the document of least doc_id, once; a document without words is in no class."""
+    classes = neardup.near_duplicates(docs)
+    others = materialise(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-near")
+    kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])) if repeats(docs) else kept
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in several rows."""
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak an item of the benchmark."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = materialise(leaks.select("doc_id").distinct(), "pipeline-leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars follows the new text."""
+    clean = pii.redact(docs, pii.learn(docs))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into training sequences; a row for each piece."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("language_id", identify_language), ("packing", pack_sequences)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", remove_leaks),
+    ("pii", redact_pii),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot express the stages; the tests hold them against brute force.
 ORACLE_SQL = None

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.base import materialise, table
+from tidegate.llm.base import let, materialise, table
 
 WINDOW, SHARE = 5, 0.8
 #: Words, not placeholders, that a window must hold to be a key.
@@ -59,8 +59,8 @@ def token_codes(found: Column) -> Column:
 
 def window_codes(codes: Column, size: int = WINDOW) -> Column:
     """A hash for each window; none in a text of fewer tokens."""
-    n = F.size(codes)
-    return F.when(n < size, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(codes, i + j) for j in range(size)])))
+    none = F.array().cast("array<bigint>")
+    return let(codes, lambda c: F.when(F.size(c) < size, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(size)]))))
 
 
 def item_windows(items: DataFrame, item_key: str, text: str, size: int = WINDOW) -> DataFrame:

@@ -5,7 +5,7 @@ secrets, account numbers) are judged by labelers that vote for, against or not a
 words before a span. Expectation-maximisation over the counts of vote patterns in the whole corpus estimates how
 reliable each labeler is, with the base spans as known positives; the resulting probabilities train the final
 classifier of spans, a logistic regression over votes and kinds. Base spans always stay; a candidate stays where the
-classifier gives it one half or more and it overlaps no base span.
+classifier gives it one half or more, its check sum (if its kind has one) is right, and it overlaps no base span.
 
 DataFrame functions only. Positions come from splitting a text at the matches of a pattern. Vote patterns are bounded
 by the labelers (three votes each), so what is fitted does not grow with the corpus; applying the classifier needs no
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.base import table
+from tidegate.llm.base import let, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban")
@@ -53,13 +53,14 @@ CONTEXT = {
 AGAINST = "page|pages|version|isbn|issn|doi|figure|fig|chapter|section|order|invoice|sku|part|commit|sha|sha1|md5|hash|checksum|digest"
 CONTEXT_CHARS = 32
 ROUNDS = 40
+#: Where the estimates start, and the votes' worth of data that draws them there.
+START_RIGHT, START_SHARE, PULL = 0.8, 0.3, 20.0
 
 LABELERS = ("shape", "checksum", "gazetteer", "context", "against", "edges")
 
 
 def spans_of(text: Column, pattern: str) -> Column:
     """The matches of a pattern in order: start, end (code points, end exclusive), value, the characters before and the one after."""
-    found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
     row = "struct<start:int,end:int,value:string,before:string,after:string>"
     none = F.array().cast(f"array<{row}>")
     state = F.struct(F.lit(0).cast("int").alias("at"), none.alias("spans"))
@@ -71,8 +72,12 @@ def spans_of(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), after.alias("after")).cast(row)
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    steps = F.transform(found, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, state, step, lambda acc: acc["spans"]))
+    def placed(found: Column, gaps: Column) -> Column:
+        steps = F.transform(found, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
+        return F.aggregate(steps, state, step, lambda acc: acc["spans"])
+
+    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return let(matches, lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))))
 
 
 def digits(value: Column) -> Column:
@@ -102,15 +107,20 @@ def passes(kind: str, value: Column) -> Column:
 NEEDED = {"email": "@", "phone": "+"}
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>"
+
+
+def kind_spans(text: Column, kind: str) -> Column:
+    """The spans of a base kind that pass its check."""
+    rank = BASE_KINDS.index(kind)
+    kept = F.filter(spans_of(text, PATTERNS[kind]), lambda s: passes(kind, s["value"]))
+    named = F.transform(kept, lambda s: F.struct(s["start"], F.lit(rank), s["end"], F.lit(kind), s["value"], s["before"], s["after"]).cast(SPAN))
+    return F.when(F.contains(text, F.lit(NEEDED[kind])), named).otherwise(F.array().cast(f"array<{SPAN}>")) if kind in NEEDED else named
+
+
 def base_spans(text: Column) -> Column:
     """All base spans with their kind, by start and then kind as listed."""
-    parts = []
-    for rank, kind in enumerate(BASE_KINDS):
-        found = spans_of(text, PATTERNS[kind])
-        kept = F.filter(found, lambda s, kind=kind: passes(kind, s["value"]))
-        named = F.transform(kept, lambda s, rank=rank, kind=kind: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")))
-        parts.append(F.when(F.contains(text, F.lit(NEEDED[kind])), named).otherwise(F.filter(named, lambda _: F.lit(False))) if kind in NEEDED else named)
-    return F.array_sort(F.concat(*parts))
+    return F.array_sort(F.concat(*[kind_spans(text, kind) for kind in BASE_KINDS]))
 
 
 def loose_spans(text: Column) -> Column:
@@ -120,7 +130,7 @@ def loose_spans(text: Column) -> Column:
         v = s["value"]
         kind = F.when(F.rlike(v, F.lit("^[0-9a-f]{32,64}$")), "secret").when(F.rlike(v, F.lit(r"[\[(]\x20?at\x20?[\])]")), "email").when(F.rlike(v, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), "ssn").when(F.rlike(v, F.lit("^[A-Z]{2}[0-9]{2}")), "iban").when(F.length(digits(v)) == 10, "phone").otherwise("card")
         rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), kind)
-        return F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), kind.alias("kind"), v.alias("value"), s["before"].alias("before"), s["after"].alias("after"))
+        return F.struct(s["start"], rank, s["end"], kind, v, s["before"], s["after"]).cast(SPAN)
 
     return F.transform(spans_of(text, LOOSE), named)
 
@@ -164,32 +174,25 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit_classifier(patterns: list[tuple[bool, str, tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[str, float]:
     """Weights of the span classifier from counted vote patterns (known, kind, votes, count).
 
-    Expectation-maximisation: each labeler has a chance of each vote for real and for false spans, each kind a share
-    of real ones among its candidates; known spans are real. Then logistic regression on the probabilities.
+    Expectation-maximisation: each labeler that votes is right with a chance of its own, an abstention tells nothing,
+    and each kind has a share of real ones among its candidates; known spans are real. Both start from, and are drawn
+    to, the values below. Then logistic regression on the probabilities.
     """
-    chance = {True: [{1: 0.6, 0: 0.35, -1: 0.05} for _ in LABELERS], False: [{1: 0.2, 0: 0.4, -1: 0.4} for _ in LABELERS]}
-    prior = {k: 0.3 for k in KINDS}
+    right = dict.fromkeys(LABELERS, START_RIGHT)
+    share = dict.fromkeys(KINDS, START_SHARE)
     real: list[float] = []
     for _ in range(rounds):
         real = []
         for known, kind, vote, _n in patterns:
-            if known:
-                real.append(1.0)
-                continue
-            a = math.log(prior[kind]) + sum(math.log(chance[True][i][v]) for i, v in enumerate(vote))
-            b = math.log(1 - prior[kind]) + sum(math.log(chance[False][i][v]) for i, v in enumerate(vote))
-            real.append(1 / (1 + math.exp(min(50.0, b - a))))
-        for side in (True, False):
-            for i in range(len(LABELERS)):
-                base = {1: 0.6, 0: 0.35, -1: 0.05} if side else {1: 0.2, 0: 0.4, -1: 0.4}
-                sums = {v: 20.0 * base[v] for v in (1, 0, -1)}
-                for p, (_, _, vote, n) in zip(real, patterns, strict=True):
-                    sums[vote[i]] += n * (p if side else 1 - p)
-                total = sum(sums.values())
-                chance[side][i] = {v: x / total for v, x in sums.items()}
+            odds = math.log(share[kind] / (1 - share[kind])) + sum(v * math.log(right[x] / (1 - right[x])) for x, v in zip(LABELERS, vote, strict=True))
+            real.append(1.0 if known else 1 / (1 + math.exp(max(-50.0, min(50.0, -odds)))))
+        for i, x in enumerate(LABELERS):
+            cast = [(p if vote[i] > 0 else 1 - p, n) for p, (_, _, vote, n) in zip(real, patterns, strict=True) if vote[i]]
+            right[x] = min(0.99, (PULL * START_RIGHT + sum(p * n for p, n in cast)) / (PULL + sum(n for _, n in cast)))
+            right[x] = max(0.55, right[x])
         for kind in KINDS:
             mine = [(p, n) for p, (known, k, _, n) in zip(real, patterns, strict=True) if k == kind and not known]
-            prior[kind] = min(0.9, max(0.05, (3.0 + sum(p * n for p, n in mine)) / (10.0 + sum(n for _, n in mine))))
+            share[kind] = min(0.9, max(0.1, (PULL * START_SHARE + sum(p * n for p, n in mine)) / (PULL + sum(n for _, n in mine))))
     names = ["bias", *KINDS, *(f"{x}:{v}" for x in LABELERS for v in (1, -1))]
     place = {x: i for i, x in enumerate(names)}
     rows = [([0, place[kind], *(place[f"{x}:{v}"] for x, v in zip(LABELERS, vote, strict=True) if v)], p, n) for p, (_, kind, vote, n) in zip(real, patterns, strict=True)]
@@ -221,9 +224,9 @@ def chance_of(s: Column, weights: dict[str, float]) -> Column:
 def with_spans(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
     """``docs`` with pii_base and pii_spans: arrays of (start, rank, end, kind), by start and then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    plain = lambda spans: F.transform(spans, lambda s: F.struct("start", "rank", "end", "kind") if False else F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")]))
     rows = docs.withColumns({"pii_base": plain(base_spans(body)), "pii_loose": loose_spans(body)})
-    extra = F.filter("pii_loose", lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (chance_of(s, weights) >= 0.5))
+    extra = F.filter("pii_loose", lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (votes(s)["checksum"] >= 0) & (chance_of(s, weights) >= 0.5))
     return rows.withColumn("pii_spans", F.array_sort(F.concat("pii_base", plain(extra)))).drop("pii_loose")
 
 
@@ -250,7 +253,8 @@ def scan_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     A null or empty text has no span. Repeated rows and equal keys are scanned each by itself.
     """
     rows = with_spans(docs.select(key, text), learn(docs, text), text)
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in BASE_KINDS]
     return rows.select(key, *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tidegate.llm import digests, language, licenses, packing, warc
+from tidegate.llm import decontaminate, digests, language, licenses, neardup, packing, pii, preferences, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_template_decontamination": decontaminate.op3_template_decontamination,
     "op4_language_id": language.op4_language_id,
     "op5_bucket_digest": digests.op5_bucket_digest,
+    "op6_weak_pii": pii.op6_weak_pii,
+    "op7_order_minhash": neardup.op7_order_minhash,
+    "op8_preference_format": preferences.op8_preference_format,
     "op9_vector_packing": packing.op9_vector_packing,
+    "op10_line_crf": quality.op10_line_crf,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE, "op2_license_scan": licenses.oracle()}
+ORACLES = {"op1_warc": warc.ORACLE, "op2_license_scan": licenses.oracle(), "op8_preference_format": preferences.ORACLE}
