@@ -82,9 +82,20 @@ def test_ranges_and_asof(spark):
     ips = spark.createDataFrame([(1, 168427777), (2, 168428033), (3, 5)], "pkt_id long, src_ip long")
     got = joins.join_networks(ips, joins.networks(spark)).orderBy("pkt_id").select("net_class").collect()
     assert [r[0] for r in got] == ["baseline", "attack", "other"]
-    events = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, ts int")
-    marks = spark.createDataFrame([("a", 3), ("a", 5), ("b", 10)], "k string, ts int")
-    assert sorted((r["k"], r["ts"], r["mark_ts"]) for r in joins.asof_first_before(events, marks, "k").collect()) == sorted([("a", 5, 5), ("a", 1, None), ("b", 9, None)], key=str)
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    events = spark.createDataFrame([("a", day(5)), ("a", day(1)), ("b", day(9)), ("a", day(8))], "k string, ts timestamp_ntz")
+    marks = spark.createDataFrame([("a", day(3)), ("a", day(5)), ("a", day(5, 1)), ("b", day(10))], "k string, ts timestamp_ntz")
+    got = {(r["k"], r["ts"]): r["mark_ts"] for r in joins.asof_before(events, marks, "k").collect()}
+    assert got == {("a", day(5)): day(5), ("a", day(1)): None, ("b", day(9)): None, ("a", day(8)): day(5, 1)}
+
+
+def test_split_lag_is_lag(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(400).select(F.col("id"), (F.col("id") * 37 % 101).alias("t"), (F.col("id") % 3).alias("k"))
+    plain = rows.withColumn("p", F.lag("id").over(Window.partitionBy("k").orderBy("t", "id")))
+    cut = series.split_lag(rows, "k", ("t", "id"), "id", F.floor(F.col("t") / 10), "p")
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, cut.select("id", "t", "k", "p").collect()), key=str)
 
 
 def test_counter_goes_backwards(spark):

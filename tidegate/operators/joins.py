@@ -38,13 +38,21 @@ def limits_table(spark: SparkSession, limits: dict[tuple[str, str], int]) -> Dat
     return spark.createDataFrame([(n, m, v) for (n, m), v in limits.items()], "net_class string, metric string, limit_n long")
 
 
-def asof_first_before(events: DataFrame, marks: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+def asof_before(events: DataFrame, marks: DataFrame, key: str, ts: str = "ts", bucket: str = "day") -> DataFrame:
     """Each event with the last mark of its key at or before it (mark_ts), null without one.
 
-    Both sides are united and a running ``last`` picks the mark: one shuffle by key, no pairs.
+    Both sides are united and a running ``last`` picks the mark, so no pairs are made. A key is split by time buckets
+    (a unit of date_trunc), so that a hot key is dealt to many tasks; a bucket without an earlier mark takes the last
+    one of the buckets before, from a table of one row for each key and bucket.
     """
     from pyspark.sql import Window
 
-    both = events.withColumn("mark", F.lit(None).cast(dict(marks.dtypes)[ts])).withColumn("is_event", F.lit(1)).unionByName(marks.select(key, ts, c(ts).alias("mark"), F.lit(0).alias("is_event")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(ts, "is_event").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("mark_ts", F.last("mark", ignorenulls=True).over(w)).where("is_event = 1").drop("mark", "is_event")
+    kind = dict(marks.select(ts).dtypes)[ts]
+    old = events.withColumns({"mark_": F.lit(None).cast(kind), "event_": F.lit(1)})
+    both = old.unionByName(marks.select(key, ts, c(ts).alias("mark_"), F.lit(0).alias("event_")), allowMissingColumns=True).withColumn("bucket_", F.date_trunc(bucket, ts))
+    inside = Window.partitionBy(key, "bucket_").orderBy(ts, "event_").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy(key, "bucket_").agg(F.max("mark_").alias("end_"))
+    earlier = Window.partitionBy(key).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(key, "bucket_", F.max("end_").over(earlier).alias("end_"))
+    seen = both.withColumn("near_", F.last("mark_", ignorenulls=True).over(inside)).join(before, [key, "bucket_"])
+    return seen.where("event_ = 1").withColumn("mark_ts", F.coalesce("near_", "end_")).drop("mark_", "event_", "bucket_", "near_", "end_")

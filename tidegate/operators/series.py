@@ -32,6 +32,21 @@ def sliding_stats(rows: DataFrame, columns: dict[str, tuple[str, ...]], keys, or
     return rows.withColumns({**stats, "rows_seen": F.count("*").over(w)}).where(c("rows_seen") == length).drop("rows_seen")
 
 
+def split_lag(rows: DataFrame, key: str, order: tuple[str, ...], value: str, bucket: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the value of the row before it in its key's order, null for the first.
+
+    A key is split by time buckets, so that a key with a great share of the rows is dealt to many tasks. The first row
+    of a bucket takes the last value of the bucket before, from a table of one row for each key and bucket. ``bucket``
+    must grow with the first column of ``order``.
+    """
+    cut = rows.withColumn("bucket_", bucket)
+    inside = Window.partitionBy(key, "bucket_").orderBy(*order)
+    ends = cut.groupBy(key, "bucket_").agg(F.max_by(value, F.struct(*order)).alias("end_"))
+    before = ends.select(key, "bucket_", F.lag("end_").over(Window.partitionBy(key).orderBy("bucket_")).alias("end_"))
+    seen = cut.withColumns({"lag_": F.lag(value).over(inside), "place_": F.row_number().over(inside)}).join(before, [key, "bucket_"])
+    return seen.withColumn(name, F.when(c("place_") == 1, c("end_")).otherwise(c("lag_"))).drop("bucket_", "end_", "lag_", "place_")
+
+
 def rescale_time(packets: DataFrame, factor: float) -> DataFrame:
     """Packets with ``us``: their time in microseconds, moved towards the first packet by a factor."""
     first = packets.agg(F.min("ts").alias("first_ts"))

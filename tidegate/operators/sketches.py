@@ -28,6 +28,16 @@ def hash_sql(key: str, row: int, salt: int = 12345) -> str:
     return f"((({key} % {PRIME}) * {FACTORS[row]} % {PRIME} + {salt * (row + 1)}) % {PRIME})"
 
 
+def fifth_power(x: Column) -> Column:
+    """x^5 modulo PRIME: a permutation that is not linear, so that evenly spaced keys are not spread evenly."""
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
+def fifth_power_sql(x: str) -> str:
+    return f"(((({x} * {x}) % {PRIME}) * (({x} * {x}) % {PRIME})) % {PRIME} * {x} % {PRIME})"
+
+
 def cms_build(rows: DataFrame, key: str, depth: int = 4, width: int = 2048, weight: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells (row, bucket, cnt) of a count-min sketch, for each of ``keys`` if given. A null key is not counted."""
     cells = F.array(*[F.struct(F.lit(i).alias("row"), (row_hash(c(key), i) % width).alias("bucket")) for i in range(depth)])
@@ -52,7 +62,7 @@ def cms_merge(*sketches: DataFrame) -> DataFrame:
 
 def hll_registers(rows: DataFrame, key: str, bits: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """Registers (idx, rho): the most leading zeros plus one among hashes of 31 - bits remaining bits."""
-    h = row_hash(row_hash(c(key), 0), 4) % (1 << 31)
+    h = row_hash(fifth_power(row_hash(c(key), 0)), 4) % (1 << 31)
     rest = 31 - bits
     low = h.bitwiseAND((1 << rest) - 1)
     rho = F.when(low == 0, rest + 1).otherwise(rest - F.length(F.bin(low)) + 1)

@@ -70,7 +70,7 @@ def dim_phases(spark, sf):
 @query("join_asof_attack", sql("""SELECT d.pkt_id, epoch_us(d.ts) - epoch_us(max(a.ts)) AS since_us FROM packets d LEFT JOIN packets a ON a.src_ip = d.src_ip AND a.ts <= d.ts AND a.tcp_flags & 2 <> 0 WHERE d.proto = 17 GROUP BY d.pkt_id, d.ts"""))
 def join_asof_attack(spark, sf):
     p = packets(spark, sf)
-    rows = J.asof_first_before(p.where(c("proto") == T.UDP).select("pkt_id", "src_ip", "ts"), p.where(T.has_flag(c("tcp_flags"), T.SYN)).select("src_ip", "ts"), "src_ip")
+    rows = J.asof_before(p.where(c("proto") == T.UDP).select("pkt_id", "src_ip", "ts"), p.where(T.has_flag(c("tcp_flags"), T.SYN)).select("src_ip", "ts"), "src_ip")
     micros = lambda x: F.unix_micros(c(x).cast("timestamp"))
     return rows.select("pkt_id", (micros("ts") - micros("mark_ts")).alias("since_us"))
 

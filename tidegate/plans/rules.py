@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tidegate.functions import traffic as T
 from tidegate.operators import counters as K
 from tidegate.operators import rules as R
+from tidegate.operators import series as S
 from tidegate.plans.registry import query
-from tidegate.sources.tables import http_requests, packets, snapshots, sql
+from tidegate.sources.tables import http_requests, packets, sql
 
 c = F.col
 DAY = "1 day"
-SNAP = ("packets", "snapshots")
 
 
 def daily(spark, sf):
@@ -177,10 +177,8 @@ for _name, (_severity, _condition, _text) in QUIC_RULES.items():
 
 @query("rule_quic_jumps", sql("SELECT w, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, count(*) FILTER (WHERE jump > 1000) > 3 AS fired FROM (SELECT w, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17) s GROUP BY w"))
 def rule_quic_jumps(spark, sf):
-    from pyspark.sql import Window
-
-    o = Window.partitionBy("src_ip").orderBy("ts", "pkt_id")
-    rows = packets(spark, sf).where(c("proto") == T.UDP).select("ts", (c("pkt_id") - F.lag("pkt_id").over(o)).alias("jump"))
+    udp = packets(spark, sf).where(c("proto") == T.UDP)
+    rows = S.split_lag(udp, "src_ip", ("ts", "pkt_id"), "pkt_id", F.date_trunc("day", "ts"), "before").select("ts", (c("pkt_id") - c("before")).alias("jump"))
     return rows.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(c("jump") > 1000).alias("jumps")).withColumn("fired", c("jumps") > 3)
 
 

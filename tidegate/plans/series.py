@@ -48,9 +48,8 @@ def win_relative_time(spark, sf):
 
 @query("win_inter_arrival", sql("SELECT pkt_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id))) / 1e6, 6) AS gap FROM packets"))
 def win_inter_arrival(spark, sf):
-    o = Window.partitionBy("src_ip").orderBy("ts", "pkt_id")
-    micros = F.unix_micros(c("ts").cast("timestamp"))
-    return packets(spark, sf).select("pkt_id", F.round((micros - F.lag(micros).over(o)) / 1e6, 6).alias("gap"))
+    rows = packets(spark, sf).withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
+    return S.split_lag(rows, "src_ip", ("ts", "pkt_id"), "us", F.date_trunc("day", "ts"), "before").select("pkt_id", F.round((c("us") - c("before")) / 1e6, 6).alias("gap"))
 
 
 #: The detector of the series fixtures: a day is detected where its share of attack packets is above a quarter.
@@ -107,8 +106,8 @@ def win_ack_rate(spark, sf):
 
 @query("win_pktnum_jump", sql("SELECT src_ip, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, CAST(max(jump) AS BIGINT) AS max_jump FROM (SELECT src_ip, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17) s GROUP BY src_ip"))
 def win_pktnum_jump(spark, sf):
-    o = Window.partitionBy("src_ip").orderBy("ts", "pkt_id")
-    rows = packets(spark, sf).where(c("proto") == T.UDP).select("src_ip", (c("pkt_id") - F.lag("pkt_id").over(o)).alias("jump"))
+    udp = packets(spark, sf).where(c("proto") == T.UDP)
+    rows = S.split_lag(udp, "src_ip", ("ts", "pkt_id"), "pkt_id", F.date_trunc("day", "ts"), "before").select("src_ip", (c("pkt_id") - c("before")).alias("jump"))
     return rows.groupBy("src_ip").agg(T.count_where(c("jump") > 1000).alias("jumps"), F.max("jump").alias("max_jump"))
 
 

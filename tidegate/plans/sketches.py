@@ -61,7 +61,7 @@ def sketch_sampled_estimate(spark, sf):
 
 
 BITS = 10
-HLL_HASH = f"({S.hash_sql(S.hash_sql('src_ip', 0), 4)} % 2147483648)"
+HLL_HASH = f"({S.hash_sql(S.fifth_power_sql(S.hash_sql('src_ip', 0)), 4)} % 2147483648)"
 HLL_SQL = f"SELECT h >> 21 AS idx, CAST(max(CASE WHEN h & 2097151 = 0 THEN 22 ELSE 21 - length(ltrim(bin(h & 2097151), '0')) + 1 END) AS INT) AS rho FROM (SELECT {HLL_HASH} AS h FROM packets) x GROUP BY 1"
 
 
