@@ -1,75 +1,30 @@
-"""What the operators share: reading tables, the shared scratch folder, cutting lineage."""
+"""What the operators share: reading tables, bounded batches, values bound once."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python. Small, so that a batch of very long texts still fits a worker.
-BATCH_ROWS = 256
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus; only Spark opens the path, so any store that Spark reads will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tidegate.sources.packages import ship
+from tidegate.sources.storage import materialise, scratch, shared_dir
+from tidegate.sources.tables import table
 
+__all__ = ["BATCH_ROWS", "let", "materialise", "scratch", "shared_dir", "ship", "small_batches", "table"]
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, as --py-files would."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{top.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
+#: Rows in an Arrow batch sent to Python. Small, so that a batch of very long texts still fits a worker.
+BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch for the Python stages of this session, and send them the package."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
+    if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` and lambdas within it use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet under the shared folder and read it back: the lineage ends there and an executor's loss costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
