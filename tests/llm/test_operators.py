@@ -63,7 +63,7 @@ def test_against_sql(spark, duck, name):
 def test_warc_edges(spark):
     big = "é" * 600
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "!")], "page_id long, url string, html string")
-    index = warc.archive(pages, frame_bytes=500) if False else warc.write_bundles(warc.plan_records(pages), warc.scratch(spark, "t"), frame_bytes=500, bundle_bytes=900)
+    index = warc.write_bundles(warc.plan_records(pages), warc.scratch(spark, "t"), frame_bytes=500, bundle_bytes=900)
     got = {r["key"]: r for r in warc.read_bundles(index, frames_a_task=1).collect()}
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
     assert got[1]["payload_bytes"] == 1200 and got[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and got[5]["payload_bytes"] == 0

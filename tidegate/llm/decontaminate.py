@@ -57,6 +57,20 @@ def token_codes(found: Column) -> Column:
     return F.transform(found, lambda t: F.when(is_slot(t), F.xxhash64(F.substring(t, 1, 2))).otherwise(F.xxhash64(t)))
 
 
+def literal_codes(found: Column) -> Column:
+    """``token_codes`` with names taken as words: where a text stands in the middle of a sentence, a word that opened one looks like a name."""
+    name = lambda t: F.startswith(t, F.lit(_OPEN + "a"))
+    word = lambda t: F.regexp_replace(t, f"^{_OPEN}a|{_SHUT}$", "")
+    return F.transform(found, lambda t: F.when(name(t), F.xxhash64(word(t))).when(is_slot(t), F.xxhash64(F.substring(t, 1, 2))).otherwise(F.xxhash64(t)))
+
+
+def document_windows(found: Column, size: int = WINDOW) -> Column:
+    """All different windows of a document, with names as slots and, if it has names, as words."""
+    both = lambda t: F.array_union(window_codes(token_codes(t), size), window_codes(literal_codes(t), size))
+    has_name = lambda t: F.exists(t, lambda x: F.startswith(x, F.lit(_OPEN + "a")))
+    return let(found, lambda t: F.when(has_name(t), both(t)).otherwise(F.array_distinct(window_codes(token_codes(t), size))))
+
+
 def window_codes(codes: Column, size: int = WINDOW) -> Column:
     """A hash for each window; none in a text of fewer tokens."""
     none = F.array().cast("array<bigint>")
@@ -77,7 +91,7 @@ def find_candidates(docs: DataFrame, windows: DataFrame, key: str, text: str, sh
     totals = keys.groupBy("item").agg(F.count("*").alias("windows"))
     small = keys.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
-    seen = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(window_codes(token_codes(tokens(F.col(text))), size))).alias("code"))
+    seen = docs.select(F.col(key).alias("doc"), F.explode(document_windows(tokens(F.col(text)), size)).alias("code"))
     hits = seen.join(hint(keys), "code").distinct().groupBy("doc", "item").agg(F.count("*").alias("n"))
     return hits.join(hint(totals), "item").where(F.col("n") >= F.ceil(F.col("windows") * share - 1e-9)).select("doc", "item", (F.col("n") / F.col("windows")).alias("share"))
 
