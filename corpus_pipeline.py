@@ -27,7 +27,11 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     classes = neardup.near_duplicates(docs)
     others = materialise(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-near")
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])) if repeats(docs) else kept
+    if not repeats(docs):
+        return kept
+    # Of the rows of one doc_id the one of least text stays; rows without a doc_id all stay.
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), *COLUMNS[1:])).alias("x"))
+    return kept.where("doc_id IS NULL").union(one.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in COLUMNS[1:]]))
 
 
 def repeats(docs: DataFrame) -> bool:
