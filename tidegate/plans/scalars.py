@@ -142,12 +142,20 @@ def fn_diurnal_factor(spark, sf):
     return packets(spark, sf).select("pkt_id", F.round(T.diurnal_factor(F.hour("ts")), 6).alias("factor"))
 
 
-@query("proj_quic_valid", sql("SELECT pkt_id, CASE pkt_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS valid, CASE pkt_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'none' END AS header FROM packets WHERE proto = 17"))
+@query("proj_quic_valid", sql("SELECT pkt_id, pkt_id % 3 < 2 AS valid FROM packets WHERE proto = 17"))
 def proj_quic_valid(spark, sf):
     from tidegate.functions import quic as Q
 
     rows = Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP))
-    return rows.select("pkt_id", Q.is_valid(c("payload")).alias("valid"), Q.header_kind(c("payload")).alias("header"))
+    return rows.select("pkt_id", Q.is_valid(c("payload")).alias("valid"))
+
+
+@query("proj_quic_header", sql("SELECT pkt_id, CASE pkt_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'none' END AS header FROM packets WHERE proto = 17"))
+def proj_quic_header(spark, sf):
+    from tidegate.functions import quic as Q
+
+    rows = Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP))
+    return rows.select("pkt_id", Q.header_kind(c("payload")).alias("header"))
 
 
 @query("fn_quic_acks", sql("SELECT pkt_id, CAST(CASE WHEN pkt_id % 3 < 2 THEN 1 ELSE 0 END AS BIGINT) AS acks, CASE WHEN pkt_id % 3 < 2 THEN pkt_id END AS largest FROM packets WHERE proto = 17"))
