@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import textarrays as ta
-from tidegate.llm.base import small_batches, table
+from tidegate.llm.base import materialise, small_batches, table
 
 #: Most documents of each language that the classifiers are fitted on (in expectation; a hash decides).
 SAMPLE_PER_LANG = 3000
+#: Languages at most; more are an error, not cut off.
+MOST_LANGS = 1000
 HASH_BITS, ORDERS = 15, (2, 3, 4)
 #: A gap in probability between the best and the second language below which a text counts as ambiguous.
 AMBIGUOUS_GAP = 0.2
@@ -126,10 +128,14 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, key: str, lang: str, per_lang: int) -> DataFrame:
     """Labelled rows, about ``per_lang`` of each language at most, chosen by a hash of the key."""
     labelled = docs.where(F.col(lang).isNotNull())
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("n"))
-    share = counts.select(F.col(lang).alias("share_lang"), F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")).alias("share"))
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not counts:
+        return labelled
+    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))]), F.col(lang))
     luck = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(share, F.col(lang) == F.col("share_lang")).where(luck < F.col("share"))
+    return labelled.where(luck < share)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Ecoc | None:
@@ -138,7 +144,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     What reaches the driver is a count for each language and n-gram bucket and the margins of the sample.
     """
     small_batches(docs.sparkSession)
-    rows = sample(docs, key, lang, per_lang).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).coalesce(8)
+    rows = sample(docs, key, lang, per_lang).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = materialise(rows, "language-sample").coalesce(8)  # a bounded number of texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
