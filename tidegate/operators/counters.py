@@ -16,7 +16,12 @@ c = F.col
 
 
 def window_start(width: str = "1 second", ts: str = "ts") -> Column:
-    return F.date_format(F.window(ts, width)["start"], "yyyy-MM-dd HH:mm:ss")
+    return F.window(ts, width)["start"]
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Aggregated rows with the start of their window as text; packets are grouped by the time itself."""
+    return rows.withColumn("w", F.date_format("w", "yyyy-MM-dd HH:mm:ss"))
 
 
 def counter_columns() -> dict[str, Column]:
@@ -38,12 +43,12 @@ def counter_columns() -> dict[str, Column]:
 def window_counters(packets: DataFrame, width: str = "1 second", keys: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each window (and key) with its counters; ``w`` is the window's start."""
     found = counter_columns()
-    return packets.groupBy(window_start(width).alias("w"), *keys).agg(*[found[x].alias(x) for x in only or found])
+    return packets.groupBy(window_start(width).alias("w"), *keys).agg(*[found[x].alias(x) for x in only or found]).transform(named)
 
 
 def key_counts(packets: DataFrame, key: str, width: str = "1 second") -> DataFrame:
     """(window, key, n); rows without the key are left out."""
-    return packets.where(c(key).isNotNull()).groupBy(window_start(width).alias("w"), c(key).alias("key")).agg(F.count("*").alias("n"))
+    return packets.where(c(key).isNotNull()).groupBy(window_start(width).alias("w"), c(key).alias("key")).agg(F.count("*").alias("n")).transform(named)
 
 
 def entropy(counts: DataFrame, name: str, distinct: str) -> DataFrame:
@@ -54,7 +59,7 @@ def entropy(counts: DataFrame, name: str, distinct: str) -> DataFrame:
 
 def feature_rows(packets: DataFrame, width: str = "1 second", seconds: float = 1.0) -> DataFrame:
     """The feature row of each window: rates, ratios, size statistics, entropies, distinct counts."""
-    sizes = packets.groupBy(window_start(width).alias("w")).agg(*[v.alias(k) for k, v in counter_columns().items()], F.avg("pkt_len").alias("mean"), F.stddev_pop("pkt_len").alias("std"))
+    sizes = packets.groupBy(window_start(width).alias("w")).agg(*[v.alias(k) for k, v in counter_columns().items()], F.avg("pkt_len").alias("mean"), F.stddev_pop("pkt_len").alias("std")).transform(named)
     src = entropy(key_counts(packets, "src_ip", width), "entropy_src_ip", "unique_src_ips")
     dst = entropy(key_counts(packets, "dst_port", width), "entropy_dst_port", "unique_dst_ports")
     rows = sizes.join(src, "w", "left").join(dst, "w", "left")
@@ -71,7 +76,7 @@ def feature_rows(packets: DataFrame, width: str = "1 second", seconds: float = 1
 
 def class_totals(packets: DataFrame, width: str = "1 second", seconds: float = 1.0) -> DataFrame:
     """Packets, bytes, Gbps and share of packets of each network class and window."""
-    by = packets.groupBy(window_start(width).alias("w"), T.network_class(c("src_ip")).alias("net_class")).agg(F.count("*").alias("packets"), F.sum("pkt_len").alias("bytes"))
+    by = packets.groupBy(window_start(width).alias("w"), T.network_class(c("src_ip")).alias("net_class")).agg(F.count("*").alias("packets"), F.sum("pkt_len").alias("bytes")).transform(named)
     whole = by.groupBy("w").agg(F.sum("packets").alias("all_packets"))
     return by.join(whole, "w").select("w", "net_class", "packets", "bytes", F.round(c("bytes") * 8 / 1e9 / seconds, 9).alias("gbps"), F.round(100 * c("packets") / c("all_packets"), 6).alias("percent"))
 
@@ -86,11 +91,11 @@ def protocol_shares(packets: DataFrame) -> DataFrame:
 def quic_counters(packets: DataFrame, width: str = "5 seconds") -> DataFrame:
     """Per window: QUIC packets, bytes to and from the server, their ratio."""
     quic = packets.where(T.service_name(c("proto"), c("src_port"), c("dst_port")) == "quic").withColumn("dir", T.direction(c("dst_port")))
-    rows = quic.groupBy(window_start(width).alias("w")).agg(F.count("*").alias("packets"), F.sum(F.when(c("dir") == "in", c("pkt_len")).otherwise(0)).alias("bytes_in"), F.sum(F.when(c("dir") == "out", c("pkt_len")).otherwise(0)).alias("bytes_out"))
+    rows = quic.groupBy(window_start(width).alias("w")).agg(F.count("*").alias("packets"), F.sum(F.when(c("dir") == "in", c("pkt_len")).otherwise(0)).alias("bytes_in"), F.sum(F.when(c("dir") == "out", c("pkt_len")).otherwise(0)).alias("bytes_out")).transform(named)
     return rows.withColumn("out_in_ratio", T.ratio(c("bytes_out"), c("bytes_in")))
 
 
 def acks_per_source(packets: DataFrame, width: str = "5 seconds", heavy: int = 5000) -> DataFrame:
     """Per window: sources that acknowledge, the most of one, and those above ``heavy``."""
-    by = packets.where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(window_start(width).alias("w"), "src_ip").agg(F.count("*").alias("n"))
+    by = packets.where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(window_start(width).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(named)
     return by.groupBy("w").agg(F.count("*").alias("ack_ips"), F.max("n").alias("max_acks"), T.count_where(c("n") > heavy).alias("heavy_ackers"))

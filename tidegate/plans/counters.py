@@ -43,7 +43,7 @@ def agg_frag_small_ratio(spark, sf):
 
 @query("agg_size_stats", sql("SELECT w, round(avg(pkt_len), 6) AS avg_len, min(pkt_len) AS min_len, max(pkt_len) AS max_len, round(stddev_pop(pkt_len), 6) AS std_len FROM packets GROUP BY w"))
 def agg_size_stats(spark, sf):
-    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(F.round(F.avg("pkt_len"), 6).alias("avg_len"), F.min("pkt_len").alias("min_len"), F.max("pkt_len").alias("max_len"), F.round(F.stddev_pop("pkt_len"), 6).alias("std_len"))
+    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(F.round(F.avg("pkt_len"), 6).alias("avg_len"), F.min("pkt_len").alias("min_len"), F.max("pkt_len").alias("max_len"), F.round(F.stddev_pop("pkt_len"), 6).alias("std_len")).transform(K.named)
 
 
 FEATURES = f"""SELECT k.w, round(bytes * 8 / 1e9 / 86400, 9) AS gbps, round(packets / 86400.0::DOUBLE, 6) AS pps, avg_pkt_size, std_dev,
@@ -88,7 +88,7 @@ def agg_attack_counters(spark, sf):
 def agg_per_ip(spark, sf):
     names = ("packets", "bytes", "tcp", "udp", "icmp", "syn", "pure_ack", "http", "dns", "frag")
     found = K.counter_columns()
-    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(*[found[x].alias(x) for x in names], F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(*[found[x].alias(x) for x in names], F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen")).transform(K.named)
 
 
 @query("agg_active_ips", sql("SELECT w, count(DISTINCT src_ip) AS active_ips FROM packets GROUP BY w"))
@@ -100,7 +100,7 @@ def agg_active_ips(spark, sf):
   CAST(count(*) FILTER (WHERE payload NOT LIKE 'GET %' AND payload NOT LIKE 'POST %') AS BIGINT) AS other_n, round(100.0::DOUBLE * count(*) FILTER (WHERE payload LIKE 'GET %') / count(*), 6) AS get_pct FROM http_requests GROUP BY w""", "packets", "http_requests"))
 def agg_http_methods(spark, sf):
     m = T.request_method(c("payload"))
-    rows = http_requests(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(m == "GET").alias("get_n"), T.count_where(m == "POST").alias("post_n"), T.count_where(~m.isin("GET", "POST")).alias("other_n"), F.count("*").alias("n"))
+    rows = http_requests(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(m == "GET").alias("get_n"), T.count_where(m == "POST").alias("post_n"), T.count_where(~m.isin("GET", "POST")).alias("other_n"), F.count("*").alias("n")).transform(K.named)
     return rows.select("w", "get_n", "post_n", "other_n", F.round(100 * c("get_n") / c("n"), 6).alias("get_pct"))
 
 
@@ -143,7 +143,7 @@ def agg_protocol_shares(spark, sf):
 
 @query("agg_dataset_stats", sql("SELECT src_ip, CAST(count(*) AS BIGINT) AS packets, CAST(sum(pkt_len) AS BIGINT) AS bytes, count(DISTINCT w) AS sessions, round(count(*) / count(DISTINCT w)::DOUBLE, 6) AS packets_per_session FROM packets GROUP BY src_ip"))
 def agg_dataset_stats(spark, sf):
-    daily = packets(spark, sf).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b"))
+    daily = packets(spark, sf).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b")).transform(K.named)
     return daily.groupBy("src_ip").agg(F.sum("n").alias("packets"), F.sum("b").alias("bytes"), F.count("*").alias("sessions")).withColumn("packets_per_session", F.round(c("packets") / c("sessions"), 6))
 
 

@@ -100,6 +100,6 @@ def anti_new_ips(spark, sf):
   (SELECT w, count(*) AS n FROM packets WHERE net = 'baseline' GROUP BY w) a FULL JOIN (SELECT w, count(*) AS n FROM packets WHERE net = 'attack' GROUP BY w) b ON a.w = b.w"""))
 def join_compare_runs(spark, sf):
     p = packets(spark, sf).withColumn("net", T.network_class(c("src_ip")))
-    of = lambda net: p.where(c("net") == net).groupBy(K.window_start(DAY).alias("w")).agg(F.count("*").alias(net))
+    of = lambda net: p.where(c("net") == net).groupBy(K.window_start(DAY).alias("w")).agg(F.count("*").alias(net)).transform(K.named)
     zero = lambda x: F.coalesce(c(x), F.lit(0))
     return of("baseline").join(of("attack"), "w", "full").select("w", zero("baseline").alias("baseline"), zero("attack").alias("attack"), (zero("attack") - zero("baseline")).alias("diff"))

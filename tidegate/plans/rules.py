@@ -114,7 +114,7 @@ def http_windows(spark, sf):
     total = rows.groupBy("w").agg(F.count("*").alias("packets"), T.count_where(c("net") == "attack").alias("attack"), T.count_where(c("m") == "GET").alias("gets"), T.count_where(odd).alias("odd_agents"))
     paths = rows.groupBy("w", "path").agg(F.count("*").alias("n")).groupBy("w").agg(F.max("n").alias("top_n"))
     sources = rows.groupBy("w", "src_ip").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("ips"), F.max("n").alias("top_ip"), T.count_where(c("n") > 1).alias("heavy"))
-    return total.join(paths, "w").join(sources, "w")
+    return total.join(paths, "w").join(sources, "w").transform(K.named)
 
 
 HTTP_RULES = {
@@ -149,8 +149,8 @@ QUIC_SQL = f"""(SELECT q.*, top_ip, heavy FROM (SELECT w, count(*) AS packets, c
 def quic_windows(spark, sf):
     quic = packets(spark, sf).where(T.service_name(c("proto"), c("src_port"), c("dst_port")) == "quic")
     rows = K.quic_counters(packets(spark, sf), DAY)
-    attack = quic.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(T.network_class(c("src_ip")) == "attack").alias("attack"))
-    sources = quic.groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n")).groupBy("w").agg(F.max("n").alias("top_ip"), T.count_where(c("n") > 1).alias("heavy"))
+    attack = quic.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(T.network_class(c("src_ip")) == "attack").alias("attack")).transform(K.named)
+    sources = quic.groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(K.named).groupBy("w").agg(F.max("n").alias("top_ip"), T.count_where(c("n") > 1).alias("heavy"))
     return rows.join(attack, "w").join(sources, "w")
 
 
@@ -179,12 +179,12 @@ for _name, (_severity, _condition, _text) in QUIC_RULES.items():
 def rule_quic_jumps(spark, sf):
     udp = packets(spark, sf).where(c("proto") == T.UDP)
     rows = S.split_lag(udp, "src_ip", ("ts", "pkt_id"), "pkt_id", F.date_trunc("day", "ts"), "before").select("ts", (c("pkt_id") - c("before")).alias("jump"))
-    return rows.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(c("jump") > 1000).alias("jumps")).withColumn("fired", c("jumps") > 3)
+    return rows.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(c("jump") > 1000).alias("jumps")).transform(K.named).withColumn("fired", c("jumps") > 3)
 
 
 @query("rule_quic_bursts", sql("SELECT w, CAST(count(*) FILTER (WHERE n > 2) AS BIGINT) AS bursts, count(*) FILTER (WHERE n > 2) > 10 AS fired FROM (SELECT w, src_ip, count(*) AS n FROM packets WHERE tcp_flags & 16 <> 0 GROUP BY w, src_ip) s GROUP BY w"))
 def rule_quic_bursts(spark, sf):
-    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n"))
+    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(K.named)
     return rows.groupBy("w").agg(T.count_where(c("n") > 2).alias("bursts")).withColumn("fired", c("bursts") > 10)
 
 

@@ -221,7 +221,7 @@ def dist_extract(spark, sf):
 def replay_report(spark, sf):
     """A report written as CSV (a row for each file sent) and summed up when read."""
     path = scratch(spark, "replay")
-    rows = packets(spark, sf).groupBy(T.network_class(c("src_ip")).alias("run_id"), K.window_start("1 day").alias("w")).agg(F.count("*").alias("packets_sent"))
+    rows = packets(spark, sf).groupBy(T.network_class(c("src_ip")).alias("run_id"), K.window_start("1 day").alias("w")).agg(F.count("*").alias("packets_sent")).transform(K.named)
     rows.withColumn("status", F.when(c("packets_sent") >= 80, "OK").otherwise("FAILED")).write.csv(path, header=True)
     back = spark.read.schema("run_id string, w string, packets_sent long, status string").csv(path, header=True)
     return back.groupBy("run_id").agg(F.count("*").alias("files"), F.sum("packets_sent").alias("packets"), F.count_if(c("status") == "OK").alias("ok"), F.count_if(c("status") == "FAILED").alias("failed"))

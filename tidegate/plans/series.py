@@ -113,7 +113,7 @@ def win_pktnum_jump(spark, sf):
 
 @query("win_ack_burst", sql("SELECT src_ip, count(*) AS bursts FROM (SELECT src_ip, w, count(*) AS n FROM packets WHERE tcp_flags & 16 <> 0 GROUP BY src_ip, w HAVING count(*) > 2) s GROUP BY src_ip"))
 def win_ack_burst(spark, sf):
-    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n"))
+    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n")).transform(K.named)
     return rows.where("n > 2").groupBy("src_ip").agg(F.count("*").alias("bursts"))
 
 

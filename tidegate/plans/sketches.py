@@ -42,7 +42,7 @@ def cms_merge(spark, sf):
 
 @query("cms_window_reset", sql(cms_sql("w")))
 def cms_window_reset(spark, sf):
-    return S.cms_build(packets(spark, sf).withColumn("w", K.window_start(DAY)), "src_ip", DEPTH, WIDTH, keys=("w",))
+    return S.cms_build(packets(spark, sf).withColumn("w", K.window_start(DAY)), "src_ip", DEPTH, WIDTH, keys=("w",)).transform(K.named)
 
 
 @query("cms_error", sql("SELECT src_ip, count(*) AS exact, true AS never_under, true AS within_bound FROM packets GROUP BY src_ip"))
@@ -57,7 +57,7 @@ def cms_error(spark, sf):
 @query("sketch_sampled_estimate", sql("SELECT w, CAST(count(*) FILTER (WHERE pkt_id % 4 = 0) * 4 AS BIGINT) AS est_packets, CAST(coalesce(sum(pkt_len) FILTER (WHERE pkt_id % 4 = 0), 0) * 4 AS BIGINT) AS est_bytes, count(*) AS exact FROM packets GROUP BY w"))
 def sketch_sampled_estimate(spark, sf):
     kept = c("pkt_id") % 4 == 0
-    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg((T.count_where(kept) * 4).alias("est_packets"), (F.sum(F.when(kept, c("pkt_len")).otherwise(0)) * 4).alias("est_bytes"), F.count("*").alias("exact"))
+    return packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg((T.count_where(kept) * 4).alias("est_packets"), (F.sum(F.when(kept, c("pkt_len")).otherwise(0)) * 4).alias("est_bytes"), F.count("*").alias("exact")).transform(K.named)
 
 
 BITS = 10
@@ -80,7 +80,7 @@ def hll_estimate(spark, sf):
 
 @query("hll_distinct", sql("SELECT w, count(DISTINCT src_ip) AS exact, true AS within_bound FROM packets GROUP BY w"))
 def hll_distinct(spark, sf):
-    rows = packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_estimate(F.hll_sketch_agg("src_ip", F.lit(12))).alias("estimate"))
+    rows = packets(spark, sf).groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_estimate(F.hll_sketch_agg("src_ip", F.lit(12))).alias("estimate")).transform(K.named)
     exact = K.key_counts(packets(spark, sf), "src_ip", DAY).groupBy("w").agg(F.count("*").alias("exact"))
     return rows.join(exact, "w").select("w", "exact", (F.abs(c("estimate") - c("exact")) <= F.greatest(F.lit(2), c("exact") * 0.05)).alias("within_bound"))
 
@@ -89,7 +89,7 @@ def hll_distinct(spark, sf):
 def hll_running_distinct(spark, sf):
     p = packets(spark, sf)
     o = Window.partitionBy("sensor").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    daily = p.groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_agg("src_ip", F.lit(12)).alias("sketch")).withColumn("sensor", F.lit("s1"))
+    daily = p.groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_agg("src_ip", F.lit(12)).alias("sketch")).transform(K.named).withColumn("sensor", F.lit("s1"))
     est = daily.select("w", F.hll_sketch_estimate(F.hll_union_agg("sketch").over(o)).alias("estimate"))
     first = p.groupBy("src_ip").agg(F.min(F.date_trunc("day", "ts")).alias("d")).groupBy(F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("w")).agg(F.count("*").alias("n"))
     exact = daily.select("w", "sensor").join(first, "w", "left").select("w", F.sum(F.coalesce("n", F.lit(0))).over(o).alias("exact"))
@@ -119,12 +119,12 @@ def heavy_hitter_count(spark, sf):
 @query("unique_ip_count", sql("SELECT f AS w, count(*) AS new_ips FROM (SELECT src_ip, min(w) AS f FROM packets GROUP BY src_ip) s GROUP BY f"))
 def unique_ip_count(spark, sf):
     first = packets(spark, sf).groupBy("src_ip").agg(F.min("ts").alias("ts"))
-    return first.groupBy(K.window_start(DAY).alias("w")).agg(F.count("*").alias("new_ips"))
+    return first.groupBy(K.window_start(DAY).alias("w")).agg(F.count("*").alias("new_ips")).transform(K.named)
 
 
 @query("top_url", sql("SELECT w, arg_max(path, (n, path)) AS path, CAST(max(n) AS BIGINT) AS n, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM (SELECT w, left(split_part(payload, ' ', 2), 255) AS path, count(*) AS n FROM http_requests GROUP BY 1, 2) s GROUP BY w", "packets", "http_requests"))
 def top_url(spark, sf):
-    rows = http_requests(spark, sf).groupBy(K.window_start(DAY).alias("w"), T.request_path(c("payload")).alias("path")).agg(F.count("*").alias("n"))
+    rows = http_requests(spark, sf).groupBy(K.window_start(DAY).alias("w"), T.request_path(c("payload")).alias("path")).agg(F.count("*").alias("n")).transform(K.named)
     return rows.groupBy("w").agg(F.max_by("path", F.struct("n", "path")).alias("path"), F.max("n").alias("n"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
 
 
