@@ -251,6 +251,52 @@ def test_large_group_of_near_copies(spark):
     assert neardup.candidate_pairs(texts).count() < 300 * 60  # not the 44,850 pairs of the group
 
 
+def test_hub_of_unlike_copies(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1200):
+        w = list(base)
+        for at in rng.sample(range(20), 3):  # three blocks of 5%: 0.85 like the base, about 0.7 like each other
+            w[at * 10 : at * 10 + 10] = [f"v{rng.randint(0, 10**8)}" for _ in range(10)]
+        rows.append((i, " ".join(w)))
+    got = collections.Counter(r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    words = {k: WORD.findall(t) for k, t in rows}
+    sketched = {r["key"]: r["buckets"] for r in neardup.sketch_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", neardup.SKETCHES, neardup.ORDERED).collect()}
+    met = [k for k in words if any(x == y for x, y in zip(sketched[k], sketched[5000]))]  # the base itself and all copies that share a bucket with it
+    assert len(met) > 1150 and got[0] >= len(met)
+
+
+def test_blocks_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(150):
+        shared = [f"s{j}" for j in range(30)]
+        own = [f"g{i % 40}x{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 14)):
+            own[rng.randint(0, 59)] = f"v{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(shared + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = neardup.materialise(neardup.sketch_texts(docs, "doc_id", "text", neardup.SKETCHES, neardup.ORDERED), "t").cache()
+    members = neardup.large_buckets(texts).withColumn("class", F.col("key"))
+    pairs = neardup.candidate_pairs(texts)
+    links = {(r["a"], r["b"]) for r in neardup.block_links(members, texts, docs, "doc_id", "text").union(neardup.verify(pairs, docs, "doc_id", "text").select("a", "b")).collect()}
+    words = {k: [hash(x) for x in t.split()] for k, t in rows}
+    assert members.count() and all(neardup.similarity(words[a], words[b]) > 0 for a, b in links)
+    buckets = {r["key"]: r["buckets"] for r in texts.collect()}
+    parent = {k: k for k in words}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    alike = {(a, b) for a in words for b in range(a + 1, len(words)) if any(x == y for x, y in zip(buckets[a], buckets[b])) and neardup.similarity(words[a], words[b]) > 0}
+    assert alike and all(root(a) == root(b) for a, b in alike)
+
+
 def test_classes_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r["id"]: r["class"] for r in neardup.classes(links).collect()}

@@ -11,7 +11,11 @@ Scale: equal rows of words are collapsed first by a partial aggregate, so copies
 sketch with more than PAIRWISE texts is divided by the next sketch, which near copies are likely to share and others
 are not; a part that is still as large is dealt into groups of about GROUP texts by a hash that differs from sketch to
 sketch. Small buckets and parts are compared pair by pair, a group with its first text, and the first of each part or
-group with the first of the bucket, so pairs grow with a bucket's size, not its square. Classes come from the links by alternating star steps, each of
+group with the first of the bucket, so these pairs grow with a bucket's size, not its square. What a large bucket then
+still holds in different classes is settled exactly: where many classes are left, its text of most links is compared
+with all others; then all pairs of different classes meet, block against block. Each block is read once for each other
+block, and bounds by common words and shingles spare most alignments, but the pairs of texts that stay unlike grow with
+the square of their bucket. Classes come from the links by alternating star steps, each of
 which is written to the shared folder. Nothing is collected to the driver but counts.
 """
 
@@ -32,6 +36,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 16, 2
 #: A bucket of up to so many texts is compared pair by pair; a larger one in groups of about GROUP.
 PAIRWISE, GROUP = 16, 8
+#: Texts, and words, of about a block of a large bucket.
+BLOCK, BLOCK_WORDS = 64, 200_000
 
 
 def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, ordered: int = ORDERED, seed: int = 1) -> np.ndarray:
@@ -243,6 +249,141 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
+def large_buckets(texts: DataFrame) -> DataFrame:
+    """sketch, bucket, key and words for each text of a bucket of more than PAIRWISE."""
+    spread = texts.select("key", "words", F.posexplode("buckets").alias("sketch", "bucket"))
+    large = materialise(spread.groupBy("sketch", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("sketch", "bucket"), "neardup-large")
+    return materialise(spread.join(large, ["sketch", "bucket"]), "neardup-members")
+
+
+def unsettled(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The members of large buckets that hold several classes, with their class."""
+    own = members.join(named.select(F.col("id").alias("key"), "class"), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    several = own.groupBy("sketch", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("sketch", "bucket")
+    return materialise(own.join(several, ["sketch", "bucket"]), "neardup-unsettled")
+
+
+def hub_pairs(members: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """In each bucket of more than PAIRWISE classes, the text of most links with all texts of other classes, unless compared already."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+    many = members.select("sketch", "bucket", "class").distinct().groupBy("sketch", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("sketch", "bucket")
+    held = members.join(many, ["sketch", "bucket"])
+    hubs = held.join(degree, "key").groupBy("sketch", "bucket").agg(F.max_by(F.struct("key", "class"), F.struct("degree", -F.col("key"))).alias("hub"))
+    found = held.join(hubs, ["sketch", "bucket"]).where(F.col("class") != F.col("hub.class")).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+    return found.join(pairs, ["a", "b"], "left_anti")
+
+
+def block_links(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that hold together all similar members of a bucket that are in different classes; every pair of them is compared or already joined by links."""
+    at = ["sketch", "bucket"]
+    amount = lambda c: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(c) / BLOCK_WORDS))
+    # A large class has blocks of its own, which need not meet each other; the texts of small classes share blocks.
+    sized = members.join(members.groupBy(*at, "class").agg(amount("words").alias("n")), [*at, "class"]).withColumn("name", F.when(F.col("n") > 1, F.col("class").cast("string")).otherwise("")).drop("n")
+    counts = sized.groupBy(*at, "name").agg(amount("words").alias("n"))
+    placed = materialise(sized.join(counts, [*at, "name"]).select(*at, "key", "class", "name", F.concat_ws(":", "name", F.pmod(F.xxhash64("key", "sketch"), F.col("n"))).alias("block")), "neardup-blocks")
+    blocks = placed.select(*at, "name", "block").distinct()
+    turns = blocks.withColumnRenamed("block", "first").join(blocks.select(*at, F.col("name").alias("other"), F.col("block").alias("second")), at).where((F.col("first") <= F.col("second")) & ((F.col("name") != F.col("other")) | (F.col("name") == ""))).select(*at, "first", "second")
+    side = lambda name, n: turns.join(placed.select(*at, "key", "class", F.col("block").alias(name)), [*at, name]).select(*at, "first", "second", F.lit(n).alias("side"), "key", "class")
+    meeting = side("first", 0).union(side("second", 1).where("first <> second"))
+    ids = placed.select(F.col("key").alias("id")).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = rows.join(texts.select(F.col("key").alias("id"), "buckets"), "id").withColumnRenamed("id", "key")
+    order = [*at, "first", "second"]
+    ready = meeting.join(rows, "key").select(*order, "side", "key", "class", "buckets", "text").repartition(*order).sortWithinPartitions(*order, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, Block(least)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 32):
+                b = whole.slice(lo, 32)
+                found: list[tuple[int, int]] = []
+                groups = list(zip(*[b.column(i).to_pylist() for i in range(4)], strict=True))
+                sides, keys, classes_ = (b.column(i).to_pylist() for i in (4, 5, 6))
+                buckets = np.array(b.column(7).to_pylist(), np.int64)
+                for i, (h, bag, grams) in enumerate(word_sets(b.column(8))):
+                    if groups[i] != now:
+                        now, block = groups[i], Block(least)
+                    sketch, _, first, second = now
+                    if sides[i] or first == second:
+                        found.extend(block.meet(keys[i], classes_[i], buckets[i], h, bag, grams, sketch))
+                    if not sides[i]:
+                        block.add(keys[i], classes_[i], buckets[i], h, bag, grams)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+    return ready.mapInArrow(run, "a long, b long").distinct()
+
+
+def word_sets(texts: pa.Array) -> Iterator[tuple[list[int], set[int], set[int]]]:
+    """The words of each text in a row, as a bag (words with their occurrence number), and its different shingles."""
+    raw, off = ta.utf8(pc.utf8_lower(pc.fill_null(texts, "")))
+    starts, ends, at = ta.words(raw, off)
+    h = ta.span_hashes(raw, starts, ends)
+    labels = occurrence_labels(h, np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at)))
+    grams, begin = ta.shingles(h, at, SHINGLE_WORDS)
+    for i in range(len(texts)):
+        yield h[at[i] : at[i + 1]].tolist(), set(labels[at[i] : at[i + 1]].tolist()), set(grams[begin[i] : begin[i + 1]].tolist())
+
+
+class Block:
+    """Texts of one block; others meet them one at a time. Texts that links join already are not compared again."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.held: list[tuple] = []
+        self.buckets: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def add(self, key: int, group: int, buckets: np.ndarray, *sets) -> None:
+        self.held.append((key, group, *sets))
+        self.buckets.append(buckets)
+
+    def meet(self, key: int, group: int, buckets: np.ndarray, h: list[int], bag: set[int], grams: set[int], sketch: int) -> Iterator[tuple[int, int]]:
+        if not self.held:
+            return
+        # A pair that shares an earlier bucket is compared there.
+        seen = (np.stack(self.buckets)[:, :sketch] == buckets[:sketch]).any(1).tolist()
+        for done, (other, its, h2, bag2, grams2) in zip(seen, self.held, strict=True):
+            if not done and self.root(group) != self.root(its) and self.alike(h, bag, grams, h2, bag2, grams2):
+                self.parent[self.root(group)] = self.root(its)
+                yield key, other
+
+    def alike(self, h: list[int], bag: set[int], grams: set[int], h2: list[int], bag2: set[int], grams2: set[int]) -> bool:
+        """As ``similarity`` above 0, with bounds first: the distance is at least the words that the longer text has alone."""
+        long, short = max(len(h), len(h2)), min(len(h), len(h2))
+        band = int((1 - self.least) * long + 1e-9)
+        if min(len(grams), len(grams2)) >= self.least * max(len(grams), len(grams2)) - 1e-9:
+            both = len(grams & grams2)
+            if both / max(1, len(grams) + len(grams2) - both) >= self.least:
+                return True
+        return long - short <= band and long - len(bag & bag2) <= band and banded_distance(h, h2, band) <= band
+
+
+def settled_classes(texts: DataFrame, pairs: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """``classes`` of the links and of all further links within large buckets."""
+    named = classes(links, "neardup-classes")
+    members = large_buckets(texts)
+    joined = lambda more: classes(named.select(F.col("id").alias("a"), F.col("class").alias("b")).union(more.select("a", "b")), "neardup-classes")
+    left = unsettled(members, named)
+    hubs = materialise(hub_pairs(left, links, pairs), "neardup-hubs")
+    if not hubs.isEmpty():
+        more = materialise(verify(hubs, docs, key, text, least), "neardup-links")
+        if not more.isEmpty():
+            named = joined(more)
+            left = unsettled(members, named)
+    if not left.isEmpty():
+        more = materialise(block_links(left, texts, docs, key, text, least), "neardup-links")
+        if not more.isEmpty():
+            named = joined(more)
+    return named
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
     """A row for each row of ``docs``: key, class_id (the least key of its class), same_as (the least key of an equal text).
 
@@ -256,7 +397,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     links = materialise(verify(pairs, docs, key, text, least), "neardup-links")
     # Rows of one key with different texts hold their classes together.
     shared = told.join(texts.where("n > 1").select("same", F.col("key").alias("first")), "same", "left").select("key", F.coalesce("first", "key").alias("same_as"))
-    named = classes(links, "neardup-classes")
+    named = settled_classes(texts, pairs, links, docs, key, text, least)
     out = shared.join(named.select(F.col("id").alias("same_as"), "class"), "same_as", "left").select("key", F.coalesce("class", "same_as").alias("class_id"), "same_as")
     lone = seen.where(F.col("same").isNull() | F.col("key").isNull()).select("key", F.col("key").alias("class_id"), F.col("key").alias("same_as"))
     return out.union(lone).withColumnRenamed("key", key)
