@@ -267,6 +267,16 @@ def test_hub_of_unlike_copies(spark):
     assert len(met) > 1150 and got[0] >= len(met)
 
 
+def test_repeated_passages(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(10):
+        lines = [" ".join(f"t{i}w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(4)]
+        rows += [(2 * i, " ".join(lines)), (2 * i + 1, " ".join(lines + lines[:3]))]  # Jaccard over 0.97, lengths 240 and 420
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_blocks_against_brute_force(spark):
     rng = random.Random(7)
     rows = []

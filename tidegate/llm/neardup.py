@@ -87,7 +87,7 @@ def occurrence_labels(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def sketch_texts(docs: DataFrame, key: str, text: str, sketches: int, ordered: int) -> DataFrame:
-    """key, words, same (a hash of the row of words, null without words) and a bucket key for each sketch."""
+    """key, words, grams (different shingles), same (a hash of the row of words, null without words) and a bucket key for each sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +99,15 @@ def sketch_texts(docs: DataFrame, key: str, text: str, sketches: int, ordered: i
                 h = ta.span_hashes(raw, starts, ends)
                 grams, begin = ta.shingles(h, at, SHINGLE_WORDS)
                 keys = order_sketches(grams, begin, sketches, ordered)
-                same = []
+                same, different = [], []
                 for i in range(hi - lo):
+                    different.append(len(np.unique(grams[begin[i] : begin[i + 1]])))
                     mine = h[at[i] : at[i + 1]]
                     same.append(whole_hash(mine) if len(mine) else None)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * sketches, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(same, pa.binary()), lists], ["key", "words", "same", "buckets"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(different, pa.int64()), pa.array(same, pa.binary()), lists], ["key", "words", "grams", "same", "buckets"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, words long, same binary, buckets array<long>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, words long, grams long, same binary, buckets array<long>")
 
 
 def whole_hash(h: np.ndarray) -> bytes:
@@ -118,19 +119,21 @@ def whole_hash(h: np.ndarray) -> bytes:
 
 
 def candidate_pairs(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs (a < b) of texts that share a bucket and whose lengths allow the similarity. ``texts``: key, words, buckets; one row for each different text."""
+    """Pairs (a < b) of texts that share a bucket and whose lengths or numbers of different shingles allow the similarity. ``texts``: key, words, grams, buckets; one row for each different text."""
     last = F.size("buckets")
     follow = F.get("buckets", (F.col("sketch") + 1) % last)
-    spread = texts.select("key", "words", "buckets", F.posexplode("buckets").alias("sketch", "bucket")).select("key", "words", "sketch", "bucket", follow.alias("next"))
-    sizes = spread.groupBy("sketch", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("key", "words")).alias("first")).where("n > 1")
+    spread = texts.select("key", "words", "grams", "buckets", F.posexplode("buckets").alias("sketch", "bucket")).select("key", "words", "grams", "sketch", "bucket", follow.alias("next"))
+    sizes = spread.groupBy("sketch", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("key", "words", "grams")).alias("first")).where("n > 1")
     held = spread.join(sizes, ["sketch", "bucket"])
-    small = held.where(F.col("n") <= PAIRWISE).select("sketch", "bucket", F.lit(None).cast("long").alias("next"), F.lit(-1).cast("long").alias("part"), "key", "words", "first")
+    small = held.where(F.col("n") <= PAIRWISE).select("sketch", "bucket", F.lit(None).cast("long").alias("next"), F.lit(-1).cast("long").alias("part"), "key", "words", "grams", "first")
     big = held.where(F.col("n") > PAIRWISE)
     subs = big.groupBy("sketch", "bucket", "next").agg(F.count("*").alias("m"))
     part = F.when(F.col("m") <= PAIRWISE, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("key", "sketch"), F.ceil(F.col("m") / GROUP)))
-    parts = big.join(subs, ["sketch", "bucket", "next"]).select("sketch", "bucket", "next", part.alias("part"), "key", "words", "first")
-    grouped = small.union(parts).groupBy("sketch", "bucket", "next", "part").agg(F.sort_array(F.collect_list(F.struct("key", "words"))).alias("all"), F.first("first").alias("first"))
-    fits = lambda x, y: F.abs(x["words"] - y["words"]) <= F.floor(F.greatest(x["words"], y["words"]) * (1 - least) + 1e-9)
+    parts = big.join(subs, ["sketch", "bucket", "next"]).select("sketch", "bucket", "next", part.alias("part"), "key", "words", "grams", "first")
+    grouped = small.union(parts).groupBy("sketch", "bucket", "next", "part").agg(F.sort_array(F.collect_list(F.struct("key", "words", "grams"))).alias("all"), F.first("first").alias("first"))
+    near = lambda x, y, c: F.abs(x[c] - y[c]) <= F.floor(F.greatest(x[c], y[c]) * (1 - least) + 1e-9)
+    # The edit distance bounds the lengths, the Jaccard similarity the numbers of different shingles alone.
+    fits = lambda x, y: near(x, y, "words") | near(x, y, "grams")
     pairs_of = lambda heads: F.flatten(F.transform(heads, lambda x: F.transform(F.filter("all", lambda y: (y["key"] > x["key"]) & fits(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
     # All pairs of a small bucket or part; a group of a large part is compared with its first text.
     within = grouped.select(F.explode(pairs_of(F.when(F.col("part") < 0, F.col("all")).otherwise(F.slice("all", 1, 1)))).alias("p")).select("p.a", "p.b")
@@ -392,7 +395,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """
     seen = materialise(sketch_texts(docs, key, text, sketches, ordered), "neardup-sketches")
     told = seen.where(F.col("same").isNotNull() & F.col("key").isNotNull())
-    texts = materialise(told.groupBy("same").agg(F.min_by(F.struct("words", "buckets"), "key").alias("x"), F.min("key").alias("key"), F.count("*").alias("n")).select("same", "key", "n", "x.words", "x.buckets"), "neardup-texts")
+    texts = materialise(told.groupBy("same").agg(F.min_by(F.struct("words", "grams", "buckets"), "key").alias("x"), F.min("key").alias("key"), F.count("*").alias("n")).select("same", "key", "n", "x.words", "x.grams", "x.buckets"), "neardup-texts")
     pairs = materialise(candidate_pairs(texts, least), "neardup-pairs")
     links = materialise(verify(pairs, docs, key, text, least), "neardup-links")
     # Rows of one key with different texts hold their classes together.
