@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_registry import rows_of
-from tidegate.llm import decontaminate, digests, language, licenses, neardup, packing, pii, preferences, quality, queries, warc
+from tidegate.llm import decontaminate, digests, language, licenses, packing, pii, preferences, quality, queries, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,27 +26,6 @@ EDGE = [
 ]
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet")
-
-
-@pytest.fixture(scope="module")
-def texts(docs):
-    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-
-
-@pytest.fixture(scope="module")
-def edge(spark):
-    # Names of extra columns that the operators use inside.
-    return spark.createDataFrame(EDGE, DOC).withColumns({x: F.lit("x") for x in ("key", "score", "doc", "item", "pair", "same", "words", "the_text")})
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], DOC)
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -199,120 +178,6 @@ def test_pii_adds_and_redacts(spark):
     assert got[1] == 'a token = "<SECRET>" and mail <EMAIL> now' and got[2] == "contact <EMAIL> please" and got[3] == "nothing at all" and got[4] is None and got[5].startswith("order 1234567890123456")
 
 
-def test_banded_distance():
-    rng = random.Random(1)
-    for _ in range(800):
-        a = [rng.randint(0, 5) for _ in range(rng.randint(0, 70))]
-        b = [x for x in a if rng.random() > 0.1]
-        for _ in range(rng.randint(0, 5)):
-            b.insert(rng.randint(0, len(b)), rng.randint(0, 5))
-        band = rng.randint(0, 20)
-        assert neardup.banded_distance(a, b, band) == min(neardup.plain_distance(a, b), band + 1)
-
-
-def test_near_duplicates(spark, docs, texts, edge, none):
-    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
-    words = {d: WORD.findall(t.lower()) for d, t in texts.items()}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, w in words.items()}
-    ids = sorted(words)
-    linked = [(a, b) for i, b in enumerate(ids) for a in ids[:i] if sets[a] & sets[b] and neardup.similarity([hash(x) for x in words[a]], [hash(x) for x in words[b]]) > 0]
-    parent = {d: d for d in ids}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in linked:
-        x, y = sorted((root(a), root(b)))
-        parent[y] = x
-    assert got == {d: root(d) for d in ids}
-    seen = collections.defaultdict(list)
-    for r in neardup.near_duplicates(edge).collect():
-        seen[r["class_id"]].append(r["doc_id"])
-    assert sorted(seen[5]) == [5, 6, 6] and seen[1] == [1] and seen[2] == [2] and seen[3] == [3] and sum(map(len, seen.values())) == len(EDGE)
-    assert neardup.near_duplicates(none).count() == 0
-
-
-def test_large_group_of_near_copies(spark):
-    rng = random.Random(2)
-    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
-    rows = []
-    for i in range(300):
-        w = list(base)
-        for _ in range(rng.randint(0, 4)):
-            w[rng.randint(0, 119)] = f"v{rng.randint(0, 10**6)}"
-        rows.append((i, " ".join(w)))
-    rows += [(1000 + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(120))) for i in range(50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = collections.Counter(r["class_id"] for r in neardup.near_duplicates(docs).collect())
-    assert got[0] == 300 and len(got) == 51
-    texts = neardup.sketch_texts(docs, "doc_id", "text", neardup.SKETCHES, neardup.ORDERED)
-    assert neardup.candidate_pairs(texts).count() < 300 * 60  # not the 44,850 pairs of the group
-
-
-def test_hub_of_unlike_copies(spark):
-    rng = random.Random(6)
-    base = [f"w{i}" for i in range(200)]
-    rows = [(5000, " ".join(base))]
-    for i in range(1200):
-        w = list(base)
-        for at in rng.sample(range(20), 3):  # three blocks of 5%: 0.85 like the base, about 0.7 like each other
-            w[at * 10 : at * 10 + 10] = [f"v{rng.randint(0, 10**8)}" for _ in range(10)]
-        rows.append((i, " ".join(w)))
-    got = collections.Counter(r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    words = {k: WORD.findall(t) for k, t in rows}
-    sketched = {r["key"]: r["buckets"] for r in neardup.sketch_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", neardup.SKETCHES, neardup.ORDERED).collect()}
-    met = [k for k in words if any(x == y for x, y in zip(sketched[k], sketched[5000]))]  # the base itself and all copies that share a bucket with it
-    assert len(met) > 1150 and got[0] >= len(met)
-
-
-def test_repeated_passages(spark):
-    rng = random.Random(8)
-    rows = []
-    for i in range(10):
-        lines = [" ".join(f"t{i}w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(4)]
-        rows += [(2 * i, " ".join(lines)), (2 * i + 1, " ".join(lines + lines[:3]))]  # Jaccard over 0.97, lengths 240 and 420
-    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {k: k - k % 2 for k, _ in rows}
-
-
-def test_blocks_against_brute_force(spark):
-    rng = random.Random(7)
-    rows = []
-    for i in range(150):
-        shared = [f"s{j}" for j in range(30)]
-        own = [f"g{i % 40}x{j}" for j in range(60)]
-        for _ in range(rng.randint(0, 14)):
-            own[rng.randint(0, 59)] = f"v{rng.randint(0, 10**6)}"
-        rows.append((i, " ".join(shared + own)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = neardup.materialise(neardup.sketch_texts(docs, "doc_id", "text", neardup.SKETCHES, neardup.ORDERED), "t").cache()
-    members = neardup.large_buckets(texts).withColumn("class", F.col("key"))
-    pairs = neardup.candidate_pairs(texts)
-    links = {(r["a"], r["b"]) for r in neardup.block_links(members, texts, docs, "doc_id", "text").union(neardup.verify(pairs, docs, "doc_id", "text").select("a", "b")).collect()}
-    words = {k: [hash(x) for x in t.split()] for k, t in rows}
-    assert members.count() and all(neardup.similarity(words[a], words[b]) > 0 for a, b in links)
-    buckets = {r["key"]: r["buckets"] for r in texts.collect()}
-    parent = {k: k for k in words}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        parent[root(a)] = root(b)
-    alike = {(a, b) for a in words for b in range(a + 1, len(words)) if any(x == y for x, y in zip(buckets[a], buckets[b])) and neardup.similarity(words[a], words[b]) > 0}
-    assert alike and all(root(a) == root(b) for a, b in alike)
-
-
-def test_classes_of_a_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)], "a long, b long")
-    got = {r["id"]: r["class"] for r in neardup.classes(links).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and got[150] == got[200] == 100
-
-
 def test_preferences(spark):
     t = "pair_id long, turn long, role string, text string"
     chosen = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", None), (3, 0, "user", "x"), (4, 0, "user", "only")], t)

@@ -2,25 +2,27 @@
 
 A text is its row of lower-case words. Its shingles (SHINGLE_WORDS words) are labelled with their occurrence number,
 so that a repeated shingle counts as often as it stands. Each of SKETCHES sketches takes the ORDERED shingles of
-least hash and keeps them in text order; texts that agree in a whole sketch are candidates, which is likely if their
+least hash and keeps them in text order; texts that agree in a whole sketch share a bucket, which is likely if their
 edit similarity is high and unlikely if only their sets of shingles are alike. A candidate pair is verified by the
 edit distance of the two rows of words within a band, and linked if 1 - distance / longer length is at least
-SIMILARITY; texts whose passages only moved are linked if the Jaccard similarity of their shingles is. Documents joined by links form a class, named by its smallest key.
-
-Scale: equal rows of words are collapsed first by a partial aggregate, so copies never form pairs. A bucket of a
-sketch with more than PAIRWISE texts is divided by the next sketch, which near copies are likely to share and others
-are not; a part that is still as large is dealt into groups of about GROUP texts by a hash that differs from sketch to
-sketch. Small buckets and parts are compared pair by pair, a group with its first text, and the first of each part or
-group with the first of the bucket, so these pairs grow with a bucket's size, not its square. What a large bucket then
-still holds in different classes is settled exactly: where many classes are left, its text of most links is compared
-with all others; then all pairs of different classes meet, block against block. Each block is read once for each other
-block, and bounds by common words and shingles spare most alignments, but the pairs of texts that stay unlike grow with
-the square of their bucket. Classes come from the links by alternating star steps, each of
-which is written to the shared folder. Nothing is collected to the driver but counts.
+SIMILARITY. Documents joined by links form a class, named by its smallest key.
+
+With SKETCHES sketches, a pair of similarity 0.8 whose changed words are scattered (the worst case: each breaks five
+shingles) shares a bucket in 0.92 of cases (120 words), one of 0.85 in 0.99.
+
+Scale. Equal rows of words are collapsed first by a partial aggregate, so copies never form pairs. In a bucket of up
+to PAIRWISE texts all pairs are compared. A larger bucket is first thinned: its texts are divided by their next
+sketch, small parts are compared pair by pair and larger ones with their first text, and then the text of most links
+meets the texts of other classes. Whatever such a bucket still holds in different classes is settled exactly, without
+regard to its size, by ``segment_pairs``: a join by rare pieces of text that every pair of the similarity must share.
+Classes come from the links by alternating star steps, each of which is written to the shared folder; a node, text or
+pair of texts with very many rows is joined apart from the others (``base.lookup``, ``attach``). Nothing is collected
+to the driver but counts and a table of SLOTS numbers.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import textarrays as ta
-from tidegate.llm.base import materialise, small_batches, table
+from tidegate.llm.base import lookup, materialise, small_batches, table
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-SKETCHES, ORDERED = 16, 2
-#: A bucket of up to so many texts is compared pair by pair; a larger one in groups of about GROUP.
-PAIRWISE, GROUP = 16, 8
-#: Texts, and words, of about a block of a large bucket.
-BLOCK, BLOCK_WORDS = 64, 200_000
+SKETCHES, ORDERED = 80, 2
+#: All pairs of a bucket of up to so many texts are compared at once.
+PAIRWISE = 16
+#: Of a text, shingles with a hash among about so many of the least are looked at first.
+LEAST_HASHES = 16
+#: Counters of the table that tells common pieces of text from rare ones.
+SLOTS = 1 << 18
+#: Key pieces that a similar text must hold; more spare comparisons and cost rows.
+MEET = 12
+#: Pairs that meet one copy of a text in a task.
+PAIRS_A_TEXT = 256
 
 
 def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, ordered: int = ORDERED, seed: int = 1) -> np.ndarray:
@@ -47,30 +55,53 @@ def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES,
     out = np.zeros((len(size), sketches), np.uint64)
     if not len(filled):
         return out
-    begin, count = at[filled], size[filled]
+    count = size[filled]
     owner = np.repeat(np.arange(len(filled), dtype=np.uint64), count)
     labelled = occurrence_labels(hashes, owner)
-    place = np.arange(len(hashes))
-    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # The least hashes of a text of n shingles are almost surely below LEAST_HASHES / n of the range; where they are not, all are looked at.
+    below = np.where(count > 2 * LEAST_HASHES, LEAST_HASHES / count, 1.0)
+    bound = np.repeat(np.minimum(below * 2.0**64, 2.0**64 - 2048).astype(np.uint64) | np.uint64(2047), count)
+    begins = np.concatenate(([0], np.cumsum(count)))
     for s in range(sketches):
-        x = ta.mix(labelled ^ ta.mix(np.array([seed * 1000 + s + 1], np.uint64)))
-        spots, values = [], []
-        for _ in range(ordered):
-            low = np.minimum.reduceat(x, begin)
-            same = x == np.repeat(low, count)
-            first = np.minimum.reduceat(np.where(same, place, len(place)), begin)
-            spots.append(np.where(low == most, len(place), first))
-            values.append(low)
-            x[first] = most
-        spots, values = np.stack(spots, 1), np.stack(values, 1)
-        values = np.take_along_axis(values, np.argsort(spots, 1, kind="stable"), 1)
-        key = np.full(len(filled), s + 1, np.uint64)
-        for j in range(ordered):
-            key = ta.mix(key * np.uint64(ta.BASE) + values[:, j])
-        out[filled, s] = key
+        x = permuted(labelled, seed * 1000 + s)
+        keep = np.flatnonzero(x <= bound)
+        begin = np.searchsorted(keep, begins)
+        out[filled, s] = least_in_order(x[keep], keep, begin, ordered, s)
+        short = np.flatnonzero(np.diff(begin) < np.minimum(ordered, count))
+        for i in short:
+            lo, hi = begins[i], begins[i + 1]
+            out[filled[i], s] = least_in_order(x[lo:hi], np.arange(lo, hi), np.array([0, hi - lo]), ordered, s)[0]
     return out
 
 
+def permuted(labelled: np.ndarray, number: int) -> np.ndarray:
+    """The hashes in another order for each number; they are mixed already, so one product will do."""
+    a, b = (int(v) for v in ta.mix(np.array([2 * number + 1, 2 * number + 2], np.uint64)))
+    return (labelled ^ np.uint64(a)) * np.uint64(b | 1)
+
+
+def least_in_order(x: np.ndarray, place: np.ndarray, begin: np.ndarray, ordered: int, sketch: int) -> np.ndarray:
+    """For each group a key of its ``ordered`` least values, taken in the order of their places."""
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    size = np.diff(begin)
+    spots = np.full((len(size), ordered), np.iinfo(np.int64).max)
+    values = np.full((len(size), ordered), most)
+    filled = np.flatnonzero(size)
+    starts, x = begin[filled], x.copy()
+    for j in range(ordered):
+        low = np.minimum.reduceat(x, starts)
+        spot = np.flatnonzero(x == np.repeat(low, size[filled]))
+        first = spot[np.searchsorted(spot, starts)]
+        more = size[filled] > j
+        values[filled[more], j], spots[filled[more], j] = low[more], place[first][more]
+        x[first] = most
+    values = np.take_along_axis(values, np.argsort(spots, 1, kind="stable"), 1)
+    key = np.full(len(size), sketch + 1, np.uint64)
+    for j in range(ordered):
+        key = ta.mix(key * np.uint64(ta.BASE) + values[:, j])
+    return key
+
+
 def occurrence_labels(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Shingle hashes mixed with how many equal ones stand before them in the same text."""
     own = hashes ^ ta.mix(owner + np.uint64(1))
@@ -87,7 +118,7 @@ def occurrence_labels(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def sketch_texts(docs: DataFrame, key: str, text: str, sketches: int, ordered: int) -> DataFrame:
-    """key, words, grams (different shingles), same (a hash of the row of words, null without words) and a bucket key for each sketch."""
+    """For each row key, mark (a hash of the text), words, same (a hash of the row of words, null without words) and a bucket key for each sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,78 +130,94 @@ def sketch_texts(docs: DataFrame, key: str, text: str, sketches: int, ordered: i
                 h = ta.span_hashes(raw, starts, ends)
                 grams, begin = ta.shingles(h, at, SHINGLE_WORDS)
                 keys = order_sketches(grams, begin, sketches, ordered)
-                same, different = [], []
-                for i in range(hi - lo):
-                    different.append(len(np.unique(grams[begin[i] : begin[i + 1]])))
-                    mine = h[at[i] : at[i + 1]]
-                    same.append(whole_hash(mine) if len(mine) else None)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * sketches, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(different, pa.int64()), pa.array(same, pa.binary()), lists], ["key", "words", "grams", "same", "buckets"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, words long, grams long, same binary, buckets array<long>")
-
-
-def whole_hash(h: np.ndarray) -> bytes:
-    """128 bits from the hashes of a row of words."""
-    place = np.arange(1, len(h) + 1, dtype=np.uint64)
-    a = ta.mix(h + place * np.uint64(ta.BASE)).sum(dtype=np.uint64)
-    b = ta.mix((h ^ np.uint64(ta.MIX_A)) + place * np.uint64(ta.MIX_B)).sum(dtype=np.uint64)
-    return np.array([a, b], np.uint64).tobytes()
-
-
-def candidate_pairs(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs (a < b) of texts that share a bucket and whose lengths or numbers of different shingles allow the similarity. ``texts``: key, words, grams, buckets; one row for each different text."""
-    last = F.size("buckets")
-    follow = F.get("buckets", (F.col("sketch") + 1) % last)
-    spread = texts.select("key", "words", "grams", "buckets", F.posexplode("buckets").alias("sketch", "bucket")).select("key", "words", "grams", "sketch", "bucket", follow.alias("next"))
-    sizes = spread.groupBy("sketch", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("key", "words", "grams")).alias("first")).where("n > 1")
-    held = spread.join(sizes, ["sketch", "bucket"])
-    small = held.where(F.col("n") <= PAIRWISE).select("sketch", "bucket", F.lit(None).cast("long").alias("next"), F.lit(-1).cast("long").alias("part"), "key", "words", "grams", "first")
-    big = held.where(F.col("n") > PAIRWISE)
-    subs = big.groupBy("sketch", "bucket", "next").agg(F.count("*").alias("m"))
-    part = F.when(F.col("m") <= PAIRWISE, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("key", "sketch"), F.ceil(F.col("m") / GROUP)))
-    parts = big.join(subs, ["sketch", "bucket", "next"]).select("sketch", "bucket", "next", part.alias("part"), "key", "words", "grams", "first")
-    grouped = small.union(parts).groupBy("sketch", "bucket", "next", "part").agg(F.sort_array(F.collect_list(F.struct("key", "words", "grams"))).alias("all"), F.first("first").alias("first"))
-    near = lambda x, y, c: F.abs(x[c] - y[c]) <= F.floor(F.greatest(x[c], y[c]) * (1 - least) + 1e-9)
-    # The edit distance bounds the lengths, the Jaccard similarity the numbers of different shingles alone.
-    fits = lambda x, y: near(x, y, "words") | near(x, y, "grams")
-    pairs_of = lambda heads: F.flatten(F.transform(heads, lambda x: F.transform(F.filter("all", lambda y: (y["key"] > x["key"]) & fits(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    # All pairs of a small bucket or part; a group of a large part is compared with its first text.
-    within = grouped.select(F.explode(pairs_of(F.when(F.col("part") < 0, F.col("all")).otherwise(F.slice("all", 1, 1)))).alias("p")).select("p.a", "p.b")
-    head = F.get("all", F.lit(0))
-    across = grouped.where((F.col("first.key") < head["key"]) & fits(F.col("first"), head)).select(F.col("first.key").alias("a"), head["key"].alias("b"))
-    return within.union(across).distinct()
-
-
-def banded_distance(a: list[int], b: list[int], band: int) -> int:
-    """The edit distance of two rows if it is at most ``band``, else band + 1; bit-parallel within the band."""
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(at), pa.int32()), whole_hashes(h, at), lists], ["key", "mark", "words", "same", "buckets"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(run, "key long, mark long, words int, same binary, buckets array<long>")
+
+
+def whole_hashes(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """128 bits from the word hashes of each text; null without words."""
+    count = np.diff(at)
+    place = (np.arange(len(h)) - np.repeat(at[:-1], count) + 1).astype(np.uint64)
+    sums = [np.concatenate(([0], np.cumsum(v))).astype(np.uint64) for v in (ta.mix(h + place * np.uint64(ta.BASE)), ta.mix((h ^ np.uint64(ta.MIX_A)) + place * np.uint64(ta.MIX_B)))]
+    both = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)
+    return pa.array([row.tobytes() if n else None for row, n in zip(both, count)], pa.binary())
+
+
+def near_length(x, y, least: float):
+    """Whether the lengths of two texts allow the similarity."""
+    return F.abs(x - y) <= F.floor(F.greatest(x, y) * (1 - least) + 1e-9)
+
+
+def all_pairs(groups: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) within each small group; ``all``: its (id, words) sorted by id."""
+    found = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["id"] > x["id"]) & near_length(x["words"], y["words"], least)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return groups.select(F.explode(found).alias("p")).select("p.a", "p.b")
+
+
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """bucket, sketch, id, words and n (its texts) for each text in each bucket of two texts or more; written."""
+    spread = texts.select("id", "words", F.posexplode("buckets").alias("sketch", "bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(spread.join(sizes, "bucket"), "neardup-shared")
+
+
+def large_members(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of buckets of more than PAIRWISE texts, with the bucket of the next sketch; written."""
+    follow = F.get("buckets", (F.col("sketch") + 1) % F.size("buckets"))
+    return materialise(shared.where(F.col("n") > PAIRWISE).join(texts.select("id", "buckets"), "id").select("bucket", "id", "words", follow.alias("next")), "neardup-members")
+
+
+def candidate_pairs(shared: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a < b) of texts to compare first: all of small buckets and of small parts of large ones, and the first text of a large part with the others."""
+    row = F.struct("id", "words")
+    small = shared.where(F.col("n") <= PAIRWISE).groupBy("bucket").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    parts = members.groupBy("bucket", "next").agg(F.count("*").alias("m"), F.min(row).alias("first")).where("m > 1")
+    dealt = members.join(parts, ["bucket", "next"])
+    tight = dealt.where(F.col("m") <= PAIRWISE).groupBy("bucket", "next").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    star = dealt.where((F.col("m") > PAIRWISE) & (F.col("id") > F.col("first.id")) & near_length(F.col("words"), F.col("first.words"), least)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    return all_pairs(small.select("all").union(tight.select("all")), least).union(star).distinct()
+
+
+def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The edit distance of two rows if it is at most ``band``, else band + 1; bit-parallel within the band.
+
+    Memory is in proportion to the rows: a word's places are kept, and its bits are set for the window at hand.
+    """
     if len(a) > len(b):
         a, b = b, a
-    head, most = 0, len(a)
-    while head < most and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    m, n = len(a), len(b)
-    if n - m > band:
+    if len(b) - len(a) > band:
         return band + 1
+    short = len(a)
+    differ = np.flatnonzero(a != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[head:][::-1] != b[len(b) - short + head :][::-1])
+    tail = int(differ[0]) if len(differ) else short - head
+    a, b = a[head : short - tail], b[head : len(b) - tail]
+    m, n = len(a), len(b)
     if m == 0:
         return n
+    if m == n and (wrong := int(np.count_nonzero(a != b))) <= 2:
+        return min(band + 1, wrong)  # only the ends differ: one or two substitutions
     if m <= band or m * n <= 256:
-        return min(band + 1, plain_distance(a, b))
+        return min(band + 1, plain_distance(a.tolist(), b.tolist()))
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        where.setdefault(x, []).append(i)
     width = 2 * band + 2
     ones, bottom = (1 << width) - 1, 1 << (width - 1)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
     vp, vn, distance = ones ^ ((1 << (width - 1 - band)) - 1), 0, band
     level = bottom >> 1
-    for j, x in enumerate(b):
-        match = where.get(x, 0)
-        move = j + band - (width - 1)
-        match = (match >> move if move >= 0 else match << -move) & ones
+    for j, x in enumerate(b.tolist()):
+        match, spots = 0, where.get(x)
+        if spots:
+            move = j + band - (width - 1)
+            if len(spots) == 1:
+                at = spots[0] - move
+                match = 1 << at if 0 <= at < width else 0
+            else:
+                match = window_bits(spots, move, width)
         d0 = ((((match & vp) + vp) ^ vp) | match | vn) & ones
         hp = (vn | ~(d0 | vp)) & ones
         hn = d0 & vp
@@ -184,6 +231,19 @@ def banded_distance(a: list[int], b: list[int], band: int) -> int:
     return min(band + 1, distance)
 
 
+def window_bits(spots: list[int], move: int, width: int) -> int:
+    """Bits of the places from ``move`` on, ``width`` of them."""
+    lo, hi = bisect_left(spots, move), bisect_left(spots, move + width)
+    if hi - lo <= 32:
+        bits = 0
+        for p in spots[lo:hi]:
+            bits |= 1 << (p - move)
+        return bits
+    flags = np.zeros(width, np.uint8)
+    flags[np.array(spots[lo:hi]) - move] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
 def plain_distance(a: list[int], b: list[int]) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -193,36 +253,66 @@ def plain_distance(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
-    """1 - distance / longer length; where that is under ``least`` the Jaccard similarity of the shingles (moved passages), or 0 if it is too."""
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """1 - distance / longer length, or 0 if that is under ``least``. Rows with too few words in common are not aligned."""
     long = max(len(a), len(b))
     band = int((1 - least) * long + 1e-9)
+    if long - min(len(a), len(b)) > band or long - common_words(a, b) > band:
+        return 0.0
     distance = banded_distance(a, b, band)
-    if distance <= band:
-        return 1 - distance / max(1, long)
-    x, y = ({tuple(w[i : i + SHINGLE_WORDS]) for i in range(max(1, len(w) - SHINGLE_WORDS + 1))} for w in (a, b))
-    alike = len(x & y) / len(x | y)
-    return alike if alike >= least else 0.0
-
-
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are similar enough, with their similarity. A key's least text stands for it."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Pairs grow with the corpus: the joins are planned for any size, not for a side that happens to be small.
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    both = pairs.hint("merge").join(rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").hint("merge").join(rows.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def words(texts: pa.Array) -> list[list[int]]:
-        raw, off = ta.utf8(pc.utf8_lower(pc.fill_null(texts, "")))
-        starts, ends, at = ta.words(raw, off)
-        h = ta.span_hashes(raw, starts, ends)
-        return [h[at[i] : at[i + 1]].tolist() for i in range(len(texts))]
+    return 1 - distance / max(1, long) if distance <= band else 0.0
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two rows have in common, each as often as in both."""
+    if not len(a) or not len(b):
+        return 0
+    both = np.concatenate((a, b))
+    order = np.argsort(both, kind="stable")
+    ranked = both[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    own = np.add.reduceat((order < len(a)).astype(np.int64), first)
+    return int(np.minimum(own, np.diff(np.append(first, len(both))) - own).sum())
+
+
+def word_rows(texts: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    raw, off = ta.utf8(pc.utf8_lower(pc.fill_null(texts, "")))
+    starts, ends, at = ta.words(raw, off)
+    h = ta.span_hashes(raw, starts, ends)
+    return [h[at[i] : at[i + 1]] for i in range(len(texts))]
+
+
+def texts_of(ids: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id and text for each of the ids."""
+    told = texts.select("id", F.col("rep.key").alias("k"), F.col("rep.mark").alias("m")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    # Ids grow with the corpus: the join is planned for any size. Rows that repeat are alike; one of them is taken.
+    found = rows.join(told.hint("merge"), (F.col("mark") == F.col("m")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
+    return found.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def attach(pairs: DataFrame, rows: DataFrame, end: str, total: int) -> DataFrame:
+    """``pairs`` with the text of one end. A text of many pairs is copied once for PAIRS_A_TEXT of them, so that no task gets them all."""
+    counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
+    copies = F.ceil(F.col("n") / PAIRS_A_TEXT).cast("int")
+    dealt = lookup(pairs, counts, end, total).withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("n")
+    several = counts.select(F.col(end).alias("id"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    held = several.join(rows, "id").select(F.col("id").alias(end), "copy", F.col("text").alias(f"text_{end}"))
+    return dealt.hint("merge").join(held, [end, "copy"]).drop("copy")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (written ids a, b) whose texts are similar enough, with their similarity."""
+    total = pairs.count()
+    rows = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, docs, key, text)
+    both = attach(attach(pairs.select("a", "b"), rows, "a", total), rows, "b", total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 32):
                 b = batch.slice(lo, 32)
-                sim = np.array([similarity(x, y, least) for x, y in zip(words(b.column(2)), words(b.column(3)), strict=True)])
+                sim = np.array([similarity(x, y, least) for x, y in zip(word_rows(b.column(2)), word_rows(b.column(3)), strict=True)])
                 keep = pa.array(sim > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim[sim > 0])], ["a", "b", "similarity"])
 
@@ -236,174 +326,205 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = None
+    total = 2 * edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         edges = materialise(small, name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, 2 * now[0]
     else:
         raise RuntimeError("the classes did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
-def large_buckets(texts: DataFrame) -> DataFrame:
-    """sketch, bucket, key and words for each text of a bucket of more than PAIRWISE."""
-    spread = texts.select("key", "words", F.posexplode("buckets").alias("sketch", "bucket"))
-    large = materialise(spread.groupBy("sketch", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("sketch", "bucket"), "neardup-large")
-    return materialise(spread.join(large, ["sketch", "bucket"]), "neardup-members")
+def unsettled(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The members of large buckets that hold several classes, with their class; written."""
+    own = members.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = own.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+    return materialise(own.join(several, "bucket"), "neardup-unsettled")
 
 
-def unsettled(members: DataFrame, named: DataFrame) -> DataFrame:
-    """The members of large buckets that hold several classes, with their class."""
-    own = members.join(named.select(F.col("id").alias("key"), "class"), "key", "left").withColumn("class", F.coalesce("class", "key"))
-    several = own.groupBy("sketch", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("sketch", "bucket")
-    return materialise(own.join(several, ["sketch", "bucket"]), "neardup-unsettled")
-
-
-def hub_pairs(members: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """In each bucket of more than PAIRWISE classes, the text of most links with all texts of other classes, unless compared already."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-    many = members.select("sketch", "bucket", "class").distinct().groupBy("sketch", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("sketch", "bucket")
-    held = members.join(many, ["sketch", "bucket"])
-    hubs = held.join(degree, "key").groupBy("sketch", "bucket").agg(F.max_by(F.struct("key", "class"), F.struct("degree", -F.col("key"))).alias("hub"))
-    found = held.join(hubs, ["sketch", "bucket"]).where(F.col("class") != F.col("hub.class")).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
-    return found.join(pairs, ["a", "b"], "left_anti")
-
-
-def block_links(members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that hold together all similar members of a bucket that are in different classes; every pair of them is compared or already joined by links."""
-    at = ["sketch", "bucket"]
-    amount = lambda c: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(c) / BLOCK_WORDS))
-    # A large class has blocks of its own, which need not meet each other; the texts of small classes share blocks.
-    sized = members.join(members.groupBy(*at, "class").agg(amount("words").alias("n")), [*at, "class"]).withColumn("name", F.when(F.col("n") > 1, F.col("class").cast("string")).otherwise("")).drop("n")
-    counts = sized.groupBy(*at, "name").agg(amount("words").alias("n"))
-    placed = materialise(sized.join(counts, [*at, "name"]).select(*at, "key", "class", "name", F.concat_ws(":", "name", F.pmod(F.xxhash64("key", "sketch"), F.col("n"))).alias("block")), "neardup-blocks")
-    blocks = placed.select(*at, "name", "block").distinct()
-    turns = blocks.withColumnRenamed("block", "first").join(blocks.select(*at, F.col("name").alias("other"), F.col("block").alias("second")), at).where((F.col("first") <= F.col("second")) & ((F.col("name") != F.col("other")) | (F.col("name") == ""))).select(*at, "first", "second")
-    side = lambda name, n: turns.join(placed.select(*at, "key", "class", F.col("block").alias(name)), [*at, name]).select(*at, "first", "second", F.lit(n).alias("side"), "key", "class")
-    meeting = side("first", 0).union(side("second", 1).where("first <> second"))
-    ids = placed.select(F.col("key").alias("id")).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    rows = rows.join(texts.select(F.col("key").alias("id"), "buckets"), "id").withColumnRenamed("id", "key")
-    order = [*at, "first", "second"]
-    ready = meeting.join(rows, "key").select(*order, "side", "key", "class", "buckets", "text").repartition(*order).sortWithinPartitions(*order, "side")
+def hub_pairs(members: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """In each bucket of more than PAIRWISE classes, its text of most links (PAIRWISE at least) with the texts of other classes."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")).where(F.col("degree") >= PAIRWISE)
+    many = members.select("bucket", "class").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("bucket")
+    held = members.join(many, "bucket")
+    hubs = held.join(degree, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "class", "words"), F.struct("degree", -F.col("id"))).alias("hub"))
+    found = held.join(hubs, "bucket").where((F.col("class") != F.col("hub.class")) & near_length(F.col("words"), F.col("hub.words"), least))
+    return found.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, Block(least)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 32):
-                b = whole.slice(lo, 32)
-                found: list[tuple[int, int]] = []
-                groups = list(zip(*[b.column(i).to_pylist() for i in range(4)], strict=True))
-                sides, keys, classes_ = (b.column(i).to_pylist() for i in (4, 5, 6))
-                buckets = np.array(b.column(7).to_pylist(), np.int64)
-                for i, (h, bag, grams) in enumerate(word_sets(b.column(8))):
-                    if groups[i] != now:
-                        now, block = groups[i], Block(least)
-                    sketch, _, first, second = now
-                    if sides[i] or first == second:
-                        found.extend(block.meet(keys[i], classes_[i], buckets[i], h, bag, grams, sketch))
-                    if not sides[i]:
-                        block.add(keys[i], classes_[i], buckets[i], h, bag, grams)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
-
-    return ready.mapInArrow(run, "a long, b long").distinct()
-
-
-def word_sets(texts: pa.Array) -> Iterator[tuple[list[int], set[int], set[int]]]:
-    """The words of each text in a row, as a bag (words with their occurrence number), and its different shingles."""
-    raw, off = ta.utf8(pc.utf8_lower(pc.fill_null(texts, "")))
-    starts, ends, at = ta.words(raw, off)
-    h = ta.span_hashes(raw, starts, ends)
-    labels = occurrence_labels(h, np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at)))
-    grams, begin = ta.shingles(h, at, SHINGLE_WORDS)
-    for i in range(len(texts)):
-        yield h[at[i] : at[i + 1]].tolist(), set(labels[at[i] : at[i + 1]].tolist()), set(grams[begin[i] : begin[i + 1]].tolist())
-
-
-class Block:
-    """Texts of one block; others meet them one at a time. Texts that links join already are not compared again."""
-
-    def __init__(self, least: float) -> None:
-        self.least = least
-        self.held: list[tuple] = []
-        self.buckets: list[np.ndarray] = []
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(up, up)
-            x = up
-        return x
-
-    def add(self, key: int, group: int, buckets: np.ndarray, *sets) -> None:
-        self.held.append((key, group, *sets))
-        self.buckets.append(buckets)
-
-    def meet(self, key: int, group: int, buckets: np.ndarray, h: list[int], bag: set[int], grams: set[int], sketch: int) -> Iterator[tuple[int, int]]:
-        if not self.held:
-            return
-        # A pair that shares an earlier bucket is compared there.
-        seen = (np.stack(self.buckets)[:, :sketch] == buckets[:sketch]).any(1).tolist()
-        for done, (other, its, h2, bag2, grams2) in zip(seen, self.held, strict=True):
-            if not done and self.root(group) != self.root(its) and self.alike(h, bag, grams, h2, bag2, grams2):
-                self.parent[self.root(group)] = self.root(its)
-                yield key, other
-
-    def alike(self, h: list[int], bag: set[int], grams: set[int], h2: list[int], bag2: set[int], grams2: set[int]) -> bool:
-        """As ``similarity`` above 0, with bounds first: the distance is at least the words that the longer text has alone."""
-        long, short = max(len(h), len(h2)), min(len(h), len(h2))
-        band = int((1 - self.least) * long + 1e-9)
-        if min(len(grams), len(grams2)) >= self.least * max(len(grams), len(grams2)) - 1e-9:
-            both = len(grams & grams2)
-            if both / max(1, len(grams) + len(grams2) - both) >= self.least:
-                return True
-        return long - short <= band and long - len(bag & bag2) <= band and banded_distance(h, h2, band) <= band
-
-
-def settled_classes(texts: DataFrame, pairs: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
-    """``classes`` of the links and of all further links within large buckets."""
+
+def pieces(h: np.ndarray, size: int) -> np.ndarray:
+    """A code for each run of so many words; none in a shorter row."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for j in range(size):
+        out = out * np.uint64(ta.BASE) + h[j : len(h) - size + 1 + j]
+    return ta.mix(out)
+
+
+def slots(code: np.ndarray) -> np.ndarray:
+    return (code % np.uint64(SLOTS)).astype(np.int64)
+
+
+def key_pieces(h: np.ndarray, common: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes and places of pieces of a text, and how many of them any similar, not longer text must hold.
+
+    A row of n words is at most d = (1 - least) * n edits away. Each edit spoils one of its disjoint pieces at most,
+    so of any d + m of them m stand in the other text unchanged, at most d places off. The rarest are taken (m is MEET
+    where there are as many), of single words or of pairs of words, whichever promises fewer meetings.
+    """
+    most = int((1 - least) * len(h) + 1e-9)
+    best: tuple | None = None
+    for size in (1, 2):
+        code = pieces(h, size)[::size]
+        if len(code) <= most:
+            continue
+        need = min(len(code), most + MEET)
+        seen = common[slots(code)]
+        rare = np.argpartition(seen, need - 1)[:need] if need < len(code) else np.arange(len(code))
+        cost = int(common[slots(np.unique(code[rare]))].sum())
+        if best is None or cost < best[0]:
+            best = (cost, code[rare], rare * size, need - most)
+    return best[1:] if best else (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+
+
+def all_pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes and places of all single words and pairs of words, as ``key_pieces``."""
+    one, two = pieces(h, 1), pieces(h, 2)
+    return np.concatenate((one, two)), np.concatenate((np.arange(len(one)), np.arange(len(two)))), 1
+
+
+def ranges(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each different code with its first and its last place and how often it stands."""
+    order = np.lexsort((place, code))
+    code, place = code[order], place[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+    end = np.append(first[1:], len(code)).astype(np.int64)[: len(first)]
+    return code[first], place[first], place[end - 1], end - first
+
+
+def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """All pairs of texts of different classes that may be similar: the longer one has key pieces that stand in the other.
+
+    Exact: no similar pair is missing. ``left``: id and class. The table of common pieces only guides which pieces
+    are taken, so its collisions cost time, not pairs.
+    """
+    whole = materialise(texts_of(left.select("id"), texts, docs, key, text).join(left, "id"), "neardup-left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for h in word_rows(b.column(0)):
+                np.add.at(seen, slots(np.unique(all_pieces(h)[0])), 1)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(seen[slot])], ["slot", "n"])
+
+    counted = whole.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    common = np.zeros(SLOTS, np.int64)
+    common[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def emit(which: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 32):
+                    b = batch.slice(lo, 32)
+                    rows = word_rows(b.column(2))
+                    taken = [key_pieces(h, shared.value, least) if which == "keys" else all_pieces(h) for h in rows]
+                    found = [ranges(*x[:2]) for x in taken]
+                    size = [len(x[0]) for x in found]
+                    meet = pa.array(np.repeat([x[2] for x in taken], size), pa.int32())
+                    own = [pa.array(np.repeat(b.column(i).to_numpy(), size)) for i in (0, 1)]
+                    words = pa.array(np.repeat([len(h) for h in rows], size), pa.int32())
+                    code, *spots = (np.concatenate([x[i] for x in found]) for i in range(4))
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, words, *[pa.array(x, pa.int32()) for x in spots], meet], ["code", "id", "class", "words", "first", "last", "times", "meet"])
+
+        return run
+
+    schema = "code long, id long, class long, words int, first int, last int, times int, meet int"
+    source = whole.select("id", "class", "text")
+    keys, stand = source.mapInArrow(emit("keys"), schema).alias("x"), source.mapInArrow(emit("all"), schema).alias("y")
+    off = F.floor(F.col("x.words") * (1 - least) + 1e-9)
+    near = (F.col("x.first") - F.col("y.last") <= off) & (F.col("y.first") - F.col("x.last") <= off)
+    met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.words") <= F.col("x.words")) & (F.col("x.words") - F.col("y.words") <= off) & near)
+    enough = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.sum("x.times").alias("met"), F.first("x.meet").alias("meet")).where("met >= meet")
+    return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def settled_classes(texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """``classes`` of the links of all pairs that share a bucket: every such pair is compared, or joined by links already, or too unlike to be similar."""
+    shared = shared_buckets(texts)
+    members = large_members(shared, texts)
+    done = materialise(candidate_pairs(shared, members, least), "neardup-pairs")
+    links = materialise(verify(done, texts, docs, key, text, least), "neardup-links")
     named = classes(links, "neardup-classes")
-    members = large_buckets(texts)
-    joined = lambda more: classes(named.select(F.col("id").alias("a"), F.col("class").alias("b")).union(more.select("a", "b")), "neardup-classes")
-    left = unsettled(members, named)
-    hubs = materialise(hub_pairs(left, links, pairs), "neardup-hubs")
-    if not hubs.isEmpty():
-        more = materialise(verify(hubs, docs, key, text, least), "neardup-links")
-        if not more.isEmpty():
-            named = joined(more)
-            left = unsettled(members, named)
-    if not left.isEmpty():
-        more = materialise(block_links(left, texts, docs, key, text, least), "neardup-links")
-        if not more.isEmpty():
-            named = joined(more)
+    for step in ("hubs", "segments"):
+        left = unsettled(members, named)
+        if left.isEmpty():
+            break
+        found = hub_pairs(left, links, least) if step == "hubs" else segment_pairs(left.select("id", "class").distinct(), texts, docs, key, text, least)
+        more = materialise(found.join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+        new = None if more.isEmpty() else materialise(verify(more, texts, docs, key, text, least), "neardup-links")
+        if new is not None and not new.isEmpty():
+            named = classes(named.select(F.col("id").alias("a"), F.col("class").alias("b")).union(new.select("a", "b")), "neardup-classes")
+        done = done.union(more)
     return named
 
 
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
+    """For each row: key, mark (xxhash64 of the text), class (null for a text without words), class_id and same_as as in
+    ``near_duplicates``, and stays: whether (key, mark) is what stays of the class. Rows with equal key and text are alike here."""
+    seen = materialise(sketch_texts(docs, key, text, sketches, ordered), "neardup-sketches")
+    told = seen.where(F.col("same").isNotNull())
+    # The order in which one of several rows is taken: those with a key first.
+    rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")
+    grouped = told.groupBy("same").agg(F.first("words").alias("words"), F.first("buckets").alias("buckets"), F.min(rank).alias("rep"), F.count("*").alias("n"))
+    texts = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")
+    named = settled_classes(texts, docs, key, text, least)
+    placed = texts.select("same", "n", "rep", "id").join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    best = placed.groupBy("class").agg(F.min("rep").alias("best"), F.count("*").alias("m"))
+    placed = lookup(placed.select("same", F.col("n").alias("rows"), "rep", "class"), best.withColumnRenamed("m", "n"), "class", texts.count()).select("same", F.col("rows").alias("n"), "class", "best", "rep")
+    out = lookup(told.select("key", "mark", "same"), placed, "same", seen.count())
+    stays = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
+    out = out.select("key", "mark", "class", F.col("best.key").alias("class_id"), F.col("rep.key").alias("same_as"), stays.alias("stays"))
+    lone = seen.where(F.col("same").isNull()).select("key", "mark", F.lit(None).cast("long").alias("class"), F.col("key").alias("class_id"), F.col("key").alias("same_as"), F.lit(True).alias("stays"))
+    return out.union(lone)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
     """A row for each row of ``docs``: key, class_id (the least key of its class), same_as (the least key of an equal text).
 
-    A text without words (null, empty, punctuation only) is in a class of its own, as is a null key. Rows with an
-    equal key count as one document. No document leaves the result.
+    A text without words (null, empty, punctuation only) is in a class of its own. Rows of one key with different
+    texts are separate documents; rows without a key are compared like others, and a class of such rows alone has a
+    null class_id. No document leaves the result.
     """
-    seen = materialise(sketch_texts(docs, key, text, sketches, ordered), "neardup-sketches")
-    told = seen.where(F.col("same").isNotNull() & F.col("key").isNotNull())
-    texts = materialise(told.groupBy("same").agg(F.min_by(F.struct("words", "grams", "buckets"), "key").alias("x"), F.min("key").alias("key"), F.count("*").alias("n")).select("same", "key", "n", "x.words", "x.grams", "x.buckets"), "neardup-texts")
-    pairs = materialise(candidate_pairs(texts, least), "neardup-pairs")
-    links = materialise(verify(pairs, docs, key, text, least), "neardup-links")
-    # Rows of one key with different texts hold their classes together.
-    shared = told.join(texts.where("n > 1").select("same", F.col("key").alias("first")), "same", "left").select("key", F.coalesce("first", "key").alias("same_as"))
-    named = settled_classes(texts, pairs, links, docs, key, text, least)
-    out = shared.join(named.select(F.col("id").alias("same_as"), "class"), "same_as", "left").select("key", F.coalesce("class", "same_as").alias("class_id"), "same_as")
-    lone = seen.where(F.col("same").isNull() | F.col("key").isNull()).select("key", F.col("key").alias("class_id"), F.col("key").alias("same_as"))
-    return out.union(lone).withColumnRenamed("key", key)
+    return classify(docs, key, text, least, sketches, ordered).select(F.col("key").alias(key), "class_id", "same_as")
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates: that of the least key, or without any key that of the least hash.
+
+    Texts without words all stay. Only rows that go, or that repeat, meet ``docs`` in a join.
+    """
+    seen = materialise(classify(docs, key, text, **options).select("key", "mark", "class", "stays"), "neardup-decisions")
+    gone = seen.where(~F.col("stays")).select("key", "mark").distinct()
+    twice = seen.where(F.col("stays") & F.col("class").isNotNull()).groupBy("key", "mark").count().where("count > 1").select("key", "mark")
+    told = materialise(gone.withColumn("repeats", F.lit(False)).union(twice.withColumn("repeats", F.lit(True))).select(F.col("key").alias("_k"), F.col("mark").alias("_m"), F.col("repeats").alias("_repeats")), "neardup-gone")
+    same = F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_m"))
+    kept = docs.join(told, same, "left_anti")
+    again = told.where("_repeats")
+    if again.isEmpty():
+        return kept
+    one = docs.join(again, same).groupBy("_k", "_m").agg(*[F.first(F.struct(*docs.columns)).alias("row")]).select("row.*")
+    return kept.union(one)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
