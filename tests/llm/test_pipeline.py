@@ -3,7 +3,8 @@
 import re
 
 import corpus_pipeline as P
-from tests.llm.test_operators import BASE, DOC, EDGE
+from tests.llm.test_operators import DOC, EDGE
+from tests.llm.test_pii import BASE
 from tidegate.llm import neardup
 
 SF = "/root/testdata/sf0.001"

@@ -7,40 +7,47 @@ reliable each labeler is, with the base spans as known positives; the resulting
 classifier of spans, a logistic regression over votes and kinds. Base spans always stay; a candidate stays where the
 classifier gives it one half or more, its check sum (if its kind has one) is right, and it overlaps no base span.
 
-DataFrame functions only. Positions come from splitting a text at the matches of a pattern. Vote patterns are bounded
-by the labelers (three votes each), so what is fitted does not grow with the corpus; applying the classifier needs no
-shuffle and no join.
+DataFrame functions only. One pass over the texts cuts each at the matches of the patterns and writes the places of
+the spans with the labelers' votes; fitting and deciding read that small table. Work and memory are in proportion to a
+text's length and its spans. Vote patterns are bounded by the labelers (three votes each), so what is fitted does not
+grow with the corpus; applying the classifier needs no shuffle and no join.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.base import let, table
+from tidegate.llm.base import let, materialise, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban")
 
 #: The base patterns. Starts are limited to where a leftmost match can begin and quantifiers are possessive where no
-#: shorter match is possible, so that long runs of characters cost linear time; the matches are the same.
+#: shorter match is possible, so that long runs of characters cost linear time; the matches are the same. What stands
+#: before a match is looked at after its first character, which most characters of a text fail at once.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
+    "ip": r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidates that the labelers judge, in one pattern; the shape of a match tells its kind.
-LOOSE = "|".join((
-    r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]++)++",
-    r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    r"(?<![0-9+])(?<![0-9][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
-    PATTERNS["card"],
-))
+#: Candidates that the labelers judge; the shape of a match tells its kind.
+SHAPES = {
+    "secret": r"[0-9a-f](?<![A-Za-z0-9][0-9a-f])[0-9a-f]{31,63}+(?![A-Za-z0-9])",
+    "written": r"[A-Za-z0-9](?<![A-Za-z0-9._%+-].)[A-Za-z0-9._%+-]{0,63}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]++)++",
+    "ssn": r"[0-9]{3}(?<![0-9-][0-9]{3})-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?<![A-Za-z0-9][A-Z]{2}[0-9]{2})(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "phone": r"[0-9(](?<![0-9+].)(?<![0-9][\x20.-].)(?:(?<=\()[0-9]{3}|(?<=[0-9])[0-9]{2})\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
+    "card": PATTERNS["card"],
+}
+LOOSE = "|".join(SHAPES.values())
+#: An address in words needs this; other texts are spared its pattern.
+WRITTEN_AT = r"[\[(]\x20?at\x20?[\])]"
+LOOSE_PLAIN = "|".join(p for k, p in SHAPES.items() if k != "written")
 
 #: Gazetteers and context words.
 TOP_DOMAINS = "com|org|net|edu|gov|io|co|info|biz|de|fr|es|it|uk|nl|eu|ch|at|us|ca|au|jp|cn|in|br|ru"
@@ -56,28 +63,52 @@ ROUNDS = 40
 #: Where the estimates start, and the votes' worth of data that draws them there.
 START_RIGHT, START_SHARE, PULL = 0.8, 0.3, 20.0
 
+#: Columns that the scan adds.
+BASE, LOOSE_SPANS = "pii_base", "pii_loose"
 LABELERS = ("shape", "checksum", "gazetteer", "context", "against", "edges")
 
 
+#: A private-use character that cuts a text at its matches, and what stands for it in texts that hold it.
+CUT, OTHER = "\ue000", "\ue001"
+#: Pieces in a block of ``offsets``.
+BLOCK = 64
+
+
+def running(values: Column, total: str) -> Column:
+    """For each value the sum (or "max": the greatest) of those before it, 0 for the first.
+
+    In blocks: each value looks back within its block only, and each block at the others' totals, so that the work
+    for n values is about n * BLOCK, not n * n.
+    """
+    join = (lambda a, b: (a + b).cast("int")) if total == "sum" else (lambda a, b: F.greatest(a, b).cast("int"))
+    fold = lambda v: F.aggregate(v, F.lit(0), join)
+
+    def placed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(v) - 1).cast("int"), F.lit(BLOCK)), lambda i: fold(F.slice(v, i + 1, F.lit(BLOCK))))
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+        return let(before, lambda b: F.transform(v, lambda _, i: join(F.get(b, F.floor(i / BLOCK).cast("int")), fold(F.slice(v, i - i % BLOCK + 1, i % BLOCK)))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(placed(v)))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """The matches of a pattern in order: start, end (code points, end exclusive), value, the characters before and the one after."""
     row = "struct<start:int,end:int,value:string,before:string,after:string>"
     none = F.array().cast(f"array<{row}>")
-    state = F.struct(F.lit(0).cast("int").alias("at"), none.alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap, value, after = x["gap"], x["value"], x["after"]
-        start = (acc["at"] + F.char_length(gap)).cast("int")
-        end = (start + F.char_length(value)).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), after.alias("after")).cast(row)
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(pieces: Column) -> Column:
+        """From gap, match, gap, ..., gap."""
+
+        def span(k: Column, at: Column) -> Column:
+            start, value = F.get(at, 2 * k + 1), F.get(pieces, 2 * k + 1)
+            return F.struct(start.alias("start"), (start + F.char_length(value)).cast("int").alias("end"), value.alias("value"), F.right(F.get(pieces, 2 * k), F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(pieces, 2 * k + 2), F.lit(1)).alias("after")).cast(row)
 
-    def placed(found: Column, gaps: Column) -> Column:
-        steps = F.transform(found, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
-        return F.aggregate(steps, state, step, lambda acc: acc["spans"])
+        lengths = F.transform(pieces, lambda p: F.char_length(p))
+        return let(running(lengths, "sum"), lambda at: F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 3) / 2).cast("int")), lambda k: span(k, at)))
 
-    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    return let(matches, lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))))
+    clean = F.when(F.contains(text, F.lit(CUT)), F.translate(text, CUT, OTHER)).otherwise(text)
+    cut = F.split(F.regexp_replace(clean, pattern, f"{CUT}$0{CUT}"), CUT, -1)
+    return let(cut, lambda pieces: F.when(F.size(pieces) < 3, none).otherwise(placed(pieces)))
 
 
 def digits(value: Column) -> Column:
@@ -132,7 +163,8 @@ def loose_spans(text: Column) -> Column:
         rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), kind)
         return F.struct(s["start"], rank, s["end"], kind, v, s["before"], s["after"]).cast(SPAN)
 
-    return F.transform(spans_of(text, LOOSE), named)
+    found = F.when(F.rlike(text, F.lit(WRITTEN_AT)), spans_of(text, LOOSE)).otherwise(spans_of(text, LOOSE_PLAIN))
+    return F.transform(found, named)
 
 
 def by_kind(kind: Column, table_: dict[str, Column], default: Column) -> Column:
@@ -163,20 +195,37 @@ def votes(s: Column) -> dict[str, Column]:
     return {"shape": by_kind(kind, shape, none), "checksum": by_kind(kind, checksum, none), "gazetteer": by_kind(kind, gazetteer, none), "context": by_kind(kind, context, none), "against": against, "edges": edges}
 
 
-def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """How many spans of the corpus have each kind and votes, base spans (known) and candidates apart."""
+#: What the scan keeps of a span: no part of the text, but the labelers' votes on it.
+JUDGED = f"struct<start:int,rank:int,end:int,kind:string,{','.join(f'{x}:int' for x in LABELERS)}>"
+
+
+def judged(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")], *[v.cast("int").alias(k) for k, v in votes(s).items()]).cast(JUDGED))
+
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the columns BASE and LOOSE: the base spans and the candidates of each text, with their votes.
+
+    The one pass over the texts; write its result, then learn from it and decide.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    add = lambda spans, known: F.transform(spans, lambda s: F.struct(F.lit(known).alias("known"), s["kind"].alias("kind"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")))
-    rows = docs.select(F.explode(F.concat(add(base_spans(body), True), add(loose_spans(body), False))).alias("s")).select("s.*")
-    return rows.select("known", "kind", *[v.alias(k) for k, v in votes({c: F.col(c) for c in ("kind", "value", "before", "after")}).items()]).groupBy("known", "kind", *LABELERS).agg(F.count("*").alias("n"))
+    return docs.withColumns({BASE: judged(base_spans(body)), LOOSE_SPANS: judged(loose_spans(body))})
 
 
-def fit_classifier(patterns: list[tuple[bool, str, tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[str, float]:
-    """Weights of the span classifier from counted vote patterns (known, kind, votes, count).
+def vote_counts(scanned: DataFrame) -> DataFrame:
+    """How many spans of the corpus have each kind and votes, base spans (known) and candidates apart."""
+    rows = [scanned.select(F.lit(known).alias("known"), F.explode(column).alias("s")) for known, column in ((True, BASE), (False, LOOSE_SPANS))]
+    return rows[0].union(rows[1]).select("known", "s.kind", *[f"s.{x}" for x in LABELERS]).groupBy("known", "kind", *LABELERS).agg(F.count("*").alias("n"))
+
+
+Pattern = tuple[bool, str, tuple[int, ...], int]  # known, kind, votes, count
+
+
+def estimate(patterns: list[Pattern], rounds: int = ROUNDS) -> tuple[dict[str, float], dict[str, float], list[float]]:
+    """How often each labeler is right, each kind's share of real ones among its candidates, and each pattern's probability.
 
     Expectation-maximisation: each labeler that votes is right with a chance of its own, an abstention tells nothing,
-    and each kind has a share of real ones among its candidates; known spans are real. Both start from, and are drawn
-    to, the values below. Then logistic regression on the probabilities.
+    and known spans are real. Both estimates start from, and are drawn to, START_RIGHT and START_SHARE.
     """
     right = dict.fromkeys(LABELERS, START_RIGHT)
     share = dict.fromkeys(KINDS, START_SHARE)
@@ -188,63 +237,97 @@ def fit_classifier(patterns: list[tuple[bool, str, tuple[int, ...], int]], round
             real.append(1.0 if known else 1 / (1 + math.exp(max(-50.0, min(50.0, -odds)))))
         for i, x in enumerate(LABELERS):
             cast = [(p if vote[i] > 0 else 1 - p, n) for p, (_, _, vote, n) in zip(real, patterns, strict=True) if vote[i]]
-            right[x] = min(0.99, (PULL * START_RIGHT + sum(p * n for p, n in cast)) / (PULL + sum(n for _, n in cast)))
-            right[x] = max(0.55, right[x])
+            right[x] = min(0.99, max(0.55, (PULL * START_RIGHT + sum(p * n for p, n in cast)) / (PULL + sum(n for _, n in cast))))
         for kind in KINDS:
             mine = [(p, n) for p, (known, k, _, n) in zip(real, patterns, strict=True) if k == kind and not known]
             share[kind] = min(0.9, max(0.1, (PULL * START_SHARE + sum(p * n for p, n in mine)) / (PULL + sum(n for _, n in mine))))
+    return right, share, real
+
+
+def train(patterns: list[Pattern], real: list[float], rounds: int = 1500) -> dict[str, float]:
+    """Weights of the span classifier: logistic regression on the patterns' probabilities, each as often as it stands, by gradient ascent."""
     names = ["bias", *KINDS, *(f"{x}:{v}" for x in LABELERS for v in (1, -1))]
     place = {x: i for i, x in enumerate(names)}
-    rows = [([0, place[kind], *(place[f"{x}:{v}"] for x, v in zip(LABELERS, vote, strict=True) if v)], p, n) for p, (_, kind, vote, n) in zip(real, patterns, strict=True)]
-    w, total = [0.0] * len(names), max(1, sum(n for *_, n in rows))
-    for _ in range(1500):
-        g = [-1e-4 * x for x in w]
-        for on, p, n in rows:
-            miss = (p - 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(w[i] for i in on)))))) * n / total
-            for i in on:
-                g[i] += miss
-        w = [x + 2.0 * d for x, d in zip(w, g, strict=True)]
-    return dict(zip(names, w, strict=True))
-
-
-def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    x = np.zeros((len(patterns), len(names)))
+    for row, (_, kind, vote, _n) in zip(x, patterns, strict=True):
+        row[[0, place[kind], *(place[f"{name}:{v}"] for name, v in zip(LABELERS, vote, strict=True) if v)]] = 1
+    n, p = np.array([float(c) for *_, c in patterns]), np.array(real)
+    w = np.zeros(len(names))
+    for _ in range(rounds):
+        miss = (p - 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))) * n / max(1.0, n.sum())
+        w = w + 2.0 * (x.T @ miss - 1e-4 * w)
+    return dict(zip(names, w.tolist(), strict=True))
+
+
+def fit_classifier(patterns: list[Pattern], rounds: int = ROUNDS) -> dict[str, float]:
+    """Weights of the span classifier from counted vote patterns."""
+    return train(patterns, estimate(patterns, rounds)[2])
+
+
+def learn(scanned: DataFrame) -> dict[str, float]:
     """Fit on the votes of the whole corpus; the counted patterns (bounded by the labelers) reach the driver."""
-    got = sorted((r["known"], r["kind"], tuple(r[x] for x in LABELERS), r["n"]) for r in vote_counts(docs, text).collect())
-    return fit_classifier(got)
+    return fit_classifier(sorted((r["known"], r["kind"], tuple(r[x] for x in LABELERS), r["n"]) for r in vote_counts(scanned).collect()))
 
 
 def chance_of(s: Column, weights: dict[str, float]) -> Column:
     """The classifier's probability that a span is personal data."""
     total = F.lit(weights["bias"]) + by_kind(s["kind"], {k: F.lit(weights[k]) for k in KINDS}, F.lit(0.0))
-    for name, v in votes(s).items():
-        total = total + F.when(v == 1, weights[f"{name}:1"]).when(v == -1, weights[f"{name}:-1"]).otherwise(0.0)
+    for name in LABELERS:
+        total = total + F.when(s[name] == 1, weights[f"{name}:1"]).when(s[name] == -1, weights[f"{name}:-1"]).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
-def with_spans(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
-    """``docs`` with pii_base and pii_spans: arrays of (start, rank, end, kind), by start and then kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    plain = lambda spans: F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")]))
-    rows = docs.withColumns({"pii_base": plain(base_spans(body)), "pii_loose": loose_spans(body)})
-    extra = F.filter("pii_loose", lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (votes(s)["checksum"] >= 0) & (chance_of(s, weights) >= 0.5))
-    return rows.withColumn("pii_spans", F.array_sort(F.concat("pii_base", plain(extra)))).drop("pii_loose")
+def all_spans(weights: dict[str, float]) -> Column:
+    """Base spans and the candidates that stay, by start and then kind."""
+    likely = F.filter(LOOSE_SPANS, lambda s: (s["checksum"] >= 0) & (chance_of(s, weights) >= 0.5))
+    # Both are in order of their starts: of the base spans before a candidate's end, the greatest end tells whether one overlaps.
+    apart = let(likely, lambda extra: F.when(F.size(extra) == 0, extra).otherwise(without_overlap(extra, F.col(BASE))))
+    return F.array_sort(F.concat(BASE, apart))
+
+
+def without_overlap(extra: Column, base: Column) -> Column:
+    """The candidates that overlap no base span. Both lists are merged by place, and running maxima tell."""
+    ends = lambda rows, own: F.transform(rows, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span")))
+
+    def kept(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda r: F.when(r["own"] == 0, r["end"]).otherwise(F.lit(0))), "max")
+        # Seen from the end, the least start of a base span behind: starts are mirrored to make it a maximum.
+        far = F.lit(2**31 - 1)
+        behind = F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["own"] == 0, far - r["start"]).otherwise(F.lit(0)))), "max"))
+        clear = let(before, lambda b: let(behind, lambda c: F.filter(F.transform(rows, lambda r, i: F.struct(r.alias("r"), ((F.get(b, i) <= r["start"]) & (far - F.get(c, i) >= r["end"])).alias("ok"))), lambda x: (x["r"]["own"] == 1) & x["ok"])))
+        return F.transform(clear, lambda x: x["r"]["span"])
 
+    return let(F.array_sort(F.concat(ends(base, 0), ends(extra, 1))), kept)
 
-def joined(spans: str) -> Column:
+
+def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first. Null stays null."""
-    state = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("parts"))
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    # Four bytes a character, so that a place is reached at once.
+    part = lambda raw, lo, hi: F.decode(F.substring(raw, 4 * lo + 1, 4 * (hi - lo)), "UTF-32")
+
+    def whole(raw: Column, found: Column) -> Column:
+        def parts(before: Column) -> Column:
+            each = F.transform(found, lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(part(raw, F.get(before, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
+            last = F.array_max(F.transform(found, lambda s: s["end"]))
+            return F.concat(F.array_join(each, ""), part(raw, last, F.octet_length(raw) / 4))
+
+        return let(running(F.transform(found, lambda s: s["end"]), "max"), parts)
+
+    return let(F.encode(text, "UTF-32"), lambda raw: let(spans, lambda found: whole(raw, found)))
 
-    def step(acc: Column, s: Column) -> Column:
-        part = F.when(s["start"] >= acc["at"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), F.concat(acc["parts"], part).alias("parts"))
 
-    clean = F.aggregate("pii_spans", state, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
-    rows = with_spans(docs, weights, text)
-    return rows.withColumn(text, F.when(F.col(text).isNotNull() & (F.size("pii_spans") > 0), clean).otherwise(F.col(text))).drop("pii_base", "pii_spans")
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the personal data of each text replaced. Null stays null; a text without spans is unchanged. Columns of any name stay."""
+    others = [c for c in docs.columns if c != text]
+    held = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    seen = materialise(scan(docs.select(held.alias("others"), F.col(f"`{text}`").alias("text"))), "pii-scan")
+    spans = seen.withColumn(BASE, all_spans(learn(seen)))
+    clean = F.when(F.col("text").isNotNull() & (F.size(BASE) > 0), redacted(F.col("text"), F.col(BASE))).otherwise(F.col("text"))
+    return spans.select(*[clean.alias(c) if c == text else F.col(f"others.c{others.index(c)}").alias(c) for c in docs.columns])
 
 
 def scan_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,10 +335,9 @@ def scan_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A null or empty text has no span. Repeated rows and equal keys are scanned each by itself.
     """
-    rows = with_spans(docs.select(key, text), learn(docs, text), text)
-    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(kind) for kind in BASE_KINDS]
-    return rows.select(key, *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+    rows = materialise(scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"), "pii-scan")
+    count = lambda kind: F.size(F.filter(BASE, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(F.col("key").alias(key), *[count(kind) for kind in BASE_KINDS], F.sha2(joined(F.col(BASE)), 256).alias("base_sha256"), joined(all_spans(learn(rows))).alias("spans"))
 
 
 def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
