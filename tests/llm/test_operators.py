@@ -168,11 +168,20 @@ def test_packing_round_trip(spark, docs, texts, edge, none):
         for p in pieces.itertuples():
             assert p.ids_crc32 == zlib.crc32(ids[d][p.start : p.start + p.length].astype("<u4").tobytes())
     assert set(got["doc_id"]) == set(texts)
-    used = 0
+    used, full = 0, collections.Counter()
+    bears = {}
+    for d, t in texts.items():
+        line = t.split("\n")[0] if "\n" in t else ""
+        spans = exact.encode(t, add_special_tokens=False).offsets
+        bears[d] = np.array([not line or a >= len(line) for a, _ in spans] + [False])
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         n = s["length"].sum()
         assert list(s["offset"]) == list(s["length"].cumsum() - s["length"]) and n <= 1024 and len(s) <= packing.MOST_SEGMENTS
         used += n if n & (n - 1) == 0 else 1024
+        loss = sum(int(bears[p.doc_id][p.start : p.start + p.length].sum()) for p in s.itertuples())
+        assert loss <= packing.MOST_LOSS_TOKENS
+        full.update([k for k, v in (("tokens", n == 1024), ("segments", len(s) == packing.MOST_SEGMENTS), ("loss", loss == packing.MOST_LOSS_TOKENS)) if v])
+    assert all(full[k] > 0.02 * got["sequence_id"].nunique() for k in ("tokens", "segments", "loss"))  # each limit binds
     assert used <= 1.01 * got["length"].sum()
     assert packing.pack_documents(none).count() == 0
     seen = packing.pack_documents(edge)

@@ -1,15 +1,18 @@
 """Packing by vector bins: sequences under simultaneous limits on tokens, segments and loss-bearing tokens.
 
 Each task packs the documents of its own partition, so nothing is shuffled. Whole sequences are cut from a document
-first; the rest waits in a buffer of bounded size. A sequence is filled from the buffer by the dot-product heuristic:
-of the pieces that fit all limits, the one whose demand has the greatest dot product with what is left of the limits
-(each dimension divided by its limit). Where no piece fits, one is cut to fill the sequence. What is left at the end
-of a partition goes into sequences of a power of two tokens, which need no padding.
+first, where its tokens and its loss allow one; the rest waits in a buffer of bounded size. A sequence is filled from
+the buffer by the dot-product heuristic: of the pieces that fit all limits, the one whose demand has the greatest dot
+product with what is left of the limits (each dimension divided by its limit). Where no piece fits, one is cut to fill
+the sequence. Where the pieces that a sequence may hold cannot fill it, and at the end of a partition, sequences are
+of a power of two tokens, which need no padding.
+
+Without a mask the first line of a text of several lines is its prompt and bears no loss, nor does the closing id.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,49 +22,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.llm import textarrays as ta
 from tidegate.llm.base import small_batches, table
 
-SEQUENCE_TOKENS, MOST_SEGMENTS, MOST_LOSS_TOKENS = 1024, 128, 1024
+#: The limits of a sequence: its length, the attention blocks of a batch, and the loss-bearing tokens of a step.
+SEQUENCE_TOKENS, MOST_SEGMENTS, MOST_LOSS_TOKENS = 1024, 4, 1008
 #: Pieces that wait for a sequence in a task; they are shorter than a sequence.
-BUFFER_PIECES = 4096
+BUFFER_PIECES = 512
+#: Bytes of text encoded at a time.
+ENCODE_BYTES = 1_000_000
 END_ID = 0
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ByteBpe:
-    """Ids of the byte-level BPE in a tokenizers file.
-
-    A text without special tokens is encoded from the same vocabulary's ranks, which is several times as fast and
-    gives the same ids; the first text of each task, and any text that might hold a special token, goes through
-    tokenizers itself, and the first is compared.
-    """
+    """Ids of the byte-level BPE in a tokenizers file."""
 
-    def __init__(self, file: str, ranks_file: str, pattern: str):
-        import tiktoken
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run in parallel already
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(file)
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.checked = False
-
-    def by_tokenizers(self, text: str) -> np.ndarray:
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def encode(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return self.by_tokenizers(text)
-        try:
-            ids = np.array(self.fast.encode_ordinary(text), np.uint32)
-        except BaseException as e:  # the library's panics are not Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return self.by_tokenizers(text)
-        if not self.checked and text:
-            if not np.array_equal(ids, self.by_tokenizers(text)):
-                raise ValueError("the ranks do not give the tokenizer's ids")
-            self.checked = True
-        return ids
+        self.model = Tokenizer.from_file(file)
+        words = self.model.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():  # one character stands for a byte
+            self.width[i] = len(word)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def prompt(self, text: str, ids: np.ndarray) -> int:
+        """How many ids begin in the first line of a text of several lines."""
+        line, more, _ = text.partition("\n")
+        return int(np.searchsorted(np.cumsum(self.width[ids]), len(line.encode()), side="left")) + 1 if more and line else 0
 
 
 class VectorPacker:
@@ -74,12 +67,14 @@ class VectorPacker:
         self.held: list[tuple | None] = [None] * buffer  # document, start, ids, loss mask
         self.tokens = np.zeros(buffer, np.int64)
         self.loss = np.zeros(buffer, np.int64)
+        self.lead = np.zeros(buffer, np.int64)  # tokens before the first that bears loss
         self.free = list(range(buffer))[::-1]
 
     def _put(self, slot: int, piece: tuple | None) -> None:
         self.held[slot] = piece
         self.tokens[slot] = len(piece[2]) if piece else 0
         self.loss[slot] = int(piece[3].sum()) if piece else 0
+        self.lead[slot] = (int(piece[3].argmax()) if self.loss[slot] else self.tokens[slot]) if piece else 0
         if piece is None:
             self.free.append(slot)
 
@@ -105,19 +100,23 @@ class VectorPacker:
         return max(1, min(tokens, int(np.searchsorted(np.cumsum(mask), loss, side="right"))))
 
     def fill(self, size: int) -> Iterator[tuple]:
-        """One sequence of at most ``size`` tokens."""
+        """One sequence of at most ``size`` tokens, or of a power of two where the pieces that it may hold have fewer."""
         total = self.limits
+        reach = int(np.sort(self.tokens)[-total[1] :].sum())
+        if reach < size:
+            size = 1 << reach.bit_length() - 1
         left, offset = [size, total[1], total[2]], 0
         while left[0] > 0 and left[1] > 0:
             waits = self.tokens > 0
             fits = waits & (self.tokens <= left[0]) & (self.loss <= left[2])
-            last = left[1] == 1  # a last segment should use up the tokens that are left
-            if fits.any() and not (last and (waits & (self.tokens > left[0])).any()):
+            # After the next piece, the segments left must be able to use up the tokens left.
+            fits &= self.tokens >= left[0] - (int(np.sort(self.tokens)[1 - left[1] :].sum()) if left[1] > 1 else 0)
+            if fits.any():
                 score = self.tokens * (left[0] / total[0] ** 2) + left[1] / total[1] ** 2 + self.loss * (left[2] / total[2] ** 2)
                 slot = int(np.argmax(np.where(fits, score, -1.0)))
                 piece, rest = self.held[slot], None
-            elif waits.any() and left[2] > 0:
-                slot = int(np.argmax(self.tokens))
+            elif (waits if left[2] > 0 else self.lead > 0).any():
+                slot = int(np.argmax(self.tokens if left[2] > 0 else self.lead))
                 document, start, ids, mask = self.held[slot]
                 end = self._cut(mask[: left[0]], min(left[0], len(ids)), left[2])
                 if int(mask[:end].sum()) > left[2]:
@@ -133,41 +132,49 @@ class VectorPacker:
         self.next += offset > 0
 
     def finish(self) -> Iterator[tuple]:
-        while (waits := int(self.tokens.sum())) > 0:
-            yield from self.fill(self.limits[0] if waits >= self.limits[0] else 1 << waits.bit_length() - 1)
+        while self.tokens.any():
+            yield from self.fill(self.limits[0])
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", mask: str | None = None, tokens: int = SEQUENCE_TOKENS, segments: int = MOST_SEGMENTS, loss: int = MOST_LOSS_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", mask: str | None = None, tokens: int = SEQUENCE_TOKENS, segments: int = MOST_SEGMENTS, loss: int = MOST_LOSS_TOKENS) -> DataFrame:
     """A row for each piece. ``mask``: a column with an array of booleans, one for each id, true where it bears loss;
-    without it every id but the closing one does. Null texts are empty and give the closing id alone."""
+    without it the first of several lines bears none. The closing id bears none. Null texts are empty and give the
+    closing id alone."""
     small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
     cols = [F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")] + ([F.col(mask).alias("mask")] if mask else [])
 
+    def bearing(told: list | None, words: str, ids: np.ndarray, bpe: ByteBpe) -> np.ndarray:
+        bears = np.ones(len(ids) + 1, bool)
+        bears[-1] = False
+        if told is None:
+            bears[: bpe.prompt(words, ids)] = False
+        elif len(told) != len(ids):
+            raise ValueError(f"{len(told)} flags for {len(ids)} ids")
+        else:
+            bears[:-1] = told
+        return bears
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer, ranks, pattern)
+        bpe = ByteBpe(tokenizer)
         packer = VectorPacker(tokens, segments, loss, TaskContext.get().partitionId() << 40)
 
-        def rows(found: list[tuple], like: pa.RecordBatch | None) -> pa.RecordBatch:
+        def rows(found: list[tuple], like: pa.DataType) -> pa.RecordBatch:
             values = [[x[0][0] for x in found], [x[1] for x in found], [len(x[2]) for x in found], [zlib.crc32(x[2].astype("<u4").tobytes()) for x in found], [x[0][1] for x in found], [x[3] for x in found], [x[4] for x in found]]
             return pa.RecordBatch.from_arrays([pa.array(v, like if i == 0 else pa.int64()) for i, v in enumerate(values)], ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         key_type = None
-        for b in batches:
-            out: list[tuple] = []
-            key_type = b.column(0).type
-            masks = b.column(2).to_pylist() if mask else [None] * b.num_rows
-            for k, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), masks, strict=True):
-                ids = np.append(bpe.encode(t), np.uint32(END_ID))
-                bears = np.ones(len(ids), bool)
-                bears[-1] = False
-                if m is not None:
-                    if len(m) != len(ids) - 1:
-                        raise ValueError(f"document {k}: {len(m)} flags for {len(ids) - 1} ids")
-                    bears[:-1] = m
-                out.extend(packer.add((k, len(ids)), ids, bears))
-            if out:
-                yield rows(out, key_type)
+        for whole in batches:
+            for lo, hi in ta.chunks(whole.column(1), ENCODE_BYTES):
+                b = whole.slice(lo, hi - lo)
+                out: list[tuple] = []
+                key_type = b.column(0).type
+                words = b.column(1).to_pylist()
+                masks = b.column(2).to_pylist() if mask else [None] * b.num_rows
+                for k, t, m, ids in zip(b.column(0).to_pylist(), words, masks, bpe.encode(words), strict=True):
+                    out.extend(packer.add((k, len(ids) + 1), np.append(ids, np.uint32(END_ID)), bearing(m, t, ids, bpe)))
+                if out:
+                    yield rows(out, key_type)
         if out := list(packer.finish()):
             yield rows(out, key_type)
 
@@ -178,7 +185,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """``pack`` with the production tokenizer and limits."""
     import public_tokenizers as P
 
-    return pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return pack(docs, P.path("byte_bpe_50k.json"))
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
