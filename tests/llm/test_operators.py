@@ -50,6 +50,15 @@ def test_warc_edges(spark):
     assert sorted(r["record_id"] for r in found) == ["urn:page:1", "urn:page:6"]
     assert all(bytes(r["record"]).startswith(b"WARC/1.1\r\n") for r in found) and any((big + "!").encode() in bytes(r["record"]) for r in found)
     assert warc.read_bundles(warc.archive(pages.limit(0))).count() == 0
+    # A missing key, keys that repeat, columns with other meanings.
+    odd = spark.createDataFrame([(None, "u", big, "x"), (None, "u", None, "x"), (7, "u", big, "x"), (7, "u", big, "x"), (8, "u", "short", None)], "page_id long, url string, html string, digest string").withColumn("key", F.lit(1))
+    seen = sorted(((r["key"], r["record_type"], r["refers_to"]) for r in warc.read_bundles(warc.archive(odd)).collect()), key=str)
+    assert seen == sorted([(None, "revisit", 7), (None, "response", None), (7, "response", None), (7, "response", None), (8, "response", None)], key=str)
+
+
+def test_warc_ranges_are_read_in_parallel(spark):
+    index = spark.createDataFrame([(f"r{i}", "b", i, 0, 1) for i in range(40)], warc.INDEX)
+    assert warc.read_bundles(index, frames_a_task=1).rdd.getNumPartitions() == 40
 
 
 def test_warc_bundles_are_seekable(spark, tmp_path):
@@ -74,6 +83,15 @@ def test_licenses(spark, edge):
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["labels"]) == (2, 1, 3, "cc-by,mit")
     assert (got[3]["n_base"], got[3]["base_labels"], got[3]["score"]) == (1, "reserved", 1)
     assert got[4]["labels"] == got[5]["labels"] == "" and got[4]["first_word"] is None
+    # Notices that cross lines, with a word or two changed, within other text; scattered words are no notice.
+    full = next(t for t, k in licenses.TEMPLATES if k == "bsd-3-clause")
+    wrap = lambda t, n: "\n * ".join(t[i : i + n] for i in range(0, len(t), n)) if n else t
+    other = " ".join(f"lorem{i}" for i in range(90))
+    mit = " ".join(licenses.TEMPLATES[2][0].split()[:-9] + ["or", "its", "other", "uses"])
+    gpl = "This program is free software: you can redistribute\n# it and/or modify it under the\n# terms of the GNU General\n# Public License"
+    text = [(1, other + "\n" + full.replace(" ", "\n") + "\n" + other), (1, other), (2, other + " " + mit + " " + other), (3, gpl), (4, "released " + other + " under the " + other + " mit license"), (None, "Released\nunder the\nMIT License"), (None, other)]
+    met = [(r["doc_id"], r["labels"]) for r in licenses.scan_licenses(spark.createDataFrame(text, "doc_id long, text string")).collect()]
+    assert sorted(met, key=str) == sorted([(1, "bsd,bsd-3-clause"), (1, ""), (2, "mit"), (3, "gpl"), (4, ""), (None, "mit"), (None, "")], key=str)
     seen = licenses.scan_licenses(edge).collect()
     assert len(seen) == len(EDGE) and {r["n_words"] for r in seen if r["doc_id"] in (1, 2, 3)} == {0} and next(r["n_words"] for r in seen if r["doc_id"] == 7) == 40000
 
@@ -83,13 +101,15 @@ def test_set_join_is_exact(spark):
     vocab = licenses.vocabulary()
     rows = [(i, rng.sample(range(len(vocab)), rng.randint(1, 30))) for i in range(300)]
     number = {w: i for i, w in enumerate(vocab)}
-    sets = [{number[w] for w in t.split()} for t, _ in licenses.TEMPLATES]
-    rows += [(1000 + i, rng.sample(sorted(s), licenses.needed(len(s), 0.7)) + rng.sample(range(len(vocab)), 2)) for i, s in enumerate(sets)]
-    rows = [(i, sorted(set(t))) for i, t in rows]
-    blocks = spark.createDataFrame(rows, "block long, tokens array<int>")
+    split = [licenses.words_of(t) for t, _ in licenses.TEMPLATES]
+    sets, steps = [{number[w] for w in t} for t in split], [licenses.step_of(t) for t in split]
+    rows = [(i, rng.choice(steps), t) for i, t in rows]
+    rows += [(1000 + i, steps[i], rng.sample(sorted(s), licenses.needed(len(s), 0.7)) + rng.sample(range(len(vocab)), 2)) for i, s in enumerate(sets)]
+    rows = [(i, n, sorted(set(t))) for i, n, t in rows]
+    blocks = spark.createDataFrame(rows, "block long, step int, tokens array<int>")
     for t in (0.5, 0.7, 1.0):
         got = {(r["block"], r["template"], round(r["containment"], 6)) for r in licenses.join_templates(blocks, threshold=t).collect()}
-        assert got == {(i, k, round(len(s & set(x)) / len(s), 6)) for i, x in rows for k, s in enumerate(sets) if len(s & set(x)) >= licenses.needed(len(s), t)}
+        assert got == {(i, k, round(len(s & set(x)) / len(s), 6)) for i, n, x in rows for k, s in enumerate(sets) if n == steps[k] and len(s & set(x)) >= licenses.needed(len(s), t)}
 
 
 def test_decontamination(spark, docs, texts, edge):
@@ -142,6 +162,24 @@ def test_digests(spark, docs, texts, edge, none):
     assert digests.fingerprints(edge).count() == len(EDGE)
 
 
+def test_digest_runs_of_any_keys(spark):
+    """Keys far apart, negative, at the ends of their type, repeated and missing: every run stays small, neighbours are right."""
+    rng = random.Random(5)
+    keys = [*range(3000), 10**15, -9 * 10**18, 9 * 10**18, -(2**63), 2**63 - 1, *range(-2000, -1900), *[77] * 50, *[None] * 400]
+    rows = [(k, f"text {i} " + "x" * rng.randint(0, 40)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in digests.neighbour_runs(df, run_rows=256).where("ahead = 0").groupBy("run").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 800 and len(sizes) > 8
+    got = {(r["doc_id"], r["fingerprint"]): r["edited_sha256"] for r in digests.edited_digests(df).collect()}
+    told = sorted(k for k in keys if k is not None and keys.count(k) == 1)
+    text = dict(rows)
+    for below, k in zip(told, told[1:]):
+        if below + 1 < k and 77 in range(below, k):
+            continue
+        edited = text[k][: len(text[k]) - len(text[k]) // 2] + text[below][: len(text[k]) // 2]
+        assert got[k, digests.digest(text[k].encode()).hex()] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_preferences(spark):
     t = "pair_id long, turn long, role string, text string"
     chosen = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", None), (3, 0, "user", "x"), (4, 0, "user", "only")], t)

@@ -34,12 +34,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 HOT_ROWS, MOST_HOT = 1000, 10_000
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``found``, which has one row for each key and in ``n`` the number of rows with it (about ``total`` in all).
+def lookup(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``found``, which has one row for each key and in ``n`` the number of rows with it (about ``total`` in all).
 
     Keys with very many rows would fill one task: they are few, which bounds their table, and it is broadcast.
     """
     bound = max(HOT_ROWS, total // MOST_HOT)
     hot = found.where(F.col("n") > bound)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("n") <= bound), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("n") <= bound), key, how)
     return cold.unionByName(rows.join(F.broadcast(hot), key).select(*cold.columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ STEP = np.array([0, 1, 2, 6], dtype=np.int64)
 LENGTH_WEIGHT, LENGTH_MOST, RATIO_MOST = 4, 60, 12
 #: Upper bound of the difference; a greater one counts as this.
 MOST = 300
-#: Documents in a run of neighbours, and runs at most (their first documents are broadcast: 16 bytes each).
+#: Documents in a run of neighbours, and runs at most (their borders reach the driver: 16 bytes each).
 RUN_ROWS, MOST_RUNS = 1024, 100_000
+#: Runs that one task takes.
+RUNS_A_TASK = 4
 
 
 def digest(data: bytes) -> bytes:
@@ -85,31 +88,40 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def neighbour_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
     """Documents dealt into runs of neighbours by descending key, each run with the first document of the next one.
 
-    A run is a range of keys of equal width, about ``run_rows`` documents. Texts are shuffled once. What is broadcast
-    is one row for each run, of which there are at most MOST_RUNS. Columns: run, ahead (1: the next run's document),
-    key, text; sorted by them within partitions, the key descending and null last.
+    Keys are ranked by range partitions, so that a run has about ``run_rows`` documents whatever the keys are: far
+    apart, negative, or at the ends of their type. Rows of one key, and rows without a key, are told apart by a hash of
+    their texts, so they too are dealt over several runs. Texts are shuffled once; what is broadcast is three numbers for
+    each run. Columns: run, ahead (1: the next
+    run's document), key, text; sorted by them within partitions, the key descending and null last.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lo, hi, n = rows.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    lo, hi = lo or 0, hi or 0
-    width = max(1, -(-(hi - lo + 1) * max(run_rows, -(-n // MOST_RUNS)) // max(1, n)))
-    run = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(F.floor((F.col("key") - F.lit(lo)) / F.lit(width))).cast("long")
-    tops = rows.select(run.alias("run"), "key").groupBy("run").agg(F.max("key").alias("top"))
-    found = sorted(((r["run"], r["top"]) for r in tops.collect()), reverse=True)  # MOST_RUNS rows at most
-    after = [(found[i][0], found[i][1], found[i - 1][0]) for i in range(len(found))]  # seen from the run before; the first follows the last
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(after, "next_run long, top long, for_run long"))
-    own = rows.withColumn("run", run)
-    dealt = own.join(wanted, (F.col("run") == F.col("next_run")) & F.col("key").eqNullSafe(F.col("top")), "left")
-    to = F.array(F.struct("run", F.lit(0).alias("ahead")), F.struct(F.col("for_run").alias("run"), F.lit(1).alias("ahead")))
-    dealt = dealt.select(F.explode(F.filter(to, lambda x: x["run"].isNotNull())).alias("to"), "key", "text").select("to.run", "to.ahead", "key", "text")
-    return dealt.repartition("run").sortWithinPartitions("run", "ahead", F.desc_nulls_last("key"), F.xxhash64("text"), "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    down = F.coalesce(-F.col("key").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    ranked = rows.select(F.col("key").isNull().cast("int").alias("none"), down.alias("down"), "mark")
+    runs = max(1, min(MOST_RUNS, -(-ranked.count() // run_rows)))
+    firsts = ranked.repartitionByRange(runs, "none", "down", "mark").groupBy(F.spark_partition_id().alias("run")).agg(F.min(F.struct("none", "down", "mark")).alias("first"))
+    tops = sorted((r["first"]["none"], int(r["first"]["down"]), r["first"]["mark"]) for r in firsts.collect())  # MOST_RUNS rows at most
+    borders = docs.sparkSession.sparkContext.broadcast(tops)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [(int(k is None), -k if k is not None else 0, m) for k, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            run = [max(0, bisect_right(borders.value, x) - 1) for x in at]
+            # The first document of a run is seen from the run before as well; that of the first run from the last.
+            opens = [i for i, (x, r) in enumerate(zip(at, run, strict=True)) if borders.value[r] == x]
+            take = list(range(len(at))) + opens
+            to = run + [(run[i] - 1) % len(borders.value) for i in opens]
+            ahead = [0] * len(at) + [1] * len(opens)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ahead, pa.int32()), *[b.column(i).take(pa.array(take, pa.int64())) for i in range(3)]], ["run", "ahead", "key", "text", "mark"])
+
+    dealt = rows.mapInArrow(deal, "run long, ahead int, key long, text string, mark long")
+    return dealt.repartition(-(-len(tops) // RUNS_A_TASK) or 1, "run").sortWithinPartitions("run", "ahead", F.desc_nulls_last("key"), "mark", "text").drop("mark")
 
 
 def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document the digest of its text and of its edited text, and likenesses to the edited and the next text.
 
-    Null texts are empty. Equal keys are separate rows, in the order of a hash of their texts. A single document is
-    its own next one. Null keys come last.
+    Null texts are empty. Equal keys are separate rows, in the order of a hash of their texts; rows equal in both stay
+    in one run. A single document is its own next one. Null keys come last.
     """
     small_batches(docs.sparkSession)
     schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

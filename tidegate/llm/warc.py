@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.base import materialise, scratch, small_batches, table
+from tidegate.llm.base import lookup, materialise, scratch, small_batches, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct("<IBI")
@@ -31,6 +31,8 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct(
 FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 64 * 1024 * 1024
 #: Frames that one reading task takes at a time.
 FRAMES_A_TASK = 64
+#: Tasks of a reading stage at most; beyond, each reads several ranges.
+MOST_TASKS = 20_000
 #: A payload of fewer bytes is always stored in full.
 REVISIT_MIN_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,13 +155,16 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """Rows to write: key, url, payload, digest, length, kind and refers_to.
 
     Of equal payloads of at least ``min_bytes`` bytes the one with the largest key is the response and the others
-    revisit it. Digests are counted with a partial aggregate; only those seen twice or more are joined back, and a
-    digest that holds a great share of the rows is split by the adaptive skew join. A null key loses to any other.
+    revisit it. Digests of such payloads are counted with a partial aggregate, and those seen twice or more are joined
+    back; a digest of very many rows is joined apart. A null key loses to any other.
     """
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
-    shared = rows.where(F.col("length") >= min_bytes).groupBy("digest", "length").agg(F.max("key").alias("first_key"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, ["digest", "length"], "left")
+    long, short = rows.where(F.col("length") >= min_bytes), rows.where(F.col("length") < min_bytes)
+    counts = long.groupBy("digest").agg(F.max("key").alias("first_key"), F.count("*").alias("n"))
+    several = materialise(counts.where("n > 1"), "warc-shared")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = lookup(long, several, "digest", total, "left").drop("n").unionByName(short, allowMissingColumns=True)
     revisit: Column = F.col("first_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("first_key"))
     return joined.select("key", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "digest", "length", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_key")).alias("refers_to"))
 
@@ -212,7 +217,8 @@ def read_bundles(index: DataFrame, frames_a_task: int = FRAMES_A_TASK) -> DataFr
                 for _, plain in read_frames(r["bundle"], range(r["lo"], r["hi"] + 1)):
                     yield digest_rows(parse_records(plain))
 
-    return ranges.repartition("bundle", "part").mapInArrow(read, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A range is a few bytes that stand for megabytes: so many tasks as ranges, which adaptive execution keeps.
+    return ranges.repartition(min(MOST_TASKS, max(1, ranges.count())), "bundle", "part").mapInArrow(read, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def digest_rows(records) -> pa.RecordBatch:
@@ -236,7 +242,9 @@ def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Columns: record_id, record (the bytes). Identifiers that the index lacks give no row.
     """
-    found = index.join(wanted.select("record_id").distinct(), "record_id", "left_semi").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame")
+    found = materialise(index.join(wanted.select("record_id").distinct(), "record_id", "left_semi"), "warc-wanted")
+    tasks = min(MOST_TASKS, max(1, found.select("bundle", "frame").distinct().count() // FRAMES_A_TASK + 1))
+    found = found.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, plain = None, b""
