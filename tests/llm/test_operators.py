@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -252,6 +253,29 @@ def test_vector_limits(limits):
     assert {d: [x for _, p in sorted(ps) for x in p] for d, ps in pieces.items()} == {d: list(ids) for d, (ids, _) in docs.items()}
 
 
+def test_latent_lines():
+    """The chance that all lines are good against enumeration; lines of bad documents that look good are labelled good."""
+    rng = np.random.default_rng(6)
+    for n in range(1, 7):
+        e, moves = rng.normal(size=n), rng.normal(size=(2, 2))
+        f, b = quality.pass_messages(e, quality.chains(np.array([0, n])), moves)
+        score = {y: sum(e[i] * v for i, v in enumerate(y)) + sum(moves[p, q] for p, q in zip(y, y[1:])) for y in itertools.product((0, 1), repeat=n)}
+        want = score[(1,) * n] - np.log(sum(np.exp(v) for v in score.values()))
+        assert abs(quality.all_good(e, b, np.array([0, n]), moves)[0] - want) < 1e-9
+    rows, label, truth = [], [], []
+    for i in range(300):
+        good = [1] * int(rng.integers(3, 9))
+        if i % 2:
+            at = int(rng.integers(0, len(good)))
+            good[at : at + 3] = [0] * len(good[at : at + 3])
+        rows.append("\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12)) + "." if g else " ".join(rng.choice(["$$$", "###", "A!!", "B!!"], 12)) for g in good))
+        label.append(1 - i % 2)
+        truth += good
+    x, size, begin = quality.line_features(pa.array(rows))
+    field = quality.fit_field(x, size, begin, np.array(label))
+    assert np.mean((quality.line_marginals(field, x, begin) >= 0.5) == np.array(truth)) > 0.98
+
+
 def test_quality(spark, edge, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     field = quality.fit(docs, labels.where(~quality.held_out()))

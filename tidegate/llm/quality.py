@@ -5,9 +5,11 @@ those of the lines beside it score the labels; the chain's transitions tie neigh
 passes give the marginal of each line, and marginals weighted by line length, calibrated against the labels of
 documents, give the quality of a document.
 
-The field is fitted on a bounded sample: SAMPLE_DOCS labelled documents in expectation, chosen by a hash of the key;
-the lines of a document take its label. A chain of two labels needs one number a line for each message, the log-odds
-of good against bad, so all documents of a batch are passed along together.
+The labels of lines are latent: all lines of a good document are good, and a bad document holds a bad line at least,
+wherever it stands. The field maximises the likelihood of that, so that lines of bad documents which look like those
+of good ones are labelled good. It is fitted on a bounded sample: SAMPLE_DOCS labelled documents in expectation, chosen
+by a hash of the key. A chain of two labels needs one number a line for each message, the log-odds of good against
+bad, so all documents of a batch are passed along together.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import textarrays as ta
-from tidegate.llm.base import small_batches, table
+from tidegate.llm.base import materialise, small_batches, table
 
 #: Labelled documents that the field is fitted on, in expectation.
 SAMPLE_DOCS = 8000
+#: Lines of that sample, in expectation: where it has more, documents are thinned out again.
+SAMPLE_LINES = 200_000
 PREDICT_AT = 0.3
 #: Words of a passage that counts as repeated where it stands twice in a document.
 REPEAT_WORDS = 5
@@ -151,13 +155,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def all_good(e: np.ndarray, backward: np.ndarray, begin: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For each document the log of the chance that all its lines are good; 0 without lines."""
+    odds = e + backward + moves[1, 1] - moves[1, 0]  # of good after a good line
+    first = begin[:-1][np.diff(begin) > 0]
+    odds[first] = e[first] + backward[first]
+    return np.diff(np.concatenate(([0.0], np.cumsum(-np.logaddexp(0, -odds))))[begin])
+
+
 def fit_field(x: np.ndarray, size: np.ndarray, begin: np.ndarray, label: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-3) -> Field:
-    """Gradient ascent (Adam) on the likelihood of the line labels; documents weigh alike, both labels as they come."""
+    """Gradient ascent (Adam) on the likelihood of the documents' labels with latent lines; documents weigh alike.
+
+    Of a good document the gradient is what all-good lines have beyond expectation. Of a bad one, in which all are
+    good with the chance p, expectation given a bad line exceeds plain expectation by p / (1 - p) times the opposite.
+    """
     lines = np.diff(begin)
     mean, spread = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / spread
-    y = np.repeat(label.astype(float), lines)
-    weight = np.repeat(1 / np.maximum(1, lines), lines)
     docs = max(1, int((lines > 0).sum()))
     steps = chains(begin)
     p = np.zeros(z.shape[1] + 5)
@@ -166,7 +180,10 @@ def fit_field(x: np.ndarray, size: np.ndarray, begin: np.ndarray, label: np.ndar
         w, bias, moves = p[:-5], p[-5], p[-4:].reshape(2, 2)
         e = z @ w + bias
         f, b = pass_messages(e, steps, moves)
-        miss = weight * (y - sigmoid(f + b))
+        sure = np.exp(np.minimum(all_good(e, b, begin, moves), -1e-3))
+        pull = np.where(label > 0, 1.0, -sure / (1 - sure)) / np.maximum(1, lines)
+        weight = np.repeat(pull, lines)
+        miss = weight * (1 - sigmoid(f + b))
         g = np.concatenate([z.T @ miss, [miss.sum()], np.zeros(4)]) / docs
         pairs = np.zeros(4)
         for t in range(1, len(steps)):
@@ -175,8 +192,7 @@ def fit_field(x: np.ndarray, size: np.ndarray, begin: np.ndarray, label: np.ndar
             score = np.stack([moves[0, 0] + 0 * after, moves[0, 1] + after, f[old] + moves[1, 0], f[old] + moves[1, 1] + after], 1)
             share = np.exp(score - score.max(1, keepdims=True))
             share /= share.sum(1, keepdims=True)
-            seen = np.stack([1 - y[here], 0 * after, 0 * after, y[here]], 1)
-            pairs += ((seen - share) * weight[here][:, None]).sum(0)
+            pairs += ((np.array([0.0, 0.0, 0.0, 1.0]) - share) * weight[here][:, None]).sum(0)
         g[-4:] = pairs / docs
         g -= ridge * p
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
@@ -189,16 +205,20 @@ def fit_field(x: np.ndarray, size: np.ndarray, begin: np.ndarray, label: np.ndar
     return field
 
 
+def line_marginals(field: Field, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The chance of each line to be good, given all lines of its document."""
+    f, b = pass_messages(field.emissions(x), chains(begin), field.moves)
+    return sigmoid(f + b)
+
+
 def raw_quality(field: Field, x: np.ndarray, size: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each document a one, the log-odds of its length-weighted share of good lines, and its log length."""
     out = np.zeros((len(begin) - 1, 3))
     filled = np.flatnonzero(np.diff(begin))
     if len(filled):
-        e = field.emissions(x)
-        f, b = pass_messages(e, chains(begin), field.moves)
         at = begin[:-1][filled]
         total = np.add.reduceat(size, at)
-        share = np.clip(np.add.reduceat(sigmoid(f + b) * size, at) / total, 1e-4, 1 - 1e-4)
+        share = np.clip(np.add.reduceat(line_marginals(field, x, begin) * size, at) / total, 1e-4, 1 - 1e-4)
         out[filled] = np.stack([np.ones(len(at)), np.log(share / (1 - share)), np.log1p(total) / 10], 1)
     return out
 
@@ -222,16 +242,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
     share = min(1.0, most / max(1, told.count()))
     luck = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(told.where(luck < share)), "key").select("y", "text")
+    again = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("lines")), F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(told.where(luck < share)), "key").select("y", again.alias("again"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = ta.column(b, "text")
             for lo, hi in ta.chunks(texts):
                 x, size, begin = line_features(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())], ["y", "x", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(begin), pa.int64()), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())], ["y", "again", "lines", "x", "size"])
 
-    got = rows.mapInArrow(run, "y int, x binary, size binary").toPandas()
+    sample = materialise(rows.mapInArrow(run, "y int, again double, lines long, x binary, size binary"), "quality-sample")
+    lines = sample.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    got = sample.where(F.col("again") < SAMPLE_LINES / max(1, lines)).toPandas()
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES).astype(float)
@@ -241,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_quality(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score (0 to 1) and lines. A null or empty text has no line and the score of the labels' mean; so has every text without a field."""
+    """key, score (0 to 1), lines, bad_lines and good: for each line whether it is good. A null or empty text has no
+    line and the score of the labels' mean; so has every text without a field, whose lines are all good."""
     small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
     prior = field.prior if field else 0.5
@@ -252,16 +276,19 @@ def score_quality(docs: DataFrame, field: Field | None, key: str = "doc_id", tex
             for lo, hi in ta.chunks(texts):
                 x, size, begin = line_features(texts.slice(lo, hi - lo))
                 lines = np.diff(begin)
-                score = np.full(hi - lo, prior)
+                score, good = np.full(hi - lo, prior), np.ones(len(x), bool)
                 if field is not None and len(x):
                     score = np.where(lines > 0, sigmoid(raw_quality(field, x, size, begin) @ field.scale), prior)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(score), pa.array(lines, pa.int64())], ["key", "score", "lines"])
+                    good = line_marginals(field, x, begin) >= 0.5
+                bad = np.diff(np.concatenate(([0], np.cumsum(~good)))[begin])
+                marks = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(good))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(score), pa.array(lines, pa.int64()), pa.array(bad, pa.int64()), marks], ["key", "score", "lines", "bad_lines", "good"])
 
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"key {kind}, score double, lines long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"key {kind}, score double, lines long, bad_lines long, good array<boolean>").withColumnRenamed("key", key)
 
 
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents``; learned without the held-out fifth."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_quality(docs, fit(docs, labels.where(~held_out())))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "lines")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "lines", "bad_lines")
