@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_registry import rows_of
-from tidegate.llm import decontaminate, digests, language, licenses, packing, preferences, quality, queries, warc
+from tidegate.llm import digests, language, licenses, packing, preferences, quality, queries, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,22 +113,6 @@ def test_set_join_is_exact(spark):
         assert got == {(i, k, round(len(s & set(x)) / len(s), 6)) for i, n, x in rows for k, s in enumerate(sets) if n == steps[k] and len(s & set(x)) >= licenses.needed(len(s), t)}
 
 
-def test_decontamination(spark, docs, texts, edge):
-    items = spark.createDataFrame([(1, "yesterday Tom had 5 apples and gave 3 apples to Anna but then Tom lost 5 kg of them"), (2, "tiny item"), (3, None), (4, "Short question with eight words in it here")], "item_id long, text string")
-    rows = spark.createDataFrame([(1, "intro words here. yesterday Mark had 8 apples and gave 2 apples to Julia but then Mark lost 8 kg of them. more"), (2, "yesterday Tom had 5 apples and gave 3 apples to Anna but then Tom lost 5 kg of them"),
-                                  (3, "yesterday Mark had 8 apples and gave 2 apples to Julia but then Peter lost 9 kg of them"), (4, "yesterday we had apples"), (5, None), (6, "and before that, Short question with eight words in it here and more")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in decontaminate.find_leaks(rows, items).collect()}
-    assert {k: r["kind"] for k, r in got.items()} == {1: "reparameterised", 2: "exact", 6: "exact"}
-    assert decontaminate.find_leaks(edge, items).count() == 0
-    assert decontaminate.find_leaks(rows, items.limit(0)).count() == 0 and decontaminate.find_leaks(rows.limit(0), items).count() == 0
-    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    bench = {r["item_id"]: WORD.findall(r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    exact = {(d, i) for d, t in texts.items() for i, w in bench.items() if shingles(w) and shingles(w) <= shingles(WORD.findall(t.lower()))}
-    some = {(d, i) for d, t in texts.items() for i, w in bench.items() if len(shingles(w) & shingles(WORD.findall(t.lower()))) >= 0.5 * len(shingles(w)) > 0}
-    assert exact <= found <= some
-
-
 def test_language(spark, docs, edge, none):
     model = language.fit(docs.where(~language.held_out()))
     got = language.predict(docs.where(language.held_out()), model, keep=("doc_id", "lang")).toPandas()
