@@ -23,33 +23,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document of least doc_id, once; a document without words is in no class."""
-    classes = neardup.near_duplicates(docs)
-    others = materialise(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-near")
-    kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    if not repeats(docs):
-        return kept
-    # Of the rows of one doc_id the one of least text stays; rows without a doc_id all stay.
-    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), *COLUMNS[1:])).alias("x"))
-    return kept.where("doc_id IS NULL").union(one.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in COLUMNS[1:]]))
-
-
-def repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands in several rows."""
-    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    """Keeps one row of each class of near duplicates, that of least doc_id; rows are told apart by doc_id and text, and a missing doc_id is no exception. A document without words is in no class."""
+    return neardup.without_duplicates(docs).select(*COLUMNS)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak an item of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    found = materialise(leaks.select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows that leak an item of the benchmark."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows the new text."""
-    clean = pii.redact(docs, pii.learn(docs))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
