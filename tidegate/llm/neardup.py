@@ -292,21 +292,23 @@ def texts_of(ids: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text:
     return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
-def attach(pairs: DataFrame, rows: DataFrame, end: str, total: int) -> DataFrame:
-    """``pairs`` with the text of one end. A text of many pairs is copied once for PAIRS_A_TEXT of them, so that no task gets them all."""
-    counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
-    copies = F.ceil(F.col("n") / PAIRS_A_TEXT).cast("int")
-    dealt = lookup(pairs, counts, end, total).withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("n")
-    several = counts.select(F.col(end).alias("id"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    held = several.join(rows, "id").select(F.col("id").alias(end), "copy", F.col("text").alias(f"text_{end}"))
-    return dealt.hint("merge").join(held, [end, "copy"]).drop("copy")
+def deal_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs with copy_a and copy_b: a text of many pairs is copied once for PAIRS_A_TEXT of them, so that no task gets them all; written."""
+    dealt, total = pairs.select("a", "b"), pairs.count()
+    for end in ("a", "b"):
+        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        dealt = lookup(dealt, counts, end, total).withColumn(f"copy_{end}", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / PAIRS_A_TEXT)).cast("int")).drop("n")
+    return materialise(dealt, "neardup-dealt")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
     """The pairs (written ids a, b) whose texts are similar enough, with their similarity."""
-    total = pairs.count()
+    both = dealt = deal_pairs(pairs)
     rows = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, docs, key, text)
-    both = attach(attach(pairs.select("a", "b"), rows, "a", total), rows, "b", total)
+    for end in ("a", "b"):
+        copies = dealt.select(F.col(end).alias("id"), f"copy_{end}").distinct()
+        held = copies.join(rows, "id").select(F.col("id").alias(end), f"copy_{end}", F.col("text").alias(f"text_{end}"))
+        both = both.hint("merge").join(held, [end, f"copy_{end}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,6 +333,7 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = lookup(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = materialise(large, f"{name}-step")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = lookup(large, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         edges = materialise(small, name)
@@ -490,8 +493,10 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     texts = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")
     named = settled_classes(texts, docs, key, text, least)
     placed = texts.select("same", "n", "rep", "id").join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    best = placed.groupBy("class").agg(F.min("rep").alias("best"), F.count("*").alias("m"))
-    placed = lookup(placed.select("same", F.col("n").alias("rows"), "rep", "class"), best.withColumnRenamed("m", "n"), "class", texts.count()).select("same", F.col("rows").alias("n"), "class", "best", "rep")
+    placed = materialise(placed, "neardup-placed")
+    best = placed.groupBy("class").agg(F.min("rep").alias("best"), F.count("*").alias("n"))
+    placed = lookup(placed.select("same", F.col("n").alias("rows"), "rep", "class"), best, "class", placed.count())
+    placed = materialise(placed.select("same", F.col("rows").alias("n"), "class", "best", "rep"), "neardup-named")
     out = lookup(told.select("key", "mark", "same"), placed, "same", seen.count())
     stays = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
     out = out.select("key", "mark", "class", F.col("best.key").alias("class_id"), F.col("rep.key").alias("same_as"), stays.alias("stays"))
