@@ -1,54 +1,85 @@
 """Structured Streaming forms of the windowed operators.
 
 Packets are read as a file stream, aggregated by event time under a watermark and written batch by batch; every batch
-writes a folder of its own, so that a batch that is run again replaces its own output and nothing else.
+writes a folder of its own, so that a batch that is run again replaces its own output and nothing else. Windows are
+written once, when the watermark has passed them (append mode), and their state is dropped then. A stream that has
+ended is closed by a last row in the far future (``close``), which moves the watermark past all windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegate.sources.packages import ship
 from tidegate.sources.storage import scratch
 from tidegate.sources.tables import packets_of, table
 
+#: The time of the row that ends a stream.
+END = datetime.datetime(9000, 1, 1)
 
-def packet_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """Packets of the events table as a stream with event time ``ts`` and a watermark."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return packets_of(events).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
+@dataclass
+class PacketStream:
+    """A stream of packets, and the folder in which a row ends it."""
 
-def run_available(df: DataFrame, name: str, mode: str = "complete", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what is there and return what it wrote: in complete mode the last batch, else all batches."""
+    rows: DataFrame
+    end: str
+    schema: object = field(repr=False)
+
+    def close(self) -> None:
+        spark = self.rows.sparkSession
+        last = spark.createDataFrame([tuple(END if f.name == "ts" else None for f in self.schema)], self.schema)
+        last.coalesce(1).write.mode("append").parquet(self.end)
+
+
+def stream_of(spark: SparkSession, path: str, schema, delay: str = "1 hour", **options) -> PacketStream:
+    """Packets of the events under a path as a stream with event time ``ts`` and a watermark."""
+    end = scratch(spark, "stream-end")
+    spark.createDataFrame([], schema).write.parquet(end)
+    events = spark.readStream.schema(schema).options(**options).parquet(path).union(spark.readStream.schema(schema).parquet(end))
+    rows = packets_of(events).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return PacketStream(rows, end, schema)
+
+
+def packet_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> PacketStream:
+    """The events table as a stream of packets."""
+    return stream_of(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, delay)
+
+
+def on_time(ts: str = "ts"):
+    """Leaves out the row that ends the stream."""
+    return F.col(ts) < F.lit(END)
+
+
+def run_available(stream: PacketStream, df: DataFrame, name: str, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run ``df``, made from the stream, over what is there; close the stream, run on from the checkpoint, and return what all batches wrote.
+
+    In complete mode (for results of a fixed size) the last batch is returned.
+    """
     spark = df.sparkSession
     out, checkpoint = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
-    batches: list[int] = []
+    batches: set[int] = set()
 
     def write(batch: DataFrame, number: int) -> None:
         (then(batch) if then else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batches.append(number)
-
-    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    paths = [f"{out}/batch={n}" for n in (batches[-1:] if mode == "complete" else batches)]
-    return spark.read.parquet(*paths)
+        batches.add(number)
 
+    for last in (False, True):
+        if last:
+            stream.close()
+        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = sorted(batches)
+    return spark.read.parquet(*[f"{out}/batch={n}" for n in (done[-1:] if mode == "complete" else done)])
 
-def first_seen(stream: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """The first event time of each key, latched: a key is reported once and its state stays."""
 
-    def latch(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        least = min(f[ts].min() for f in frames)
-        if not state.exists:
-            state.update((int(least.value // 1000),))
-            yield pd.DataFrame({key: [k[0]], "first_us": [int(least.value // 1000)]})
+def first_seen(stream: PacketStream, rows: DataFrame, key: str, name: str, ts: str = "ts") -> DataFrame:
+    """The first event time of each key over all batches, in whatever order they come: key, first_us.
 
-    ship(stream.sparkSession)
-    return stream.select(key, ts).groupBy(key).applyInPandasWithState(latch, f"{key} long, first_us long", "first_us long", "append", GroupStateTimeout.NoTimeout)
+    The state is one number for each key. A key is written anew when an earlier time comes in; the least is the result.
+    """
+    least = rows.where(on_time(ts)).groupBy(key).agg(F.min(F.unix_micros(ts)).alias("first_us"))
+    return run_available(stream, least, name, "update").groupBy(key).agg(F.min("first_us").alias("first_us"))
