@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.operators.series import split_lag
 from tidegate.sources.packages import ship
 
 LONG_HEADER, FIXED_BIT, ACK_FRAME = 0x80, 0x40, 0x02
@@ -63,13 +64,30 @@ def scan_acks(payload: bytes) -> tuple[int, int | None]:
     return found, largest
 
 
-def ack_frames(rows: DataFrame) -> DataFrame:
-    """pkt_id, acks, largest of each payload; a scan from byte to byte, by Arrow batches."""
+def ack_frames(rows: DataFrame, keep: tuple[str, ...] = ("pkt_id",)) -> DataFrame:
+    """The columns to keep, acks and largest of each payload; a scan from byte to byte, by Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [scan_acks(x or b"") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["pkt_id", "acks", "largest"])
+            found = [scan_acks(x or b"") for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], [*keep, "acks", "largest"])
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "pkt_id long, acks long, largest long")
+    kinds = dict(rows.dtypes)
+    return rows.select(*keep, "payload").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "acks long", "largest long"]))
+
+
+def acknowledgements(rows: DataFrame) -> DataFrame:
+    """pkt_id, ts, src_ip and largest (the greatest number acknowledged) of the packets whose payload acknowledges; ``rows`` has payload."""
+    return ack_frames(rows, ("pkt_id", "ts", "src_ip")).where("acks > 0")
+
+
+def acknowledged_jumps(rows: DataFrame) -> DataFrame:
+    """pkt_id, ts, src_ip and jump: the largest number acknowledged less that of the source's acknowledgement before."""
+    seen = split_lag(acknowledgements(rows), "src_ip", ("ts", "pkt_id"), "largest", F.date_trunc("day", "ts"), "before")
+    return seen.select("pkt_id", "ts", "src_ip", (F.col("largest") - F.col("before")).alias("jump"))
+
+
+def ack_bursts(acks: DataFrame, pane: str = "100 milliseconds", most: int = 100) -> DataFrame:
+    """src_ip, pane (its start) and n for each pane in which a source acknowledges more than ``most`` times."""
+    return acks.groupBy("src_ip", F.window("ts", pane).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("src_ip", F.col("p.start").alias("pane"), "n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.sources.packages import ship
+
 c = F.col
 
 #: The features of the multiclass model.
@@ -49,26 +52,53 @@ def split(rows: DataFrame, key: str, train: int = 70, validate: int = 15) -> Dat
     return rows.withColumn("split", F.when(part < train, "train").when(part < train + validate, "validate").otherwise("test"))
 
 
-def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], trees: int = 20, depth: int = 6):
-    """A fitted pipeline: label index (alphabetical), assembled features, random forest."""
+def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], trees: int = 100, depth: int = 6, kind: str = "forest"):
+    """A fitted pipeline: label index (alphabetical), assembled features, and a forest, a single tree, or boosted trees
+    (``trees`` rounds for each class against the others)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    columns = {"labelCol": "label_index", "featuresCol": "features"}
+    if kind == "boosted":
+        learner = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=7), **columns)
+    elif kind == "tree":
+        learner = DecisionTreeClassifier(maxDepth=depth, seed=7, **columns)
+    else:
+        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, **columns)
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"), VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(labelCol="label_index", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7),
+        learner,
     ]).fit(rows)
 
 
+def save_model(model, path: str, spark) -> None:
+    """The fitted pipeline, and beside it the mapping of indexes to labels as JSON."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(model.stages[0].labels)), "idx int, label string").coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+
+
+def load_model(path: str, spark):
+    """The pipeline, and its labels in the order of their indexes."""
+    from pyspark.ml import PipelineModel
+
+    labels = spark.read.schema("idx int, label string").json(f"{path}/labels").orderBy("idx").collect()  # a row for each class
+    return PipelineModel.load(f"{path}/model"), [r["label"] for r in labels]
+
+
 def score_multiclass(model, rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` with predicted (a label's name) and confidence; the first of equal classes wins."""
+    """``rows`` with predicted (a label's name), confidence and probabilities (by label index); the first of equal classes wins."""
     from pyspark.ml.functions import vector_to_array
 
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     p = vector_to_array("probability")
     best = F.array_max("p")
-    return model.transform(rows).withColumn("p", p).select(*rows.columns, F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("predicted"), best.alias("confidence"))
+    return model.transform(rows).withColumn("p", p).select(*rows.columns, F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("predicted"), best.alias("confidence"), c("p").alias("probabilities"))
+
+
+def gated(predicted: Column, confidence: Column, benign: str = "benign", least: float = 0.75) -> Column:
+    """An attack, if the model says so and is confident."""
+    return (predicted != benign) & (confidence >= least)
 
 
 def hybrid_decision(rule: Column, model: Column) -> Column:
@@ -76,12 +106,28 @@ def hybrid_decision(rule: Column, model: Column) -> Column:
 
 
 def score_with(model, rows: DataFrame, features: tuple[str, ...], fallback: Callable[[DataFrame], Column]) -> DataFrame:
-    """``rows`` with score: of a model with predict_proba, by Arrow batches; without a model, the fallback column."""
+    """``rows`` with score: of a model with predict_proba, by Arrow batches. Without a model, and for a batch in which it fails, the fallback column."""
+    ruled = rows.withColumn("score", fallback(rows))
     if model is None:
-        return rows.withColumn("score", fallback(rows))
+        return ruled
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(score=[float(p[-1]) for p in model.predict_proba(f[list(features)])])
+            try:
+                yield f.assign(score=[float(p[-1]) for p in model.predict_proba(f[list(features)])])
+            except Exception as e:  # whatever a model of another library may raise
+                logging.getLogger(__name__).warning("the model failed, the rules score instead: %s", e)
+                yield f
+
+    ship(rows.sparkSession)
+    return ruled.mapInPandas(run, ruled.schema)
+
+
+class ShareModel:
+    """The simplest model of two classes: the probability of the second is one column's share of another."""
+
+    def __init__(self, part: str, whole: str):
+        self.part, self.whole = part, whole
 
-    return rows.mapInPandas(run, rows.withColumn("score", F.lit(0.0)).schema)
+    def predict_proba(self, rows: pd.DataFrame) -> list[tuple[float, float]]:
+        return [(1 - p, p) for p in rows[self.part] / rows[self.whole]]

@@ -73,23 +73,28 @@ def doc_decision_tree(spark, sf):
 
 
 EWMA = """, n AS (SELECT w, packets, row_number() OVER (ORDER BY w) AS k FROM counters),
-e AS (WITH RECURSIVE r(k, w, packets, m) AS (SELECT k, w, packets, CAST(packets AS DOUBLE) FROM n WHERE k = 1 UNION ALL SELECT n.k, n.w, n.packets, 0.1::DOUBLE * n.packets + 0.9::DOUBLE * r.m FROM n JOIN r ON n.k = r.k + 1) SELECT * FROM r)
-SELECT w, round(m, 6) AS ewma FROM e"""
+e AS (WITH RECURSIVE r(k, w, packets, m, v, z) AS (SELECT k, w, packets, CAST(packets AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.w, n.packets, 0.1::DOUBLE * n.packets + 0.9::DOUBLE * r.m, 0.9::DOUBLE * (r.v + 0.1::DOUBLE * (n.packets - r.m) * (n.packets - r.m)), CASE WHEN r.v > 0 THEN (n.packets - r.m) / sqrt(r.v) ELSE 0 END FROM n JOIN r ON n.k = r.k + 1) SELECT * FROM r)
+SELECT w, round(m, 6) AS ewma, round(z, 6) AS z, z > 3 AS alert FROM e"""
 
 
 @query("doc_ewma_zscore", sql("", "counters").rstrip() + EWMA)
 def doc_ewma_zscore(spark, sf):
-    """The running mean is a fold over the windows of a sensor, a row for each; packets are aggregated before."""
+    """The running mean and variance are a fold over the windows of a sensor, a row for each; packets are aggregated
+    before. z is the distance of a window from the mean before it, in deviations before it."""
     rows = K.window_counters(packets(spark, sf), DAY, only=("packets",)).withColumn("sensor", F.lit("s1"))
     series = rows.groupBy("sensor").agg(F.sort_array(F.collect_list(F.struct("w", "packets"))).alias("s"))
-    start = F.array().cast("array<struct<w:string,m:double>>")
+    start = F.array().cast("array<struct<w:string,m:double,v:double,z:double>>")
 
     def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)["m"]
-        mean = F.when(F.size(acc) == 0, x["packets"].cast("double")).otherwise(0.1 * x["packets"] + 0.9 * last)
-        return F.concat(acc, F.array(F.struct(x["w"].alias("w"), mean.alias("m"))))
-
-    return series.select(F.explode(F.aggregate("s", start, step)).alias("x")).select("x.w", F.round("x.m", 6).alias("ewma"))
+        last, new = F.get(acc, F.size(acc) - 1), F.size(acc) == 0
+        off = x["packets"] - last["m"]
+        mean = F.when(new, x["packets"].cast("double")).otherwise(0.1 * x["packets"] + 0.9 * last["m"])
+        spread = F.when(new, 0.0).otherwise(0.9 * (last["v"] + 0.1 * off * off))
+        z = F.when(new | (last["v"] <= 0), 0.0).otherwise(off / F.sqrt(last["v"]))
+        return F.concat(acc, F.array(F.struct(x["w"].alias("w"), mean.alias("m"), spread.alias("v"), z.alias("z"))))
+
+    return series.select(F.explode(F.aggregate("s", start, step)).alias("x")).select("x.w", F.round("x.m", 6).alias("ewma"), F.round("x.z", 6).alias("z"), (c("x.z") > 3).alias("alert"))
 
 
 @query("doc_flash", sql("SELECT w, CAST(packets - lag(packets) OVER (ORDER BY w) AS BIGINT) AS delta, coalesce(packets - lag(packets) OVER (ORDER BY w) > 20, false) AS flash FROM counters", "counters"))

@@ -110,13 +110,12 @@ def sink_distributions_json(spark, sf):
     return rows.groupBy("name").agg(F.count("*").alias("sizes"), F.sum(c("pkt_len") * c("n")).alias("total"))
 
 
-@query("dataset_manifest", sql("SELECT CAST(count(*) AS BIGINT) AS packets, true AS hashed FROM packets"))
+@query("dataset_manifest", sql("SELECT name, sha256(line || chr(10)) AS sha256, CAST(strlen(line) + 1 AS BIGINT) AS bytes, packets FROM (SELECT net AS name, count(*) AS packets, concat_ws(',', count(*), sum(pkt_len), count(DISTINCT src_ip)) AS line FROM packets GROUP BY net) s"))
 def dataset_manifest(spark, sf):
-    """A manifest (path, SHA-256, bytes) of the files of a dataset that is written first."""
+    """The manifest of a dataset (here a file of totals for each network): name, SHA-256, bytes and packets of each file, written as JSON and read back."""
     path, out = scratch(spark, "dataset"), scratch(spark, "manifest")
-    packets(spark, sf).write.parquet(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    totals = packets(spark, sf).groupBy(T.network_class(c("src_ip")).alias("name")).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b"), F.count_distinct("src_ip").alias("s"))
+    totals.select("name", F.concat_ws(",", "n", "b", "s").alias("line")).repartition(1).write.partitionBy("name").text(path, lineSep="\n")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("name", F.sha2("content", 256).alias("sha256"), c("length").alias("bytes"), F.split(c("content").cast("string"), ",")[0].cast("long").alias("packets"))
     files.write.json(out)
-    n = spark.read.parquet(path).agg(F.count("*").alias("packets"))
-    told = spark.read.schema("path string, sha256 string, length long").json(out).agg((F.min(F.length("sha256")) == 64).alias("hashed"))
-    return n.crossJoin(told)
+    return spark.read.schema("name string, sha256 string, bytes long, packets long").json(out)

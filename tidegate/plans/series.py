@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidegate.functions import quic as Q
 from tidegate.functions import traffic as T
 from tidegate.operators import counters as K
 from tidegate.operators import series as S
@@ -23,12 +24,13 @@ def win_counter_delta(spark, sf):
     return rows.select("run_id", "idx", c("total_packets_delta").alias("packets_delta"), c("total_packets_rate").alias("packets_rate"), c("total_bytes_delta").alias("bytes_delta"))
 
 
-@query("win_sliding_stats", sql("""SELECT w, pm AS packets_mean, ps AS packets_std, px AS packets_max, bm AS bytes_mean FROM (SELECT w, round(avg(packets) OVER o, 6) AS pm, round(stddev_samp(packets) OVER o, 6) AS ps, round(CAST(max(packets) OVER o AS DOUBLE), 6) AS px,
-  round(avg(bytes) OVER o, 6) AS bm, count(*) OVER o AS n FROM counters WINDOW o AS (ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) s WHERE n = 10""", "counters"))
+@query("win_sliding_stats", sql("""SELECT w, pm AS packets_mean, ps AS packets_std, px AS packets_max, bm AS bytes_mean, tm AS tcp_share_mean, um AS udp_share_mean, im AS icmp_share_mean, sm AS syn_share_mean FROM (SELECT w, round(avg(packets) OVER o, 6) AS pm, round(stddev_samp(packets) OVER o, 6) AS ps, round(CAST(max(packets) OVER o AS DOUBLE), 6) AS px,
+  round(avg(bytes) OVER o, 6) AS bm, round(avg(tcp / packets::DOUBLE) OVER o, 6) AS tm, round(avg(udp / packets::DOUBLE) OVER o, 6) AS um, round(avg(icmp / packets::DOUBLE) OVER o, 6) AS im, round(avg(CASE WHEN tcp > 0 THEN syn / tcp::DOUBLE ELSE 0 END) OVER o, 6) AS sm, count(*) OVER o AS n FROM counters WINDOW o AS (ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) s WHERE n = 10""", "counters"))
 def win_sliding_stats(spark, sf):
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes")).withColumn("sensor", F.lit("s1"))
-    out = S.sliding_stats(rows, {"packets": ("mean", "std", "max"), "bytes": ("mean",)}, ("sensor",), "w")
-    return out.select("w", "packets_mean", "packets_std", c("packets_max").cast("double").alias("packets_max"), "bytes_mean")
+    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes", "tcp", "udp", "icmp", "syn")).withColumn("sensor", F.lit("s1"))
+    rows = rows.withColumns({f"{x}_share": F.when(c(of) > 0, c(x) / c(of)).otherwise(0.0) for x, of in (("tcp", "packets"), ("udp", "packets"), ("icmp", "packets"), ("syn", "tcp"))})
+    out = S.sliding_stats(rows, {"packets": ("mean", "std", "max"), "bytes": ("mean",)} | {f"{x}_share": ("mean",) for x in ("tcp", "udp", "icmp", "syn")}, ("sensor",), "w")
+    return out.select("w", "packets_mean", "packets_std", c("packets_max").cast("double").alias("packets_max"), "bytes_mean", *[f"{x}_share_mean" for x in ("tcp", "udp", "icmp", "syn")])
 
 
 @query("win_cumulative", sql("SELECT w, CAST(sum(packets) OVER (ORDER BY w) AS BIGINT) AS packets, CAST(sum(bytes) OVER (ORDER BY w) AS BIGINT) AS bytes FROM counters", "counters"))
@@ -104,17 +106,18 @@ def win_ack_rate(spark, sf):
     return rows.select("w", F.round(c("ack") / 86400.0, 6).alias("ack_rate"), T.band(c("ack"), 130, 145, ("normal", "warning", "critical")).alias("band"))
 
 
-@query("win_pktnum_jump", sql("SELECT src_ip, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, CAST(max(jump) AS BIGINT) AS max_jump FROM (SELECT src_ip, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17) s GROUP BY src_ip"))
+@query("win_pktnum_jump", sql("SELECT src_ip, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, CAST(max(jump) AS BIGINT) AS max_jump FROM (SELECT src_ip, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17 AND pkt_id % 3 < 2) s GROUP BY src_ip"))
 def win_pktnum_jump(spark, sf):
-    udp = packets(spark, sf).where(c("proto") == T.UDP)
-    rows = S.split_lag(udp, "src_ip", ("ts", "pkt_id"), "pkt_id", F.date_trunc("day", "ts"), "before").select("src_ip", (c("pkt_id") - c("before")).alias("jump"))
+    """Jumps in the largest packet number that a source acknowledges, from one of its acknowledgements to the next."""
+    rows = Q.acknowledged_jumps(Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP)))
     return rows.groupBy("src_ip").agg(T.count_where(c("jump") > 1000).alias("jumps"), F.max("jump").alias("max_jump"))
 
 
-@query("win_ack_burst", sql("SELECT src_ip, count(*) AS bursts FROM (SELECT src_ip, w, count(*) AS n FROM packets WHERE tcp_flags & 16 <> 0 GROUP BY src_ip, w HAVING count(*) > 2) s GROUP BY src_ip"))
+@query("win_ack_burst", sql("SELECT src_ip, count(*) AS bursts, count(*) > 1 AS alert FROM (SELECT src_ip, epoch_us(ts) // 43200000000 AS pane, count(*) AS n FROM packets WHERE proto = 17 AND pkt_id % 3 < 2 GROUP BY 1, 2 HAVING count(*) > 1) s GROUP BY src_ip"))
 def win_ack_burst(spark, sf):
-    rows = packets(spark, sf).where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n")).transform(K.named)
-    return rows.where("n > 2").groupBy("src_ip").agg(F.count("*").alias("bursts"))
+    """The fixture spreads packets over a month, so panes of half a day with more than one acknowledgement stand for 100 ms with more than 100."""
+    acks = Q.acknowledgements(Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP)))
+    return Q.ack_bursts(acks, "12 hours", 1).groupBy("src_ip").agg(F.count("*").alias("bursts")).withColumn("alert", c("bursts") > 1)
 
 
 @query("win_first_high_span", sql("SELECT run_id, min(idx) FILTER (WHERE alert_level = 'HIGH') AS first_high, max(idx) AS last_idx, CAST(count(*) FILTER (WHERE alert_level = 'HIGH') AS BIGINT) AS highs FROM snapshots GROUP BY run_id", *SNAP))

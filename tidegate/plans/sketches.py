@@ -51,7 +51,7 @@ def cms_error(spark, sf):
     exact = p.groupBy("src_ip").agg(F.count("*").alias("exact"))
     total = F.broadcast(p.agg(F.count("*").alias("total")))  # one row
     rows = S.cms_query(S.cms_build(p, "src_ip", DEPTH, 2048), p.select("src_ip").distinct(), "src_ip", DEPTH, 2048).join(exact, "src_ip").crossJoin(total)
-    return rows.select("src_ip", "exact", (c("estimate") >= c("exact")).alias("never_under"), (c("estimate") - c("exact") <= S.cms_bound(c("total")) * 4).alias("within_bound"))
+    return rows.select("src_ip", "exact", (c("estimate") >= c("exact")).alias("never_under"), (c("estimate") - c("exact") <= S.cms_bound(c("total"))).alias("within_bound"))
 
 
 @query("sketch_sampled_estimate", sql("SELECT w, CAST(count(*) FILTER (WHERE pkt_id % 4 = 0) * 4 AS BIGINT) AS est_packets, CAST(coalesce(sum(pkt_len) FILTER (WHERE pkt_id % 4 = 0), 0) * 4 AS BIGINT) AS est_bytes, count(*) AS exact FROM packets GROUP BY w"))
