@@ -116,7 +116,7 @@ def test_every_bucket_is_settled(spark):
 
 def test_key_pieces_meet_every_similar_text():
     rng = random.Random(9)
-    common = np.zeros(neardup.SLOTS, np.int64)
+    common = np.zeros(2 * neardup.SLOTS, np.int64)
     for _ in range(300):
         a = [rng.randint(0, 60) for _ in range(rng.randint(1, 60))]
         b = list(a)

@@ -17,7 +17,7 @@ meets the texts of other classes. Whatever such a bucket still holds in differen
 regard to its size, by ``segment_pairs``: a join by rare pieces of text that every pair of the similarity must share.
 Classes come from the links by alternating star steps, each of which is written to the shared folder; a node, text or
 pair of texts with very many rows is joined apart from the others (``base.lookup``, ``attach``). Nothing is collected
-to the driver but counts and a table of SLOTS numbers.
+to the driver but counts and a table of 2 * SLOTS numbers.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ SKETCHES, ORDERED = 80, 2
 PAIRWISE = 16
 #: Of a text, shingles with a hash among about so many of the least are looked at first.
 LEAST_HASHES = 16
-#: Counters of the table that tells common pieces of text from rare ones.
-SLOTS = 1 << 18
+#: Counters in each of the two rows of the table that tells common pieces of text from rare ones.
+SLOTS = 1 << 19
 #: Key pieces that a similar text must hold; more spare comparisons and cost rows.
-MEET = 12
+MEET = 2
 #: Pairs that meet one copy of a text in a task.
 PAIRS_A_TEXT = 256
 
@@ -287,8 +287,8 @@ def texts_of(ids: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text:
     """id and text for each of the ids."""
     told = texts.select("id", F.col("rep.key").alias("k"), F.col("rep.mark").alias("m")).join(ids, "id", "left_semi")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    # Ids grow with the corpus: the join is planned for any size. Rows that repeat are alike; one of them is taken.
-    found = rows.join(told.hint("merge"), (F.col("mark") == F.col("m")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
+    # Spark broadcasts the ids only if it measures them to be few. Rows that repeat are alike; one of them is taken.
+    found = rows.join(told, (F.col("mark") == F.col("m")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
     return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
@@ -374,7 +374,8 @@ def pieces(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def slots(code: np.ndarray) -> np.ndarray:
-    return (code % np.uint64(SLOTS)).astype(np.int64)
+    """Two counters for each code, one in each row of the table."""
+    return np.stack((code % np.uint64(SLOTS), (code >> np.uint64(32)) % np.uint64(SLOTS) + np.uint64(SLOTS))).astype(np.int64)
 
 
 def key_pieces(h: np.ndarray, common: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -391,9 +392,9 @@ def key_pieces(h: np.ndarray, common: np.ndarray, least: float = SIMILARITY) ->
         if len(code) <= most:
             continue
         need = min(len(code), most + MEET)
-        seen = common[slots(code)]
+        seen = common[slots(code)].min(0)
         rare = np.argpartition(seen, need - 1)[:need] if need < len(code) else np.arange(len(code))
-        cost = int(common[slots(np.unique(code[rare]))].sum())
+        cost = int(common[slots(np.unique(code[rare]))].min(0).sum())
         if best is None or cost < best[0]:
             best = (cost, code[rare], rare * size, need - most)
     return best[1:] if best else (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
@@ -423,15 +424,15 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
     whole = materialise(texts_of(left.select("id"), texts, docs, key, text).join(left, "id"), "neardup-left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(2 * SLOTS, np.int64)
         for b in batches:
             for h in word_rows(b.column(0)):
-                np.add.at(seen, slots(np.unique(all_pieces(h)[0])), 1)
+                np.add.at(seen, slots(np.unique(all_pieces(h)[0])).ravel(), 1)
         slot = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(seen[slot])], ["slot", "n"])
 
-    counted = whole.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
-    common = np.zeros(SLOTS, np.int64)
+    counted = whole.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2 * SLOTS rows at most
+    common = np.zeros(2 * SLOTS, np.int64)
     common[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
