@@ -41,7 +41,7 @@ PAIRWISE = 16
 #: Of a text, shingles with a hash among about so many of the least are looked at first.
 LEAST_HASHES = 16
 #: Counters in each of the two rows of the table that tells common pieces of text from rare ones.
-SLOTS = 1 << 19
+SLOTS = 1 << 16
 #: Key pieces that a similar text must hold; more spare comparisons and cost rows.
 MEET = 2
 #: Pairs that meet one copy of a text in a task.
