@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegate.llm import decontaminate, digests, infill, language, licenses, neardup, packing, pii, preferences, quality, tokencounts, warc
+from tidegate.llm import decontaminate, digests, infill, language, licenses, neardup, packing, pii, preferences, quality, tokencounts, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_preference_format": preferences.op8_preference_format,
     "op9_vector_packing": packing.op9_vector_packing,
     "op10_line_crf": quality.op10_line_crf,
+    "op11_conversation_trie": trie.op11_conversation_trie,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
     "op13_token_counts": tokencounts.op13_token_counts,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE, "op2_license_scan": licenses.oracle(), "op8_preference_format": preferences.ORACLE, "op12_fill_in_middle": infill.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op2_license_scan": licenses.oracle(), "op8_preference_format": preferences.ORACLE, "op11_conversation_trie": trie.ORACLE, "op12_fill_in_middle": infill.ORACLE}
