@@ -53,7 +53,7 @@ def _hashes(key: Column, seed: int) -> list[Column]:
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = CODE_POINT, sentinels: tuple[str, str, str] = SENTINELS, plain_percent: int = PLAIN_PERCENT, spm_percent: int = SPM_PERCENT, seed: int = SEED) -> DataFrame:
     """A row for each row of ``docs``: key, text, n, form, prefix_units, middle_units (null if plain), output."""
     p, s, m = sentinels
-    if not all(sentinels) or any(x[0] in y[1:] or (x is not y and y.startswith(x)) for x in sentinels for y in sentinels):
+    if not all(sentinels) or len({*sentinels}) < 3 or any(x[0] in y[1:] or (x != y and y.startswith(x)) for x in sentinels for y in sentinels):
         raise ValueError("no sentinel may begin another, or hold the first character of one after its own first")
     whole = F.coalesce(F.col(text), F.lit(""))
     h = _hashes(F.col(key), seed)
