@@ -112,12 +112,6 @@ def test_rules_and_runs(spark):
     assert (e["fp"], e["precision"], e["recall"], e["f1"]) == (1, 0, 0, 0)
 
 
-def test_log_with_missing_fields(spark):
-    blocks = spark.createDataFrame([("=== SNAPSHOT ===\nRun: r1\nIndex: 3\nTotal packets: 1,234\n",), ("Run: r2\nIndex: x\n",)], "text string")
-    got = runs.parse(blocks, {"Total packets": ("n", "bigint"), "Alert level": ("level", "string")}).orderBy("run_id").collect()
-    assert tuple(got[0]) == ("r1", 3, 1234, None) and tuple(got[1]) == ("r2", None, None, None)
-
-
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="missing columns: b, c"):
         require(spark.range(1).withColumnRenamed("id", "a"), ("a", "c", "b"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidegate.functions import traffic as T
 
 c = F.col
-BANNER = "=== SNAPSHOT ==="
 
 
 def with_deltas(snapshots: DataFrame) -> DataFrame:
@@ -32,22 +31,6 @@ def efficacy(counts: DataFrame) -> DataFrame:
     return rows.withColumn("f1", T.ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")))
 
 
-def render(snapshots: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """run_id, idx, text: a block with a line for each field (label: column)."""
-    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(c(x).cast("string"), F.lit("-"))) for label, x in fields.items()]
-    return snapshots.select("run_id", "idx", F.concat_ws("\n", F.lit(BANNER), F.concat(F.lit("Run: "), c("run_id")), F.concat(F.lit("Index: "), c("idx").cast("string")), *lines, F.lit("")).alias("text"))
-
-
-def parse(blocks: DataFrame, fields: dict[str, str], text: str = "text") -> DataFrame:
-    """The fields (column: Spark type) of text blocks by label; null where a block lacks one or it is no such value."""
-    get = lambda label: F.regexp_extract(c(text), rf"(?m)^\s*{label}:\s*([^\n]*?)\s*$", 1)
-    cols = [get("Run").alias("run_id"), get("Index").try_cast("int").alias("idx")]
-    for label, (name, kind) in fields.items():
-        value = get(label)
-        cols.append((F.nullif(F.nullif(value, F.lit("")), F.lit("-")) if kind == "string" else F.regexp_replace(value, ",", "").try_cast(kind)).alias(name))
-    return blocks.select(*cols)
-
-
 def classify(totals: DataFrame) -> DataFrame:
     """attack_type and severity of a run from its totals (packets, tcp, udp, icmp, syn, frag, mean_pps); the first that fits."""
     share = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)

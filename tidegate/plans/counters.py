@@ -147,11 +147,6 @@ def agg_dataset_stats(spark, sf):
     return daily.groupBy("src_ip").agg(F.sum("n").alias("packets"), F.sum("b").alias("bytes"), F.count("*").alias("sessions")).withColumn("packets_per_session", F.round(c("packets") / c("sessions"), 6))
 
 
-@query("agg_nic_drops", sql("SELECT run_id, idx, total_packets AS rx, attack_packets AS dropped, round(100.0::DOUBLE * attack_packets / (total_packets + attack_packets), 6) AS drop_pct, round(100.0::DOUBLE * baseline_packets / total_packets, 6) AS processed_pct FROM snapshots", "packets", "snapshots"))
-def agg_nic_drops(spark, sf):
-    return snapshots(spark, sf).select("run_id", "idx", c("total_packets").alias("rx"), c("attack_packets").alias("dropped"), F.round(100 * c("attack_packets") / (c("total_packets") + c("attack_packets")), 6).alias("drop_pct"), F.round(100 * c("baseline_packets") / c("total_packets"), 6).alias("processed_pct"))
-
-
 @query("agg_distinct_exact", sql("SELECT w, count(DISTINCT src_ip) AS src_ips, count(DISTINCT dst_port) AS dst_ports FROM packets GROUP BY w"))
 def agg_distinct_exact(spark, sf):
     p = packets(spark, sf)

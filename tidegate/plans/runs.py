@@ -71,41 +71,6 @@ def run_proto_totals(spark, sf):
     return K.window_counters(packets(spark, sf), "1 day", only=names).agg(*[F.sum(x).alias(x) for x in names]).unpivot([], list(names), "name", "n")
 
 
-LOGS = {
-    "log_parse_agg": {"Total packets": ("total_packets", "bigint"), "Baseline packets": ("baseline_packets", "bigint"), "Attack packets": ("attack_packets", "bigint"), "Total bytes": ("total_bytes", "bigint"), "Attack share": ("attack_percent", "double"), "Interval": ("interval_s", "int"), "Alert level": ("alert_level", "string")},
-    "log_parse_http": {"Total packets": ("total_packets", "bigint"), "Attack packets": ("attack_packets", "bigint"), "Attack share": ("attack_percent", "double"), "Alert level": ("alert_level", "string")},
-    "log_parse_quic": {"Total packets": ("total_packets", "bigint"), "Total bytes": ("total_bytes", "bigint"), "Interval": ("interval_s", "int"), "Alert level": ("alert_level", "string")},
-}
-
-
-def add_log(name, fields):
-    columns = [x for x, _ in fields.values()]
-
-    @query(name, sql(f"SELECT run_id, idx, {', '.join(columns)} FROM snapshots", *SNAP))
-    def log(spark, sf):
-        return U.parse(U.render(snapshots(spark, sf), {label: x for label, (x, _) in fields.items()}), fields)
-
-    log.__name__ = name
-
-
-for _name, _fields in LOGS.items():
-    add_log(_name, _fields)
-
-
-@query("sink_stats_text", sql("SELECT run_id, idx, total_packets, alert_level FROM snapshots", *SNAP))
-def sink_stats_text(spark, sf):
-    """Written as text files, split at the banner when read, parsed again."""
-    path = scratch(spark, "stats-text")
-    U.render(snapshots(spark, sf), {"Total packets": "total_packets", "Alert level": "alert_level"}).select(c("text").alias("value")).write.text(path)
-    blocks = spark.read.text(path, lineSep=U.BANNER).select(c("value").alias("text")).where(F.contains("text", F.lit("Index:")))
-    return U.parse(blocks, {"Total packets": ("total_packets", "bigint"), "Alert level": ("alert_level", "string")})
-
-
-@query("src_stats_text", sql("SELECT CAST(count(*) AS BIGINT) AS blocks, CAST(max(idx) AS INT) AS last_idx FROM snapshots", *SNAP))
-def src_stats_text(spark, sf):
-    return sink_stats_text(spark, sf).agg(F.count("*").alias("blocks"), F.max("idx").alias("last_idx"))
-
-
 @query("snap_phase_split", sql(f"SELECT run_id, idx, phase FROM {DELTA}", *SNAP))
 def snap_phase_split(spark, sf):
     return U.with_deltas(snapshots(spark, sf)).select("run_id", "idx", "phase")
@@ -196,29 +161,11 @@ def snap_link_util(spark, sf):
     return rows.groupBy("run_id").agg(F.round(F.avg("u"), 9).alias("avg_util"), F.round(F.max("u"), 9).alias("max_util"), F.round(F.min("u"), 9).alias("min_util"), F.round(100 - F.max("u"), 9).alias("headroom"))
 
 
-@query("snap_run_summary", sql(f"SELECT run_id, CAST(max(total_packets) AS BIGINT) AS packets, round(max(packets_d) / 5.0::DOUBLE, 6) AS peak_pps, CAST(count(*) FILTER (WHERE alert_level = 'HIGH') AS BIGINT) AS highs, min(interval_s) FILTER (WHERE alert_level <> 'NONE') AS first_alert_s, round(max(bytes_d) * 8 / 5.0::DOUBLE / 1e6, 6) AS peak_mbps, round(avg(bytes_d) * 8 / 5.0::DOUBLE / 1e6, 6) AS mean_mbps, round(avg(packets_d) / 5.0::DOUBLE, 6) AS mean_pps, CAST(max(packets_d) AS BIGINT) AS most_packets FROM {DELTA} GROUP BY run_id", *SNAP))
-def snap_run_summary(spark, sf):
-    rows = U.with_deltas(snapshots(spark, sf))
-    return rows.groupBy("run_id").agg(F.max("total_packets").alias("packets"), F.round(F.max("packets_d") / 5.0, 6).alias("peak_pps"), T.count_where(c("alert_level") == "HIGH").alias("highs"), F.min(F.when(c("alert_level") != "NONE", c("interval_s"))).alias("first_alert_s"),
-                                      F.round(F.max("bytes_d") * 8 / 5.0 / 1e6, 6).alias("peak_mbps"), F.round(F.avg("bytes_d") * 8 / 5.0 / 1e6, 6).alias("mean_mbps"), F.round(F.avg("packets_d") / 5.0, 6).alias("mean_pps"), F.max("packets_d").alias("most_packets"))
-
-
 @query("snap_latency_hist", sql(f"SELECT CAST(CASE WHEN hi > lo THEN least(20, floor((packets_d - lo) / (hi - lo) * 20) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM (SELECT packets_d, CAST(min(packets_d) OVER () AS DOUBLE) AS lo, CAST(max(packets_d) OVER () AS DOUBLE) AS hi FROM {DELTA}) x GROUP BY 1", *SNAP))
 def snap_latency_hist(spark, sf):
     return U.equal_bins(U.with_deltas(snapshots(spark, sf)), "packets_d", 20)
 
 
-@query("snap_sketch_memory", sql("SELECT run_id, CAST(arg_max(total_packets, idx) * 4 AS BIGINT) AS last_bytes, round(arg_max(total_packets, idx) * 4 / 14.0::DOUBLE, 6) AS per_worker, round(100.0::DOUBLE * arg_max(attack_packets, idx) / arg_max(total_packets, idx), 6) AS sampled_pct FROM snapshots GROUP BY run_id", *SNAP))
-def snap_sketch_memory(spark, sf):
-    last = snapshots(spark, sf).groupBy("run_id").agg(F.max_by("total_packets", "idx").alias("t"), F.max_by("attack_packets", "idx").alias("a"))
-    return last.select("run_id", (c("t") * 4).alias("last_bytes"), F.round(c("t") * 4 / 14.0, 6).alias("per_worker"), F.round(100 * c("a") / c("t"), 6).alias("sampled_pct"))
-
-
-@query("snap_drop_rate", sql("SELECT run_id, round(100.0::DOUBLE * max(attack_packets) / max(total_packets), 6) AS drop_pct FROM snapshots GROUP BY run_id", *SNAP))
-def snap_drop_rate(spark, sf):
-    return snapshots(spark, sf).groupBy("run_id").agg(F.round(100 * F.max("attack_packets") / F.max("total_packets"), 6).alias("drop_pct"))
-
-
 @query("dist_extract", sql("SELECT 'pkt_len' AS metric, CAST(pkt_len // 100 AS BIGINT) AS bin, count(*) AS n FROM packets GROUP BY 2 UNION ALL SELECT 'src_port', CAST(src_port // 1000 AS BIGINT), count(*) FROM packets WHERE src_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dst_port', CAST(dst_port // 1000 AS BIGINT), count(*) FROM packets WHERE dst_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'gap_hours', CAST(gap // 3600000000 AS BIGINT), count(*) FROM (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id)) AS gap FROM packets) g WHERE gap IS NOT NULL GROUP BY 2"))
 def dist_extract(spark, sf):
     widths = {"pkt_len": 100, "src_port": 1000, "dst_port": 1000}
