@@ -11,12 +11,12 @@ from tidegate.streaming import windows
 SF = "/root/testdata/sf0.001"
 
 
-def two_files(spark, first, second):
+def two_files(spark, first, second, **options):
     events = table(spark, SF, "events")
     path = scratch(spark, "two-in")
     for n, cond in enumerate((first, second)):
         events.where(cond).coalesce(1).write.parquet(f"{path}/part={n}")
-    return windows.stream_of(spark, f"{path}/part=*", events.schema, maxFilesPerTrigger=1)
+    return windows.stream_of(spark, f"{path}/part=*", events.schema, maxFilesPerTrigger=1, **options)
 
 
 def test_first_seen_takes_an_earlier_time_of_a_later_batch(spark):

@@ -30,11 +30,11 @@ def is_valid(payload: Column) -> Column:
     return (header_kind(payload) == "short") | ((header_kind(payload) == "long") & ((version == "00000001") | F.startswith(version, F.lit("FF0000"))))
 
 
-def with_sample_payload(packets: DataFrame) -> DataFrame:
-    """Packets with a QUIC payload made from their fields: by pkt_id a long header, a short one or none, then an
-    acknowledgement of pkt_id as a four-byte number."""
+def with_sample_payload(packets: DataFrame, frames: Column | int = 1) -> DataFrame:
+    """Packets with a QUIC payload made from their fields: by pkt_id a long header, a short one or none, then so many
+    acknowledgements of pkt_id as a four-byte number."""
     number = F.lpad(F.hex((F.col("pkt_id") + 0x80000000).cast("long")), 8, "0")
-    frame = F.concat(F.lit("02"), number, F.lit("00" * 6))
+    frame = F.repeat(F.concat(F.lit("02"), number, F.lit("00" * 6)), F.lit(frames) if isinstance(frames, int) else frames)
     long = F.concat(F.lit("C00000000108"), F.lit("11" * 8), F.lit("00" * 6), frame)
     short = F.concat(F.lit("40"), F.lit("11" * 8), F.lit("00" * 4), frame)
     kind = F.col("pkt_id") % 3

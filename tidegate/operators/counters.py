@@ -86,16 +86,3 @@ def protocol_shares(packets: DataFrame) -> DataFrame:
     service = T.service_name(c("proto"), c("src_port"), c("dst_port"))
     one = packets.agg(F.count("*").alias("n"), *[T.count_where(service == s).alias(s) for s in ("http", "dns", "ssh")], T.count_where(c("proto") == T.ICMP).alias("icmp"), T.count_where(c("proto") == T.UDP).alias("udp"))
     return one.select(*[F.floor(100 * c(x) / F.greatest(c("n"), F.lit(1))).cast("long").alias(f"{x}_pct") for x in ("http", "dns", "ssh", "icmp", "udp")])
-
-
-def quic_counters(packets: DataFrame, width: str = "5 seconds") -> DataFrame:
-    """Per window: QUIC packets, bytes to and from the server, their ratio."""
-    quic = packets.where(T.service_name(c("proto"), c("src_port"), c("dst_port")) == "quic").withColumn("dir", T.direction(c("dst_port")))
-    rows = quic.groupBy(window_start(width).alias("w")).agg(F.count("*").alias("packets"), F.sum(F.when(c("dir") == "in", c("pkt_len")).otherwise(0)).alias("bytes_in"), F.sum(F.when(c("dir") == "out", c("pkt_len")).otherwise(0)).alias("bytes_out")).transform(named)
-    return rows.withColumn("out_in_ratio", T.ratio(c("bytes_out"), c("bytes_in")))
-
-
-def acks_per_source(packets: DataFrame, width: str = "5 seconds", heavy: int = 5000) -> DataFrame:
-    """Per window: sources that acknowledge, the most of one, and those above ``heavy``."""
-    by = packets.where(T.has_flag(c("tcp_flags"), T.ACK)).groupBy(window_start(width).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(named)
-    return by.groupBy("w").agg(F.count("*").alias("ack_ips"), F.max("n").alias("max_acks"), T.count_where(c("n") > heavy).alias("heavy_ackers"))

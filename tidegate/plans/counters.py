@@ -104,18 +104,6 @@ def agg_http_methods(spark, sf):
     return rows.select("w", "get_n", "post_n", "other_n", F.round(100 * c("get_n") / c("n"), 6).alias("get_pct"))
 
 
-QUIC = "proto = 17 AND (src_port IN (443, 8443) OR dst_port IN (443, 8443)) AND NOT coalesce(src_port = 53 OR dst_port = 53, false) AND NOT coalesce(src_port = 123 OR dst_port = 123, false)"
-
-
-@query("agg_quic_counters", sql(f"""SELECT *, {ratio_sql('bytes_out', 'bytes_in')} AS out_in_ratio FROM (SELECT w, CAST(count(*) AS BIGINT) AS packets, CAST(coalesce(sum(pkt_len) FILTER (WHERE dst_port IN (443, 8443)), 0) AS BIGINT) AS bytes_in,
-  CAST(coalesce(sum(pkt_len) FILTER (WHERE dst_port NOT IN (443, 8443)), 0) AS BIGINT) AS bytes_out FROM packets WHERE {QUIC} GROUP BY w) q"""))
-def agg_quic_counters(spark, sf):
-    return K.quic_counters(packets(spark, sf), DAY)
-
-
-@query("agg_quic_acks_per_ip", sql("SELECT w, count(*) AS ack_ips, max(n) AS max_acks, CAST(count(*) FILTER (WHERE n > 2) AS BIGINT) AS heavy_ackers FROM (SELECT w, src_ip, count(*) AS n FROM packets WHERE tcp_flags & 16 <> 0 GROUP BY w, src_ip) s GROUP BY w"))
-def agg_quic_acks_per_ip(spark, sf):
-    return K.acks_per_source(packets(spark, sf), DAY, heavy=2)
 
 
 @query("agg_traffic_cube", sql("""SELECT coalesce(net, 'all') AS net_class, coalesce(CASE proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' END, 'all') AS protocol, CAST(count(*) AS BIGINT) AS packets, CAST(sum(pkt_len) AS BIGINT) AS bytes

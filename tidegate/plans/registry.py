@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("counters", "projections", "scalars", "joins", "series", "sketches", "rules", "runs", "logs", "ranking", "streams", "models", "documented", "files")
+_MODULES = ("counters", "projections", "scalars", "joins", "series", "sketches", "rules", "quic", "runs", "logs", "ranking", "streams", "models", "documented", "files")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -141,40 +141,6 @@ for _name, (_severity, _condition, _text) in HTTP_RULES.items():
     add_http(_name, _severity, _condition, _text)
 
 
-QUIC_WHERE = "proto = 17 AND (src_port IN (443, 8443) OR dst_port IN (443, 8443)) AND NOT coalesce(src_port = 53 OR dst_port = 53, false) AND NOT coalesce(src_port = 123 OR dst_port = 123, false)"
-QUIC_SQL = f"""(SELECT q.*, top_ip, heavy FROM (SELECT w, count(*) AS packets, count(*) FILTER (WHERE net = 'attack') AS attack, coalesce(sum(pkt_len) FILTER (WHERE dst_port IN (443, 8443)), 0) AS bytes_in, coalesce(sum(pkt_len) FILTER (WHERE dst_port NOT IN (443, 8443)), 0) AS bytes_out FROM packets WHERE {QUIC_WHERE} GROUP BY w) q
-  JOIN (SELECT w, max(n) AS top_ip, count(*) FILTER (WHERE n > 1) AS heavy FROM (SELECT w, src_ip, count(*) AS n FROM packets WHERE {QUIC_WHERE} GROUP BY w, src_ip) x GROUP BY w) y USING (w)) z"""
-
-
-def quic_windows(spark, sf):
-    quic = packets(spark, sf).where(T.service_name(c("proto"), c("src_port"), c("dst_port")) == "quic")
-    rows = K.quic_counters(packets(spark, sf), DAY)
-    attack = quic.groupBy(K.window_start(DAY).alias("w")).agg(T.count_where(T.network_class(c("src_ip")) == "attack").alias("attack")).transform(K.named)
-    sources = quic.groupBy(K.window_start(DAY).alias("w"), "src_ip").agg(F.count("*").alias("n")).transform(K.named).groupBy("w").agg(F.max("n").alias("top_ip"), T.count_where(c("n") > 1).alias("heavy"))
-    return rows.join(attack, "w").join(sources, "w")
-
-
-QUIC_RULES = {
-    "rule_quic_early": ("HIGH", lambda: (c("packets") >= 20) & (c("attack") > 0.05 * c("packets")) & (c("bytes_out") > 0.2 * c("bytes_in")), "packets >= 20 AND attack > 0.05 * packets AND bytes_out > 0.2 * bytes_in"),
-    "rule_quic_ack_rate": ("HIGH", lambda: (c("attack") > 0.05 * c("packets")) & (c("top_ip") > 2), "attack > 0.05 * packets AND top_ip > 2"),
-    "rule_quic_amplification": ("HIGH", lambda: c("bytes_out") > 0.25 * c("bytes_in"), "bytes_out > 0.25 * bytes_in"),
-    "rule_quic_heavy_ackers": ("MEDIUM", lambda: (c("heavy") > 4) | ((c("heavy") > 1) & (c("attack") > 0)), "heavy > 4 OR (heavy > 1 AND attack > 0)"),
-}
-
-
-def add_quic(name, severity, condition, text):
-    @query(name, sql(f"SELECT w, {text} AS fired, CASE WHEN {text} THEN '{severity}' ELSE 'NONE' END AS alert_level FROM {QUIC_SQL}"))
-    def rule(spark, sf):
-        rows = R.evaluate(quic_windows(spark, sf), [R.Rule(name, severity, condition())])
-        return rows.select("w", (c("alert_code") > 0).alias("fired"), "alert_level")
-
-    rule.__name__ = name
-
-
-for _name, (_severity, _condition, _text) in QUIC_RULES.items():
-    add_quic(_name, _severity, _condition, _text)
-
-
 @query("rule_quic_jumps", sql("SELECT w, CAST(count(*) FILTER (WHERE jump > 1000) AS BIGINT) AS jumps, count(*) FILTER (WHERE jump > 1000) > 3 AS fired FROM (SELECT w, pkt_id - lag(pkt_id) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id) AS jump FROM packets WHERE proto = 17 AND pkt_id % 3 < 2) s GROUP BY w"))
 def rule_quic_jumps(spark, sf):
     rows = Q.acknowledged_jumps(Q.with_sample_payload(packets(spark, sf).where(c("proto") == T.UDP)))
@@ -189,12 +155,6 @@ def rule_quic_bursts(spark, sf):
     return days.withColumn("fired", c("bursts") > 3)
 
 
-@query("quic_rfc_margin", sql(f"SELECT w, round(3.0 - CASE WHEN bytes_in > 0 THEN bytes_out / bytes_in::DOUBLE ELSE 0.0 END, 6) AS margin, round(bytes_out / 1e6, 6) AS mb FROM {QUIC_SQL}"))
-def quic_rfc_margin(spark, sf):
-    share = F.when(c("bytes_in") > 0, c("bytes_out") / c("bytes_in")).otherwise(0.0)
-    return K.quic_counters(packets(spark, sf), DAY).select("w", F.round(3.0 - share, 6).alias("margin"), F.round(c("bytes_out") / 1e6, 6).alias("mb"))
-
-
 @query("alert_severity_merge", sql("SELECT w, CASE WHEN syn > 0.34 * tcp THEN 'HIGH' WHEN udp > 0.21 * packets THEN 'MEDIUM' WHEN small > 0.25 * packets THEN 'LOW' ELSE 'NONE' END AS alert_level, " + reasons_sql([("small > 0.25 * packets", "'small'"), ("udp > 0.21 * packets", "'udp'"), ("syn > 0.34 * tcp", "'syn'")]) + " AS reasons FROM counters", "counters"))
 def alert_severity_merge(spark, sf):
     rules = [R.Rule("small", "LOW", c("small") > 0.25 * c("packets")), R.Rule("udp", "MEDIUM", c("udp") > 0.21 * c("packets")), R.Rule("syn", "HIGH", c("syn") > 0.34 * c("tcp"))]

@@ -9,7 +9,7 @@ ended is closed by a last row in the far future (``close``), which moves the wat
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,25 +55,34 @@ def on_time(ts: str = "ts"):
     return F.col(ts) < F.lit(END)
 
 
-def run_available(stream: PacketStream, df: DataFrame, name: str, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(stream: PacketStream, df: DataFrame, name: str, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None, feeds: Sequence[Callable[[], None]] = (), progress: list | None = None) -> DataFrame:
     """Run ``df``, made from the stream, over what is there; close the stream, run on from the checkpoint, and return what all batches wrote.
 
-    In complete mode (for results of a fixed size) the last batch is returned.
+    ``feeds`` bring more rows, each before another run. In complete mode (for results of a fixed size) the last batch
+    is returned. What the engine reports of its batches is added to ``progress``.
     """
     spark = df.sparkSession
     out, checkpoint = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
-    batches: set[int] = set()
 
     def write(batch: DataFrame, number: int) -> None:
         (then(batch) if then else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batches.add(number)
-
-    for last in (False, True):
-        if last:
-            stream.close()
-        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    done = sorted(batches)
-    return spark.read.parquet(*[f"{out}/batch={n}" for n in (done[-1:] if mode == "complete" else done)])
+
+    for feed in (lambda: None, *feeds, stream.close):
+        feed()
+        running = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        running.awaitTermination()
+        if progress is not None:
+            progress.extend(running.recentProgress)
+    # The folders tell the batches, not this process, which may have begun anew.
+    done = spark.read.parquet(out)
+    if mode == "complete":
+        done = done.join(F.broadcast(done.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
+    return done.drop("batch")
+
+
+def dropped_rows(progress: list) -> int:
+    """Rows that came behind the watermark, as the engine counted them at its stateful operators."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in progress for op in p.stateOperators)
 
 
 def first_seen(stream: PacketStream, rows: DataFrame, key: str, name: str, ts: str = "ts") -> DataFrame:
