@@ -101,6 +101,12 @@ def document_windows(found: Column, sizes: tuple[int, ...] = (WINDOW,)) -> Colum
     return let(found, lambda t: F.array_distinct(F.concat(one(t, "plain"), F.when(has(t, "o"), one(t, "named")).otherwise(none), F.when(has(t, "a"), one(t, "literal")).otherwise(none))))
 
 
+def numbered_items(items: DataFrame, item_key: str, text: str) -> DataFrame:
+    """item (a number), item_key, text: each row of the benchmark is an item, whatever its key; rows equal in both are one. Written, so that the numbers stay."""
+    told = items.select(F.col(item_key).alias("item_key"), F.col(text).alias("text")).distinct()
+    return materialise(told.select(F.monotonically_increasing_id().alias("item"), "item_key", "text"), "leak-items")
+
+
 def item_windows(items: DataFrame, item_key: str, text: str, size: int = WINDOW) -> DataFrame:
     """item, found (its tokens), at, code, whole: the windows that count, in two readings. Copies of an item stay apart.
 
@@ -178,19 +184,22 @@ def check(docs: DataFrame, windows: DataFrame, candidates: DataFrame, key: str,
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE, consistent: float = CONSISTENT, size: int = WINDOW) -> DataFrame:
     """A row for each document (doc, and mark: the hash of its text) and item that it leaks, with share, slots, changed and kind."""
-    windows = materialise(item_windows(items, item_key, item_text, size), "leak-windows")
+    numbered = numbered_items(items, item_key, item_text)
+    windows = materialise(item_windows(numbered, "item", "text", size), "leak-windows")
     candidates = materialise(find_candidates(docs, windows, key, text, share, size), "leak-candidates")
     seen = check(docs, windows, candidates, key, text, size)
     sure = (F.col("share") >= share - 1e-9) & (F.col("agreeing") >= F.col("slots") * consistent - 1e-9) & (~F.col("whole") | (F.col("changed") == 0))
     kind = F.when(F.col("changed") == 0, "exact").otherwise("reparameterised")
-    return seen.where(sure).select("doc", "mark", "item", "share", "slots", "changed", kind.alias("kind"))
+    return seen.where(sure).join(numbered.select("item", "item_key"), "item").select("doc", "mark", F.col("item_key").alias("item"), "share", "slots", "changed", kind.alias("kind"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """A row for each document and item that it leaks: key, item key, share, slots, changed, kind.
 
     kind is exact (no slot has another value) or reparameterised. A null or empty text leaks nothing. Rows are
-    documents by themselves, whatever their keys; rows equal in key and text give one row of the result.
+    documents by themselves, whatever their keys; rows equal in key and text give one row of the result. So are rows of
+    the benchmark: an item without a key is found (its key is null), items of one key are found each by itself, and
+    items without tokens leak nothing. Other columns are not looked at; an empty table on either side gives none.
     """
     found = leaks(docs, items, key, text, item_key, item_text, **options)
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "share", "slots", "changed", "kind")

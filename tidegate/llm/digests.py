@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.base import small_batches, table
+from tidegate.llm.base import materialise, small_batches, table
 
 BUCKETS = 128
 #: For each triplet the bytes of the window that it takes, and odd multipliers.
@@ -85,18 +85,23 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, f"`{key}` {kind}, fingerprint string")
 
 
-def neighbour_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
+def neighbour_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS, places: DataFrame | None = None) -> DataFrame:
     """Documents dealt into runs of neighbours by descending key, each run with the first document of the next one.
 
     Keys are ranked by range partitions, so that a run has about ``run_rows`` documents whatever the keys are: far
     apart, negative, or at the ends of their type. Rows of one key, and rows without a key, are told apart by a hash of
     their texts, so they too are dealt over several runs. Texts are shuffled once; what is broadcast is three numbers for
-    each run. Columns: run, ahead (1: the next
+    each run. ``places``: key and mark (hash) of each text, if they are written already. Columns: run, ahead (1: the next
     run's document), key, text; sorted by them within partitions, the key descending and null last.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = keyed(docs, key, text)
     down = F.coalesce(-F.col("key").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    ranked = rows.select(F.col("key").isNull().cast("int").alias("none"), down.alias("down"), "mark")
+    places = materialise(rows.select("key", "mark"), "digest-places") if places is None else places
+    ranked = places.select(F.col("key").isNull().cast("int").alias("none"), down.alias("down"), "mark")
     runs = max(1, min(MOST_RUNS, -(-ranked.count() // run_rows)))
     firsts = ranked.repartitionByRange(runs, "none", "down", "mark").groupBy(F.spark_partition_id().alias("run")).agg(F.min(F.struct("none", "down", "mark")).alias("first"))
     tops = sorted((r["first"]["none"], int(r["first"]["down"]), r["first"]["mark"]) for r in firsts.collect())  # MOST_RUNS rows at most
@@ -120,10 +125,41 @@ def neighbour_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run
 def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document the digest of its text and of its edited text, and likenesses to the edited and the next text.
 
-    Null texts are empty. Equal keys are separate rows, in the order of a hash of their texts; rows equal in both stay
-    in one run. A single document is its own next one. Null keys come last.
+    Null texts are empty. Equal keys are separate rows, in the order of a hash of their texts; null keys come last. A
+    single document is its own next one. Of very many rows equal in both, one is among its neighbours and the others
+    are each followed by an equal text, so they are worked out once and repeated, and no run holds them all. An empty
+    table gives none; other columns are not looked at.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    places = materialise(keyed(docs, key, text).select("key", "mark"), "digest-places")
+    # Fewer than 1 in RUN_ROWS rows.
+    hot = materialise(places.groupBy("key", "mark").agg(F.count("*").alias("n")).where(F.col("n") > RUN_ROWS), "digest-hot")
+    if hot.isEmpty():
+        return _edited(docs, places, key, text)
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["mark"] == b["mark"])
+    rows = keyed(docs, key, text)
+    one = materialise(rows.join(hot, same(rows, hot)).groupBy(rows["key"], rows["mark"]).agg(F.first("text").alias("text"), F.max("n").alias("n")), "digest-repeated")
+    alone = materialise(rows.join(hot, same(rows, hot), "left_anti").select("key", "text").unionByName(one.select("key", "text")), "digest-single")
+    own = one.select(F.monotonically_increasing_id().alias("key"), "key", "text", "n").toDF("id", "key", "text", "n")
+    own = materialise(own, "digest-own")
+    # Each of them by itself: its next text is its own.
+    follow = own.select("id", "text").groupBy("id").applyInArrow(lambda t: _self_digest(t), "id long, " + _SHAPE)
+    copies = own.select("id", "key", "n").join(follow, "id").withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("n")))).select(F.col("key").alias(key), *_FIELDS)
+    return _edited(alone, None, "key", "text").withColumnRenamed("key", key).unionByName(copies)
+
+
+_SHAPE = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = [x.split()[0] for x in _SHAPE.split(", ")]
+
+
+def _self_digest(rows: pa.Table) -> pa.Table:
+    ((i, text),) = zip(*(rows.column(c).to_pylist() for c in ("id", "text")), strict=True)
+    found = compared((None, i, text, digest(text.encode())), text, digest(text.encode()))
+    return pa.table([pa.array([v], k) for v, k in zip(found, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names=["id", *_FIELDS])
+
+
+def _edited(docs: DataFrame, places: DataFrame | None, key: str, text: str) -> DataFrame:
     schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +176,7 @@ def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate([pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])], [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return neighbour_runs(docs, key, text).mapInArrow(run, schema)
+    return neighbour_runs(docs, key, text, places=places).mapInArrow(run, schema)
 
 
 def compared(held: tuple, next_text: str, next_digest: bytes) -> tuple:

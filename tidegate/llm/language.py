@@ -5,7 +5,10 @@ languages whose bit is set and the others) predicts it. A text's margins are dec
 weighted by how reliable each bit proved; the codeword of least loss is the language. A small gap to the second is
 flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample: SAMPLE_PER_LANG documents a language, chosen by a hash of the key.
+The classifiers are fitted on a bounded sample: SAMPLE_PER_LANG documents a language, chosen by a hash of key and text.
+
+Rows are documents by themselves: null keys stay (and are not held out), keys and rows that repeat give rows that
+repeat. An empty table gives none, and no model. Columns that are not named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,8 @@ SAMPLE_PER_LANG = 3000
 #: Languages at most; more are an error, not cut off.
 MOST_LANGS = 1000
 HASH_BITS, ORDERS = 15, (2, 3, 4)
+#: Buckets whose weights one task makes, and rows of the sample whose margins calibrate the bits (in expectation).
+PART_BUCKETS, CALIBRATE_ROWS = 512, 30_000
 #: A gap in probability between the best and the second language below which a text counts as ambiguous.
 AMBIGUOUS_GAP = 0.2
 UNDETERMINED = "und"
@@ -41,7 +47,7 @@ LETTER[0x80:] = np.arange(0x80, 0x100)
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -125,27 +131,42 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, key: str, lang: str, per_lang: int) -> DataFrame:
-    """Labelled rows, about ``per_lang`` of each language at most, chosen by a hash of the key."""
-    labelled = docs.where(F.col(lang).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+def luck(*of: Column) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(*of, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def sample(docs: DataFrame, key: str, text: str, lang: str, per_lang: int) -> DataFrame:
+    """Labelled rows, about ``per_lang`` of each language at most, chosen by a hash of key and text; written.
+
+    Rows that repeat share their luck. A language that comes out far too large for that, or not at all, is drawn again
+    row by row.
+    """
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
-        return labelled
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))]), F.col(lang))
-    luck = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(luck < share)
+        return materialise(labelled.select("lang", "text"), "language-sample")
+    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))]), F.col("lang"))
+    drawn = materialise(labelled.where(luck(F.col("key").cast("string"), F.col("text")) < share).select("lang", "text"), "language-sample")
+    got = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    odd = [r["lang"] for r in counts if r["n"] > per_lang and not 0 < got.get(r["lang"], 0) <= 2 * per_lang]
+    if not odd:
+        return drawn
+    row = F.monotonically_increasing_id()
+    again = labelled.where(F.col("lang").isin(odd)).where(luck(F.col("key").cast("string"), F.col("text"), row) < share).select("lang", "text")
+    return materialise(drawn.where(~F.col("lang").isin(odd)).union(again), "language-sample")
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Ecoc | None:
     """Fit on the rows given (hold rows out before); None without a labelled text.
 
-    What reaches the driver is a count for each language and n-gram bucket and the margins of the sample.
+    Rows may lack keys or repeat them. What reaches the driver is bounded whatever the languages: weights of n-gram
+    buckets and bits, and the margins of at most about CALIBRATE_ROWS rows.
     """
     small_batches(docs.sparkSession)
-    rows = sample(docs, key, lang, per_lang).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = materialise(rows, "language-sample").coalesce(8)  # a bounded number of texts
+    rows = sample(docs, key, text, lang, per_lang).coalesce(8)  # a bounded number of texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -161,29 +182,44 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "bucket", "n"])
 
-    table_ = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table_["lang"].unique())
+    seen = materialise(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-grams")
+    totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # MOST_LANGS rows at most
+    langs = sorted(totals)
     if not langs:
         return None
-    counts = np.zeros((len(langs), 1 << HASH_BITS))
-    counts[table_["lang"].map({x: i for i, x in enumerate(langs)}), table_["bucket"]] = table_["n"]
-    code = code_matrix(len(langs))
-    rate = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
-    log_odds = [np.log(rate[c == 1].mean(0) if (c == 1).any() else 1) - np.log(rate[c == -1].mean(0) if (c == -1).any() else 1) for c in code.T]
-    weights = np.clip(np.stack(log_odds, 1), -8, 8).astype(np.float32)
-    number = {x: i for i, x in enumerate(langs)}
+    code, number = code_matrix(len(langs)), {x: i for i, x in enumerate(langs)}
+    size = np.array([totals[x] for x in langs], float)[:, None]
+
+    def weigh(part: pd.DataFrame) -> pd.DataFrame:
+        """The log-odds of each bit in the buckets of one part, which has every language."""
+        first = int(part["part"].iloc[0]) * PART_BUCKETS
+        counts = np.zeros((len(langs), PART_BUCKETS))
+        counts[part["lang"].map(number), part["bucket"] - first] = part["n"]
+        return pd.DataFrame({"bucket": np.arange(first, first + PART_BUCKETS), "w": bit_weights(counts, size, code).tolist()})
+
+    parts = seen.withColumn("part", F.floor(F.col("bucket") / PART_BUCKETS).cast("int")).groupBy("part").applyInPandas(weigh, "bucket int, w array<double>").toPandas()
+    weights = np.tile(bit_weights(np.zeros((len(langs), 1)), size, code), (1 << HASH_BITS, 1)).astype(np.float32)
+    weights[parts["bucket"].to_numpy()] = np.array(parts["w"].tolist(), np.float32)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = margins(b.column(1), weights)
             yield pa.RecordBatch.from_arrays([pa.array([number[x] for x in b.column(0).to_pylist()], pa.int32()), pa.array(m.tolist(), pa.list_(pa.float64()))], ["lang", "m"])
 
-    seen = rows.mapInArrow(score, "lang int, m array<double>").toPandas()
-    m, y = np.array(seen["m"].tolist()), code[seen["lang"].to_numpy()]
+    few = rows.where(F.col("lang").isNotNull() & (luck(F.monotonically_increasing_id()) < min(1.0, CALIBRATE_ROWS / max(1, rows.count()))))
+    told = few.mapInArrow(score, "lang int, m array<double>").toPandas()
+    m, y = np.array(told["m"].tolist()).reshape(-1, code.shape[1]), code[told["lang"].to_numpy(np.int64)]
     scale, bias, trust = calibrate(m, y)
     return Ecoc(langs, code, weights, scale, bias, trust)
 
 
+def bit_weights(counts: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each bucket (column of ``counts``, a row for each language) and bit: how much likelier the n-gram is in the languages of the one sign."""
+    rate = (counts + 0.5) / (size + 0.5 * (1 << HASH_BITS))
+    side = lambda of: np.log(rate[of].mean(0) if of.any() else np.ones(rate.shape[1]))
+    return np.clip(np.stack([side(c == 1) - side(c == -1) for c in code.T], 1), -8, 8)
+
+
 def calibrate(m: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A logistic scale and bias for each bit, both signs weighted alike, and a weight by how often the bit is right."""
     spread = m.std(0) + 1e-9

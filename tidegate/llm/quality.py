@@ -10,6 +10,10 @@ wherever it stands. The field maximises the likelihood of that, so that lines of
 of good ones are labelled good. It is fitted on a bounded sample: SAMPLE_DOCS labelled documents in expectation, chosen
 by a hash of the key. A chain of two labels needs one number a line for each message, the log-odds of good against
 bad, so all documents of a batch are passed along together.
+
+Rows are documents by themselves: null keys stay (and are not held out, nor have labels), keys and rows that repeat
+give rows that repeat. An empty table gives none; without labels there is no field. Columns that are not named are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ FEATURES = OWN + 2 * len(SHARED) + 2
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,25 +240,32 @@ def calibrate(r: np.ndarray, label: np.ndarray, rounds: int = 50) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS) -> Field | None:
     """Fit on a bounded sample of the labelled documents given (hold rows out before); None without one.
 
-    Of a document's several labels the greatest counts. The keys of the sample are broadcast: ``most`` in expectation.
+    Of a document's several labels the greatest counts. Labelled keys are drawn first and broadcast (``most`` in
+    expectation); if their rows are more than that, since keys repeat, rows are drawn; then rows again down to
+    SAMPLE_LINES lines.
     """
     small_batches(docs.sparkSession)
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
     share = min(1.0, most / max(1, told.count()))
-    luck = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    again = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("lines")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(told.where(luck < share)), "key").select("y", again.alias("again"), "text")
+    luck = lambda *of: F.pmod(F.xxhash64(*of, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = materialise(told.where(luck(F.col("key").cast("string")) < share), "quality-keys")
+    keys = F.broadcast(drawn)
+    number = docs.select(F.col(key).alias("key")).join(keys, "key").count()
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if number > 2 * most:
+        rows = rows.where(luck(F.col("key").cast("string"), F.col("text"), F.monotonically_increasing_id()) < most / number)
+    rows = rows.join(keys, "key").select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = ta.column(b, "text")
             for lo, hi in ta.chunks(texts):
                 x, size, begin = line_features(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(begin), pa.int64()), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())], ["y", "again", "lines", "x", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(begin), pa.int64()), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())], ["y", "lines", "x", "size"])
 
-    sample = materialise(rows.mapInArrow(run, "y int, again double, lines long, x binary, size binary"), "quality-sample")
+    sample = materialise(rows.mapInArrow(run, "y int, lines long, x binary, size binary"), "quality-sample")
     lines = sample.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
-    got = sample.where(F.col("again") < SAMPLE_LINES / max(1, lines)).toPandas()
+    got = sample.where(luck(F.monotonically_increasing_id()) < SAMPLE_LINES / max(1, lines)).toPandas()
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES).astype(float)
