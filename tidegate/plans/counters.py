@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.functions import traffic as T
+from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
 from tidegate.plans.registry import query
 from tidegate.sources.tables import http_requests, packets, snapshots, sql
@@ -66,14 +67,15 @@ def agg_class_totals(spark, sf):
     return K.class_totals(packets(spark, sf), DAY, SECONDS)
 
 
-@query("agg_lifetime_totals", sql("SELECT w, CAST(sum(packets) OVER o AS BIGINT) AS total_packets, CAST(sum(bytes) OVER o AS BIGINT) AS total_bytes, round(sum(packets) OVER o / (count(*) OVER o * 86400.0::DOUBLE), 6) AS mean_pps FROM counters WINDOW o AS (ORDER BY w)", "counters"))
+@query("agg_lifetime_totals", sql("SELECT w, total_packets, total_bytes, round(total_packets / s / 1e6, 12) AS mpps, round(total_bytes * 8 / s / 1e9, 12) AS gbps FROM (SELECT w, CAST(sum(packets) OVER o AS BIGINT) AS total_packets, CAST(sum(bytes) OVER o AS BIGINT) AS total_bytes, (epoch_us(strptime(w, '%Y-%m-%d %H:%M:%S')) + 86400000000 - (SELECT epoch_us(min(ts)) FROM packets)) / 1e6 AS s FROM counters WINDOW o AS (ORDER BY w)) x", "counters"))
 def agg_lifetime_totals(spark, sf):
-    from pyspark.sql import Window
-
-    # A row for each window of one sensor: the running sum is over the aggregated series, not over packets.
-    w = Window.partitionBy("sensor").orderBy("w")
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes")).withColumn("sensor", F.lit("s1"))
-    return rows.select("w", F.sum("packets").over(w).alias("total_packets"), F.sum("bytes").over(w).alias("total_bytes"), F.round(F.sum("packets").over(w) / (F.count("*").over(w) * SECONDS), 6).alias("mean_pps"))
+    """Packets and bytes since the start, and their rates since the first packet."""
+    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes"))
+    at = F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss")
+    total = B.running(rows, "w", F.floor(at / (7 * 86400)), {x: B.Scan(c(x)) for x in ("packets", "bytes")})
+    first = F.broadcast(packets(spark, sf).agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("first")))  # one row
+    seconds = ((at + int(SECONDS)) * 1000000 - c("first")) / 1e6
+    return total.crossJoin(first).select("w", c("packets").alias("total_packets"), c("bytes").alias("total_bytes"), F.round(c("packets") / seconds / 1e6, 12).alias("mpps"), F.round(c("bytes") * 8 / seconds / 1e9, 12).alias("gbps"))
 
 
 @query("agg_attack_counters", sql(f"SELECT w, syn, syn_ack, {ratio_sql('syn', 'syn_ack')} AS syn_synack_ratio, http, dns FROM counters", "counters"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import traffic as T
+from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
 from tidegate.operators import rules as R
+from tidegate.operators.ewma import ewma
 from tidegate.plans.registry import query
 from tidegate.sources.tables import packets, sql
 
@@ -26,6 +27,11 @@ RULES = {
 }
 
 
+def week():
+    """The block of a daily row."""
+    return F.floor(F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") / (7 * 86400))
+
+
 def daily(spark, sf):
     return K.window_counters(packets(spark, sf), DAY)
 
@@ -80,27 +86,15 @@ SELECT w, round(m, 6) AS ewma, round(z, 6) AS z, z > 3 AS alert FROM e"""
 
 @query("doc_ewma_zscore", sql("", "counters").rstrip() + EWMA)
 def doc_ewma_zscore(spark, sf):
-    """The running mean and variance are a fold over the windows of a sensor, a row for each; packets are aggregated
-    before. z is the distance of a window from the mean before it, in deviations before it."""
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets",)).withColumn("sensor", F.lit("s1"))
-    series = rows.groupBy("sensor").agg(F.sort_array(F.collect_list(F.struct("w", "packets"))).alias("s"))
-    start = F.array().cast("array<struct<w:string,m:double,v:double,z:double>>")
-
-    def step(acc, x):
-        last, new = F.get(acc, F.size(acc) - 1), F.size(acc) == 0
-        off = x["packets"] - last["m"]
-        mean = F.when(new, x["packets"].cast("double")).otherwise(0.1 * x["packets"] + 0.9 * last["m"])
-        spread = F.when(new, 0.0).otherwise(0.9 * (last["v"] + 0.1 * off * off))
-        z = F.when(new | (last["v"] <= 0), 0.0).otherwise(off / F.sqrt(last["v"]))
-        return F.concat(acc, F.array(F.struct(x["w"].alias("w"), mean.alias("m"), spread.alias("v"), z.alias("z"))))
-
-    return series.select(F.explode(F.aggregate("s", start, step)).alias("x")).select("x.w", F.round("x.m", 6).alias("ewma"), F.round("x.z", 6).alias("z"), (c("x.z") > 3).alias("alert"))
+    """z is the distance of a window from the mean before it, in deviations before it; the series is worked out in blocks."""
+    rows = B.numbered(K.window_counters(packets(spark, sf), DAY, only=("packets",)), "w", week())
+    return ewma(rows, "packets", block_rows=7).join(rows, "place").select("w", F.round("mean", 6).alias("ewma"), F.round("z", 6).alias("z"), (c("z") > 3).alias("alert"))
 
 
 @query("doc_flash", sql("SELECT w, CAST(packets - lag(packets) OVER (ORDER BY w) AS BIGINT) AS delta, coalesce(packets - lag(packets) OVER (ORDER BY w) > 20, false) AS flash FROM counters", "counters"))
 def doc_flash(spark, sf):
-    o = Window.partitionBy("sensor").orderBy("w")
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets",)).withColumn("sensor", F.lit("s1")).withColumn("delta", c("packets") - F.lag("packets").over(o))
+    rows = B.numbered(K.window_counters(packets(spark, sf), DAY, only=("packets",)), "w", week())
+    rows = B.lagged(rows, "packets", "before", block_rows=16).withColumn("delta", c("packets") - c("before"))
     return rows.select("w", "delta", F.coalesce(c("delta") > 20, F.lit(False)).alias("flash"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import traffic as T
+from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
 from tidegate.operators import runs as U
 from tidegate.operators import series as S
@@ -49,9 +50,9 @@ def run_summary(spark, sf):
 @query("run_heatmap", sql("SELECT CAST((k * (least(30, n) - 1) + n - 2) // (n - 1) AS INT) AS bin, CAST(sum(tcp) AS BIGINT) AS tcp, CAST(sum(udp) AS BIGINT) AS udp, CAST(sum(icmp) AS BIGINT) AS icmp FROM (SELECT *, row_number() OVER (ORDER BY w) - 1 AS k, count(*) OVER () AS n FROM counters) s WHERE k > 0 GROUP BY 1", "counters"))
 def run_heatmap(spark, sf):
     """min(30, n) edges evenly over n windows, bins closed on the right; the window on the first edge is in none."""
-    o = Window.partitionBy("sensor").orderBy("w")
-    rows = K.window_counters(packets(spark, sf), "1 day", only=("tcp", "udp", "icmp")).withColumn("sensor", F.lit("s1")).withColumn("k", F.row_number().over(o) - 1)
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("sensor"))).where("k > 0")
+    rows = K.window_counters(packets(spark, sf), "1 day", only=("tcp", "udp", "icmp"))
+    rows = B.numbered(rows, "w", F.floor(F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") / (7 * 86400)), "k")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).where("k > 0")  # one row
     return rows.groupBy(F.expr("CAST((k * (least(30, n) - 1) + n - 2) DIV (n - 1) AS INT)").alias("bin")).agg(*[F.sum(x).alias(x) for x in ("tcp", "udp", "icmp")])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import quic as Q
 from tidegate.functions import traffic as T
+from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
 from tidegate.operators import series as S
 from tidegate.plans.registry import query
@@ -17,6 +18,15 @@ DAY = "1 day"
 SNAP = ("packets", "snapshots")
 
 
+def in_weeks():
+    """The block of a daily row: blocks are ranges of time, so series of any length are in many of them."""
+    return F.floor(F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") / (7 * 86400))
+
+
+def daily_series(spark, sf, *names):
+    return K.window_counters(packets(spark, sf), DAY, only=names)
+
+
 @query("win_counter_delta", sql("""SELECT run_id, idx, CAST(greatest(0, total_packets - coalesce(lag(total_packets) OVER o, 0)) AS BIGINT) AS packets_delta, round(greatest(0, total_packets - coalesce(lag(total_packets) OVER o, 0)) / 5.0::DOUBLE, 6) AS packets_rate,
   CAST(greatest(0, total_bytes - coalesce(lag(total_bytes) OVER o, 0)) AS BIGINT) AS bytes_delta FROM snapshots WINDOW o AS (PARTITION BY run_id ORDER BY idx)""", *SNAP))
 def win_counter_delta(spark, sf):
@@ -27,17 +37,18 @@ def win_counter_delta(spark, sf):
 @query("win_sliding_stats", sql("""SELECT w, pm AS packets_mean, ps AS packets_std, px AS packets_max, bm AS bytes_mean, tm AS tcp_share_mean, um AS udp_share_mean, im AS icmp_share_mean, sm AS syn_share_mean FROM (SELECT w, round(avg(packets) OVER o, 6) AS pm, round(stddev_samp(packets) OVER o, 6) AS ps, round(CAST(max(packets) OVER o AS DOUBLE), 6) AS px,
   round(avg(bytes) OVER o, 6) AS bm, round(avg(tcp / packets::DOUBLE) OVER o, 6) AS tm, round(avg(udp / packets::DOUBLE) OVER o, 6) AS um, round(avg(icmp / packets::DOUBLE) OVER o, 6) AS im, round(avg(CASE WHEN tcp > 0 THEN syn / tcp::DOUBLE ELSE 0 END) OVER o, 6) AS sm, count(*) OVER o AS n FROM counters WINDOW o AS (ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) s WHERE n = 10""", "counters"))
 def win_sliding_stats(spark, sf):
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes", "tcp", "udp", "icmp", "syn")).withColumn("sensor", F.lit("s1"))
+    rows = daily_series(spark, sf, "packets", "bytes", "tcp", "udp", "icmp", "syn")
     rows = rows.withColumns({f"{x}_share": F.when(c(of) > 0, c(x) / c(of)).otherwise(0.0) for x, of in (("tcp", "packets"), ("udp", "packets"), ("icmp", "packets"), ("syn", "tcp"))})
-    out = S.sliding_stats(rows, {"packets": ("mean", "std", "max"), "bytes": ("mean",)} | {f"{x}_share": ("mean",) for x in ("tcp", "udp", "icmp", "syn")}, ("sensor",), "w")
-    return out.select("w", "packets_mean", "packets_std", c("packets_max").cast("double").alias("packets_max"), "bytes_mean", *[f"{x}_share_mean" for x in ("tcp", "udp", "icmp", "syn")])
+    mean = lambda x: lambda w: F.round(F.avg(x).over(w), 6)
+    stats = {f"{x}_mean": mean(x) for x in ("packets", "bytes", "tcp_share", "udp_share", "icmp_share", "syn_share")} | {"packets_std": lambda w: F.round(F.stddev_samp("packets").over(w), 6), "packets_max": lambda w: F.max("packets").over(w).cast("double")}
+    out = B.trailing(B.numbered(rows, "w", in_weeks()), stats, 10, block_rows=16).where("place >= 9")
+    return out.select("w", *stats)
 
 
 @query("win_cumulative", sql("SELECT w, CAST(sum(packets) OVER (ORDER BY w) AS BIGINT) AS packets, CAST(sum(bytes) OVER (ORDER BY w) AS BIGINT) AS bytes FROM counters", "counters"))
 def win_cumulative(spark, sf):
-    o = Window.partitionBy("sensor").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes")).withColumn("sensor", F.lit("s1"))
-    return rows.select("w", F.sum("packets").over(o).alias("packets"), F.sum("bytes").over(o).alias("bytes"))
+    rows = daily_series(spark, sf, "packets", "bytes")
+    return B.running(rows, "w", in_weeks(), {x: B.Scan(c(x)) for x in ("packets", "bytes")}).select("w", "packets", "bytes")
 
 
 @query("win_relative_time", sql("SELECT pkt_id, round((epoch_us(ts) - epoch_us((SELECT min(ts) FROM packets))) / 1e6, 6) AS seconds FROM packets"))
@@ -60,12 +71,12 @@ DETECTED = "SELECT w, row_number() OVER (ORDER BY w) AS k, CAST(epoch_ms(strptim
 
 def detections(spark, sf):
     rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "attack", "bytes")).where(c("attack") * 4 > c("packets"))
-    return rows.select("w", (F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") * 1000).alias("ms"), "packets", "bytes", "attack", F.lit("s1").alias("sensor"))
+    return rows.select("w", (F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") * 1000).alias("ms"), "packets", "bytes", "attack")
 
 
 def gaps(spark, sf):
-    o = Window.partitionBy("sensor").orderBy("ms")
-    return detections(spark, sf).withColumn("gap_ms", c("ms") - F.lag("ms").over(o)).where("gap_ms IS NOT NULL")
+    rows = B.lagged(B.numbered(detections(spark, sf), "ms", in_weeks()), "ms", "before", block_rows=16)
+    return rows.withColumn("gap_ms", c("ms") - c("before")).where("gap_ms IS NOT NULL")
 
 
 GAPS = f"SELECT ms - lag(ms) OVER (ORDER BY k) AS gap_ms FROM ({DETECTED}) d QUALIFY gap_ms IS NOT NULL"
@@ -76,20 +87,28 @@ def win_inter_detection(spark, sf):
     return gaps(spark, sf).agg(F.min("gap_ms").alias("min_gap"), F.max("gap_ms").alias("max_gap"), F.round(F.avg("gap_ms"), 6).alias("avg_gap"), F.count("*").alias("n"))
 
 
-@query("win_latency_histogram", sql(f"SELECT CASE WHEN gap_ms < 2 * 86400000 THEN '<2d' WHEN gap_ms < 3 * 86400000 THEN '2-3d' WHEN gap_ms < 4 * 86400000 THEN '3-4d' ELSE '>=4d' END AS bin, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM ({GAPS}) g GROUP BY 1", "counters"))
+#: Edges of the latency histogram (milliseconds) and names of its bins.
+EDGES, BIN_NAMES = (20, 30, 40, 50), ("< 20 ms", "20-30 ms", "30-40 ms", "40-50 ms", "> 50 ms")
+BINS_SQL = "CASE " + " ".join(f"WHEN ms < {e} THEN '{n}'" for e, n in zip(EDGES, BIN_NAMES, strict=False)) + f" ELSE '{BIN_NAMES[-1]}' END"
+
+
+@query("win_latency_histogram", sql(f"SELECT bin, n, round(CASE WHEN total > 0 THEN 100.0::DOUBLE * n / total ELSE 0 END, 6) AS pct FROM (SELECT b.bin, count(g.bin) AS n, (SELECT count(*) FROM ({GAPS}) t) AS total FROM (SELECT unnest([{', '.join(repr(x) for x in BIN_NAMES)}]) AS bin) b LEFT JOIN (SELECT {BINS_SQL} AS bin FROM (SELECT gap_ms / 3600000 AS ms FROM ({GAPS}) x) y) g USING (bin) GROUP BY b.bin) z", "counters"))
 def win_latency_histogram(spark, sf):
-    day = 86400000
-    rows = gaps(spark, sf).groupBy(S.bins(c("gap_ms"), (2 * day, 3 * day, 4 * day), ("<2d", "2-3d", "3-4d", ">=4d")).alias("bin")).agg(F.count("*").alias("n"))
-    whole = F.broadcast(rows.agg(F.sum("n").alias("total")))  # one row
-    return rows.crossJoin(whole).select("bin", "n", F.round(100 * c("n") / c("total"), 6).alias("pct"))
+    """Gaps between detections in the detector's bins, empty ones too. The fixture's hours stand for milliseconds."""
+    found = gaps(spark, sf).groupBy(S.bins(c("gap_ms") / 3600000, EDGES, BIN_NAMES).alias("bin")).agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([(x,) for x in BIN_NAMES], "bin string").join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = F.broadcast(every.agg(F.sum("n").alias("total")))  # one row
+    return every.crossJoin(whole).select("bin", "n", F.round(F.when(c("total") > 0, 100 * c("n") / c("total")).otherwise(0.0), 6).alias("pct"))
 
 
 @query("win_first_detection", sql("SELECT w, total_packets, total_bytes, attack_share FROM (SELECT w, CAST(sum(packets) OVER o AS BIGINT) AS total_packets, CAST(sum(bytes) OVER o AS BIGINT) AS total_bytes, round(attack / packets::DOUBLE, 6) AS attack_share, attack * 4 > packets AS hit FROM counters WINDOW o AS (ORDER BY w)) s WHERE hit ORDER BY w LIMIT 1", "counters"))
 def win_first_detection(spark, sf):
-    o = Window.partitionBy("sensor").orderBy("w")
-    rows = K.window_counters(packets(spark, sf), DAY, only=("packets", "bytes", "attack")).withColumn("sensor", F.lit("s1"))
-    rows = rows.select("sensor", "w", F.sum("packets").over(o).alias("total_packets"), F.sum("bytes").over(o).alias("total_bytes"), F.round(c("attack") / c("packets"), 6).alias("attack_share"), (c("attack") * 4 > c("packets")).alias("hit"))
-    return rows.where("hit").groupBy("sensor").agg(F.min_by(F.struct("w", "total_packets", "total_bytes", "attack_share"), "w").alias("x")).select("x.*")
+    """The totals up to the first window that is detected: that window first, then one sum over what is not after it."""
+    rows = daily_series(spark, sf, "packets", "bytes", "attack")
+    first = rows.where(c("attack") * 4 > c("packets")).agg(F.min("w").alias("first")).where("first IS NOT NULL")  # one row
+    upto = rows.join(F.broadcast(first), c("w") <= c("first"))
+    found = upto.groupBy("first").agg(F.sum("packets").alias("total_packets"), F.sum("bytes").alias("total_bytes"), F.round(F.max(F.when(c("w") == c("first"), c("attack") / c("packets"))), 6).alias("attack_share"))
+    return found.withColumnRenamed("first", "w")
 
 
 @query("win_detection_latency", sql(f"SELECT CAST(min(d.ms) + 86400000 - (SELECT epoch_us(min(ts)) // 1000 FROM packets WHERE net = 'attack') AS BIGINT) AS latency_ms, round((min(d.ms) + 86400000 - (SELECT epoch_us(min(ts)) // 1000 FROM packets WHERE net = 'attack')) / 866.0::DOUBLE, 6) AS factor FROM ({DETECTED}) d", "counters"))

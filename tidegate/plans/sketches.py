@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import traffic as T
+from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
 from tidegate.operators import sketches as S
 from tidegate.plans.registry import query
@@ -87,13 +88,14 @@ def hll_distinct(spark, sf):
 
 @query("hll_running_distinct", sql("SELECT w, CAST(sum(n) OVER (ORDER BY w) AS BIGINT) AS exact, true AS within_bound FROM (SELECT w, count(DISTINCT src_ip) FILTER (WHERE w = f) AS n FROM packets JOIN (SELECT src_ip, min(w) AS f FROM packets GROUP BY src_ip) s USING (src_ip) GROUP BY w) x"))
 def hll_running_distinct(spark, sf):
+    """Sketches of days, united along the run block by block."""
     p = packets(spark, sf)
-    o = Window.partitionBy("sensor").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    daily = p.groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_agg("src_ip", F.lit(12)).alias("sketch")).transform(K.named).withColumn("sensor", F.lit("s1"))
-    est = daily.select("w", F.hll_sketch_estimate(F.hll_union_agg("sketch").over(o)).alias("estimate"))
+    week = F.floor(F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") / (7 * 86400))
+    daily = p.groupBy(K.window_start(DAY).alias("w")).agg(F.hll_sketch_agg("src_ip", F.lit(12)).alias("sketch")).transform(K.named)
     first = p.groupBy("src_ip").agg(F.min(F.date_trunc("day", "ts")).alias("d")).groupBy(F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("w")).agg(F.count("*").alias("n"))
-    exact = daily.select("w", "sensor").join(first, "w", "left").select("w", F.sum(F.coalesce("n", F.lit(0))).over(o).alias("exact"))
-    return est.join(exact, "w").select("w", "exact", (F.abs(c("estimate") - c("exact")) <= F.greatest(F.lit(2), c("exact") * 0.05)).alias("within_bound"))
+    rows = daily.join(first, "w", "left")
+    found = B.running(rows, "w", week, {"all": B.union_of_sketches(c("sketch")), "exact": B.Scan(F.coalesce("n", F.lit(0)))})
+    return found.select("w", "exact", (F.abs(F.hll_sketch_estimate("all") - c("exact")) <= F.greatest(F.lit(2), c("exact") * 0.05)).alias("within_bound"))
 
 
 @query("bloom_membership", sql("SELECT DISTINCT src_ip, src_ip IN (SELECT src_ip FROM packets WHERE ts < TIMESTAMP '2024-01-03') AS member, true AS no_false_negative FROM packets"))
