@@ -7,75 +7,127 @@ from pyspark.sql import functions as F
 from tidegate.functions import traffic as T
 from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
-from tidegate.operators import rules as R
+from tidegate.operators import rule_tables as M
 from tidegate.operators.ewma import ewma
+from tidegate.plans.counters import FEATURES, ratio_sql
 from tidegate.plans.registry import query
 from tidegate.sources.tables import packets, sql
 
 c = F.col
 DAY = "1 day"
 
-#: name: severity, condition in Spark and in SQL; the limits are scaled to daily windows of the fixtures.
-RULES = {
-    "doc_rule_udp": ("HIGH", lambda: (c("udp") > 0.2 * c("packets")) & (c("packets") > 330), "udp > 0.2 * packets AND packets > 330"),
-    "doc_rule_icmp": ("MEDIUM", lambda: (c("icmp") > 0.2 * c("packets")) & (c("packets") > 320), "icmp > 0.2 * packets AND packets > 320"),
-    "doc_rule_http": ("HIGH", lambda: (c("tcp") > 0.55 * c("packets")) & (c("psh") > 0.2 * c("tcp")) & (c("http") > 0.38 * c("tcp")), "tcp > 0.55 * packets AND psh > 0.2 * tcp AND http > 0.38 * tcp"),
-    "doc_rule_amplification": ("HIGH", lambda: (c("dns") > 0.3 * c("udp")) & (c("bytes") > 200 * c("packets")), "dns > 0.3 * udp AND bytes > 200 * packets"),
-    "doc_rule_frag": ("MEDIUM", lambda: (c("frag") > 0.1 * c("packets")) & (c("bytes") < 215 * c("packets")), "frag > 0.1 * packets AND bytes < 215 * packets"),
-    "doc_rule_ack": ("MEDIUM", lambda: (c("ack") > 0.65 * c("tcp")) & (c("syn") < 0.35 * c("tcp")), "ack > 0.65 * tcp AND syn < 0.35 * tcp"),
-    "doc_rule_volumetric": ("CRITICAL", lambda: (c("packets") > 345) & (c("tcp") < 0.8 * c("packets")), "packets > 345 AND tcp < 0.8 * packets"),
-}
-
-
 def week():
     """The block of a daily row."""
     return F.floor(F.unix_timestamp("w", "yyyy-MM-dd HH:mm:ss") / (7 * 86400))
 
 
-def daily(spark, sf):
-    return K.window_counters(packets(spark, sf), DAY)
+# The documented rules, severities, weights and limits.
+DOCUMENTED = (
+    *M.conjunction("documented", "doc_rule_udp", "HIGH", ("udp_ratio", ">", 0.80), ("pps", ">", 10000)),
+    *M.conjunction("documented", "doc_rule_icmp", "MEDIUM", ("icmp_ratio", ">", 0.50), ("pps", ">", 5000)),
+    *M.conjunction("documented", "doc_rule_http", "HIGH", ("tcp_ratio", ">", 0.90), ("psh_ratio", ">", 0.70), ("web_share", ">", 0.80), ("pps", ">", 3000)),
+    *M.conjunction("documented", "doc_rule_amplification", "CRITICAL", ("udp_ratio", ">", 0.90), ("avg_pkt_size", ">", 400), ("reflector_share", ">", 0.80), ("unique_src_ips", "<", 100)),
+    *M.conjunction("documented", "doc_rule_frag", "HIGH", ("frag_ratio", ">", 0.50), ("avg_pkt_size", "<", 100)),
+    *M.conjunction("documented", "doc_rule_ack", "HIGH", ("tcp_ratio", ">", 0.90), ("ack_ratio", ">", 0.90), ("syn_ratio", "<", 0.10), ("pps", ">", 8000)),
+    *M.conjunction("documented", "doc_rule_volumetric", "CRITICAL", ("pps", ">", 50000), ("tcp_ratio", ">", 0.30), ("tcp_ratio", "<", 0.70), ("udp_ratio", ">", 0.20), ("udp_ratio", "<", 0.60)),
+    *M.scored("documented", "doc_threat_score",
+        ("high_pps", 3, (("pps", ">", 20000),)), ("skewed_tcp_ratio", 2, (("tcp_ratio", ">", 0.9), ("tcp_ratio", "<", 0.5))), ("high_syn", 3, (("syn_ratio", ">", 0.7),)), ("low_ack", 2, (("ack_ratio", "<", 0.3),)),
+        ("high_unique_ips", 4, (("unique_src_ips", ">", 5000),)), ("low_dst_ports", 3, (("unique_dst_ports", "<", 10),)), ("high_fragmentation", 2, (("frag_ratio", ">", 0.3),)), ("large_packets", 1, (("avg_pkt_size", ">", 500),))),
+    # Weights are documented; where no limit is, that of the other documented rules is taken, and 10 bits of entropy.
+    *M.scored("documented", "doc_threat_score_v2",
+        ("high_pps", 2, (("pps", ">", 20000),)), ("skewed_ratio", 2, (("tcp_ratio", ">", 0.9), ("tcp_ratio", "<", 0.5))), ("high_entropy", 3, (("entropy_src_ip", ">", 10),)), ("low_cardinality", 3, (("unique_dst_ports", "<", 10),)), ("tcp_syn_heavy", 1, (("syn_ratio", ">", 0.7),))),
+    *M.conjunction("documented", "syn_flood", "NONE", ("pps", ">", 10000), ("tcp_ratio", ">", 0.90), ("syn_ratio", ">", 0.70)),
+    *M.conjunction("documented", "http_flood", "NONE", ("pps", ">", 10000), ("tcp_ratio", ">", 0.90), ("syn_ratio", "<=", 0.70), ("psh_ratio", ">", 0.70)),
+    *M.conjunction("documented", "udp_flood", "NONE", ("pps", ">", 10000), ("tcp_ratio", "<=", 0.90), ("udp_ratio", ">", 0.80)),
+    *M.conjunction("documented", "icmp_flood", "NONE", ("pps", ">", 10000), ("tcp_ratio", "<=", 0.90), ("udp_ratio", "<=", 0.80), ("icmp_ratio", ">", 0.50)),
+    *M.conjunction("documented", "normal", "NONE", ("pps", "<=", 10000)),
+    *(x for m, r, v in (("pps", ">", 100000), ("gbps", ">", 10.0), ("syn_ratio", ">", 0.7), ("udp_ratio", ">", 0.8), ("frag_ratio", ">", 0.3), ("entropy_src_ip", "<", 3.0), ("small_pkt_ratio", ">", 0.6)) for x in M.conjunction("documented", f"threshold_{m}", "HIGH", (m, r, v))),
+)
+#: Limits for the daily windows of the given tables, which hold a packet in four minutes: (metric, relation, documented value) to value.
+SCALE = {
+    ("pps", ">", 10000.0): 0.0037, ("pps", "<=", 10000.0): 0.0037, ("pps", ">", 5000.0): 0.0036, ("pps", ">", 3000.0): 0.0035, ("pps", ">", 8000.0): 0.0036, ("pps", ">", 50000.0): 0.0038, ("pps", ">", 20000.0): 0.0039, ("pps", ">", 100000.0): 0.0039, ("gbps", ">", 10.0): 7e-9,
+    ("udp_ratio", ">", 0.8): 0.2, ("udp_ratio", "<=", 0.8): 0.2, ("udp_ratio", ">", 0.9): 0.19, ("udp_ratio", ">", 0.2): 0.18, ("icmp_ratio", ">", 0.5): 0.2, ("tcp_ratio", ">", 0.9): 0.6, ("tcp_ratio", "<=", 0.9): 0.6, ("tcp_ratio", "<", 0.5): 0.57,
+    ("psh_ratio", ">", 0.7): 0.29, ("web_share", ">", 0.8): 0.35, ("avg_pkt_size", ">", 400.0): 205.0, ("avg_pkt_size", ">", 500.0): 210.0, ("avg_pkt_size", "<", 100.0): 212.0, ("reflector_share", ">", 0.8): 0.02, ("unique_src_ips", "<", 100.0): 140.0, ("unique_src_ips", ">", 5000.0): 130.0, ("unique_dst_ports", "<", 10.0): 9.5,
+    ("frag_ratio", ">", 0.5): 0.09, ("frag_ratio", ">", 0.3): 0.1, ("ack_ratio", ">", 0.9): 0.65, ("ack_ratio", "<", 0.3): 0.65, ("syn_ratio", "<", 0.1): 0.36, ("syn_ratio", ">", 0.7): 0.34, ("syn_ratio", "<=", 0.7): 0.34, ("entropy_src_ip", "<", 3.0): 6.4, ("entropy_src_ip", ">", 10.0): 6.45, ("small_pkt_ratio", ">", 0.6): 0.24,
+}
+SCALED = tuple(("scaled", *x[1:8], SCALE.get((x[6], x[7], x[8]), x[8])) for x in DOCUMENTED)
 
+METRICS = f"""metrics AS (SELECT f.*, m.psh_ratio, m.web_share, m.reflector_share FROM ({FEATURES}) f JOIN (SELECT w, {ratio_sql("count(*) FILTER (WHERE tcp_flags & 8 <> 0)", "count(*) FILTER (WHERE proto = 6)")} AS psh_ratio,
+  {ratio_sql("count(*) FILTER (WHERE dst_port IN (80, 443))", "count(*)")} AS web_share, {ratio_sql("count(*) FILTER (WHERE proto = 17 AND src_port IN (53, 123))", "count(*)")} AS reflector_share FROM packets GROUP BY w) m USING (w))"""
 
-def add(name, severity, condition, text):
-    @query(name, sql(f"SELECT w, CASE WHEN {text} THEN '{severity}' ELSE 'NONE' END AS alert_level FROM counters", "counters"))
-    def rule(spark, sf):
-        return R.evaluate(daily(spark, sf), [R.Rule(name, severity, condition())]).select("w", "alert_level")
 
-    rule.__name__ = name
+def hold_sql(rule: str, limits: tuple) -> list[tuple[str, int]]:
+    """The condition and weight of each signal of a rule."""
+    signals: dict[str, list] = {}
+    for _, name, _, s, mode, weight, metric, relation, value in limits:
+        if name == rule:
+            signals.setdefault(s, [mode, weight, []])[2].append(f"coalesce({metric} {relation} {value!r}, false)")
+    return [(f"({(' OR ' if mode == 'any' else ' AND ').join(parts)})", weight) for mode, weight, parts in signals.values()]
+
+
+def both_sql(body) -> str:
+    """The SQL of each set of limits, over the metrics."""
+    parts = [f"SELECT w, '{name}' AS limits, {body(limits)} FROM metrics" for name, limits in (("documented", DOCUMENTED), ("scaled", SCALED))]
+    return sql("", "counters").rstrip() + ",\n" + METRICS + "\n" + " UNION ALL ".join(parts)
+
+
+def fired_sql(rule: str, limits: tuple) -> str:
+    return " AND ".join(x for x, _ in hold_sql(rule, limits))
+
 
+def score_sql(rule: str, limits: tuple) -> str:
+    return " + ".join(f"CASE WHEN {x} THEN {n} ELSE 0 END" for x, n in hold_sql(rule, limits))
 
-for _name, (_severity, _condition, _text) in RULES.items():
-    add(_name, _severity, _condition, _text)
 
-#: Signals of the threat scores: weight, condition in Spark, in SQL.
-SIGNALS = ((3, lambda: c("packets") > 335, "packets > 335"), (3, lambda: c("syn") > 0.34 * c("tcp"), "syn > 0.34 * tcp"), (3, lambda: c("udp") > 0.2 * c("packets"), "udp > 0.2 * packets"), (2, lambda: c("icmp") > 0.2 * c("packets"), "icmp > 0.2 * packets"),
-           (2, lambda: c("frag") > 0.1 * c("packets"), "frag > 0.1 * packets"), (3, lambda: c("small") > 0.24 * c("packets"), "small > 0.24 * packets"), (2, lambda: c("attack") * 4 > c("packets"), "attack * 4 > packets"), (2, lambda: c("rst") > 0.1 * c("tcp"), "rst > 0.1 * tcp"))
+def daily(spark, sf, *rules):
+    """Each day evaluated under both sets of limits."""
+    conditions = M.conditions_of(spark, tuple(x for x in (*DOCUMENTED, *SCALED) if x[1] in rules))
+    return M.evaluate(M.metric_rows(packets(spark, sf), DAY, 86400.0), conditions)
 
 
-def score_sql(signals):
-    return " + ".join(f"CASE WHEN {t} THEN {n} ELSE 0 END" for n, _, t in signals)
+def add(name, severity):
+    @query(name, both_sql(lambda limits: f"CASE WHEN {fired_sql(name, limits)} THEN '{severity}' ELSE 'NONE' END AS alert_level"))
+    def rule(spark, sf):
+        return daily(spark, sf, name).select("w", "limits", F.when(c("fired"), c("severity")).otherwise("NONE").alias("alert_level"))
+
+    rule.__name__ = name
 
 
-def score_of(signals):
-    return sum((F.when(cond(), n).otherwise(0) for n, cond, _ in signals), F.lit(0))
+for _name, _severity in dict.fromkeys((x[1], x[2]) for x in DOCUMENTED if x[1].startswith("doc_rule_")):
+    add(_name, _severity)
 
 
-@query("doc_threat_score", sql(f"SELECT w, s AS score, CASE WHEN s >= 15 THEN 'CRITICAL' WHEN s >= 10 THEN 'HIGH' WHEN s >= 7 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT w, {score_sql(SIGNALS)} AS s FROM counters) x", "counters"))
+def bands(score: str) -> str:
+    return f"CASE WHEN {score} >= 15 THEN 'CRITICAL' WHEN {score} >= 10 THEN 'HIGH' WHEN {score} >= 7 THEN 'MEDIUM' ELSE 'NONE' END"
+
+
+@query("doc_threat_score", both_sql(lambda limits: f"CAST({score_sql('doc_threat_score', limits)} AS BIGINT) AS score, {bands('(' + score_sql('doc_threat_score', limits) + ')')} AS band"))
 def doc_threat_score(spark, sf):
-    rows = daily(spark, sf).select("w", score_of(SIGNALS).alias("score"))
-    return rows.withColumn("band", F.when(c("score") >= 15, "CRITICAL").when(c("score") >= 10, "HIGH").when(c("score") >= 7, "MEDIUM").otherwise("LOW"))
+    return daily(spark, sf, "doc_threat_score").select("w", "limits", "score", F.expr(bands("score")).alias("band"))
 
 
-@query("doc_threat_score_v2", sql(f"SELECT w, {score_sql(SIGNALS[:5])} AS score, ({score_sql(SIGNALS[:5])}) >= 7 AS alert FROM counters", "counters"))
+@query("doc_threat_score_v2", both_sql(lambda limits: f"CAST({score_sql('doc_threat_score_v2', limits)} AS BIGINT) AS score, ({score_sql('doc_threat_score_v2', limits)}) >= 7 AS alert"))
 def doc_threat_score_v2(spark, sf):
-    return daily(spark, sf).select("w", score_of(SIGNALS[:5]).alias("score")).withColumn("alert", c("score") >= 7)
+    return daily(spark, sf, "doc_threat_score_v2").select("w", "limits", "score", (c("score") >= 7).alias("alert"))
+
 
+LEAVES = ("syn_flood", "http_flood", "udp_flood", "icmp_flood", "normal")
 
-@query("doc_decision_tree", sql("SELECT w, CASE WHEN packets <= 320 THEN 'normal' WHEN tcp > 0.6 * packets THEN CASE WHEN syn > 0.34 * tcp THEN 'syn_flood' ELSE 'tcp_flood' END WHEN udp > 0.2 * packets THEN 'udp_flood' WHEN icmp > 0.2 * packets THEN 'icmp_flood' ELSE 'mixed' END AS verdict FROM counters", "counters"))
+
+@query("doc_decision_tree", both_sql(lambda limits: "CASE " + " ".join(f"WHEN {fired_sql(x, limits)} THEN '{x}'" for x in LEAVES) + " ELSE 'unclassified' END AS verdict"))
 def doc_decision_tree(spark, sf):
-    tcp = F.when(c("syn") > 0.34 * c("tcp"), "syn_flood").otherwise("tcp_flood")
-    verdict = F.when(c("packets") <= 320, "normal").when(c("tcp") > 0.6 * c("packets"), tcp).when(c("udp") > 0.2 * c("packets"), "udp_flood").when(c("icmp") > 0.2 * c("packets"), "icmp_flood").otherwise("mixed")
-    return daily(spark, sf).select("w", verdict.alias("verdict"))
+    """Each leaf is the conjunction of the conditions on its path; a window reaches one leaf or none."""
+    leaves = daily(spark, sf, *LEAVES)
+    return leaves.groupBy("w", "limits").agg(F.coalesce(F.max(F.when(c("fired"), c("rule"))), F.lit("unclassified")).alias("verdict"))
+
+
+THRESHOLDS = tuple(dict.fromkeys(x[1] for x in DOCUMENTED if x[1].startswith("threshold_")))
+
+
+@query("rule_config_thresholds", both_sql(lambda limits: "unnest(list_filter([" + ", ".join(f"CASE WHEN {fired_sql(x, limits)} THEN '{x.removeprefix('threshold_')}' END" for x in THRESHOLDS) + "], lambda x: x IS NOT NULL)) AS metric"))
+def rule_config_thresholds(spark, sf):
+    """The metrics of each window that are beyond their limit."""
+    return daily(spark, sf, *THRESHOLDS).where("fired").select("w", "limits", F.replace("rule", F.lit("threshold_"), F.lit("")).alias("metric"))
 
 
 EWMA = """, n AS (SELECT w, packets, row_number() OVER (ORDER BY w) AS k FROM counters),

@@ -25,12 +25,6 @@ def rule_syn_ratio(spark, sf):
     return R.alerts(daily(spark, sf), [rule])
 
 
-@query("rule_config_thresholds", sql("SELECT w, metric FROM (SELECT w, unnest([CASE WHEN packets > 340 THEN 'pps' END, CASE WHEN syn > 0.34 * tcp THEN 'syn' END, CASE WHEN udp > 0.21 * packets THEN 'udp' END, CASE WHEN small > 0.25 * packets THEN 'small' END]) AS metric FROM counters) s WHERE metric IS NOT NULL", "counters"))
-def rule_config_thresholds(spark, sf):
-    rules = [R.Rule("pps", "MEDIUM", c("packets") > 340), R.Rule("syn", "HIGH", c("syn") > 0.34 * c("tcp")), R.Rule("udp", "HIGH", c("udp") > 0.21 * c("packets")), R.Rule("small", "LOW", c("small") > 0.25 * c("packets"))]
-    return R.alerts(daily(spark, sf), rules).select("w", c("alert_type").alias("metric"))
-
-
 def attack_daily(spark, sf):
     return K.window_counters(packets(spark, sf).where(T.network_class(c("src_ip")) == "attack"), DAY, only=("packets", "udp", "syn", "icmp", "http"))
 
