@@ -128,6 +128,12 @@ def syn_ack_smoothed(syn: Column, ack: Column) -> Column:
     return F.when(ack > 10, syn / (ack + 1)).otherwise(0.0)
 
 
+def syn_ack_band(ratio: Column, limits: tuple[float, float, float] = (1.0, 3.0, 5.0)) -> Column:
+    """normal, elevated, suspicious or attack: how many of the limits a ratio is above."""
+    low, mid, high = limits
+    return F.when(ratio > high, "attack").when(ratio > mid, "suspicious").when(ratio > low, "elevated").otherwise("normal")
+
+
 #: Alert levels and their codes.
 ALERT_CODES = {"NONE": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -179,6 +185,6 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
 
 
-def extract_number(text: Column, pattern: str) -> Column:
-    """The first group of a pattern as a number, thousands marks dropped; null where it does not match."""
-    return F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
+def extract_number(text: Column, pattern: str, kind: str = "double") -> Column:
+    """The first group of a pattern as a number (thousands may be set off by commas); 0 without a match or a number."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast(kind), F.lit(0).cast(kind))

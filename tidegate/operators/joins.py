@@ -56,3 +56,19 @@ def asof_before(events: DataFrame, marks: DataFrame, key: str, ts: str = "ts", b
     before = ends.select(key, "bucket_", F.max("end_").over(earlier).alias("end_"))
     seen = both.withColumn("near_", F.last("mark_", ignorenulls=True).over(inside)).join(before, [key, "bucket_"])
     return seen.where("event_ = 1").withColumn("mark_ts", F.coalesce("near_", "end_")).drop("mark_", "event_", "bucket_", "near_", "end_")
+
+
+#: A key with more rows than this, and than 1 in MOST_HOT of all, is joined apart; there are at most MOST_HOT of them.
+HOT_ROWS, MOST_HOT = 10_000, 10_000
+
+
+def join_state(rows: DataFrame, state: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the row of ``state`` for their key; ``count`` is the state's number of rows with the key.
+
+    Keys with very many rows would fill one task. They are few, which bounds their table, so it is broadcast.
+    """
+    total = state.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, total // MOST_HOT)
+    hot = state.where(F.col(count) > bound)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(state.where(F.col(count) <= bound), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key).select(*cold.columns))

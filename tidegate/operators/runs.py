@@ -10,12 +10,20 @@ from tidegate.functions import traffic as T
 c = F.col
 
 
+def phase_of(phase_by: str = "attack_percent", start_s: float | None = None) -> Column:
+    """baseline or attack, by the share of attack packets, or by the time at which the attack started."""
+    if phase_by == "attack_percent":
+        return F.when(c("attack_percent") > 0, "attack").otherwise("baseline")
+    if phase_by != "start_time" or start_s is None:
+        raise ValueError("phase_by is attack_percent, or start_time with a start")
+    return F.when(c("interval_s") >= start_s, "attack").otherwise("baseline")
+
+
 def with_deltas(snapshots: DataFrame) -> DataFrame:
     """Snapshots with packets_d, bytes_d, attack_d of each interval (cumulative counters, clamped at 0) and phase."""
     o = Window.partitionBy("run_id").orderBy("idx")
     delta = lambda x: F.greatest(F.lit(0), c(x) - F.coalesce(F.lag(x).over(o), F.lit(0)))
-    phase = F.when(c("attack_percent") > 0, "attack").otherwise("baseline")
-    return snapshots.withColumns({"packets_d": delta("total_packets"), "bytes_d": delta("total_bytes"), "attack_d": delta("attack_packets"), "phase": phase})
+    return snapshots.withColumns({"packets_d": delta("total_packets"), "bytes_d": delta("total_bytes"), "attack_d": delta("attack_packets"), "phase": phase_of()})
 
 
 def confusion(snapshots: DataFrame, positive: tuple[str, ...] = ("MEDIUM", "HIGH", "CRITICAL")) -> DataFrame:

@@ -39,10 +39,13 @@ def fifth_power_sql(x: str) -> str:
 
 
 def cms_build(rows: DataFrame, key: str, depth: int = 4, width: int = 2048, weight: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells (row, bucket, cnt) of a count-min sketch, for each of ``keys`` if given. A null key is not counted."""
+    """Cells (row, bucket, cnt) of a count-min sketch, for each of ``keys`` if given. A null key is not counted.
+
+    Rows are spread to their cells and summed up in each task, so what is shuffled is at most a row for each cell and task, however many keys there are.
+    """
     cells = F.array(*[F.struct(F.lit(i).alias("row"), (row_hash(c(key), i) % width).alias("bucket")) for i in range(depth)])
-    counted = rows.where(c(key).isNotNull()).groupBy(*keys, key).agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("n"))
-    return counted.select(*keys, "n", F.explode(cells).alias("cell")).groupBy(*keys, c("cell.row").alias("row"), c("cell.bucket").alias("bucket")).agg(F.sum("n").alias("cnt"))
+    counted = rows.where(c(key).isNotNull()).select(*keys, (weight if weight is not None else F.lit(1)).cast("long").alias("n"), F.explode(cells).alias("cell"))
+    return counted.groupBy(*keys, c("cell.row").alias("row"), c("cell.bucket").alias("bucket")).agg(F.sum("n").alias("cnt"))
 
 
 def cms_query(sketch: DataFrame, wanted: DataFrame, key: str, depth: int = 4, width: int = 2048) -> DataFrame:

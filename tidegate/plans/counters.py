@@ -115,14 +115,25 @@ def agg_traffic_cube(spark, sf):
     return rows.cube("n", "p").agg(F.count("*").alias("packets"), F.sum("pkt_len").alias("bytes")).select(F.coalesce("n", F.lit("all")).alias("net_class"), F.coalesce("p", F.lit("all")).alias("protocol"), "packets", "bytes")
 
 
-@query("agg_capture_profile", sql("""SELECT 'method' AS dimension, split_part(payload, ' ', 1) AS value, count(*) AS n FROM http_requests GROUP BY 2 UNION ALL
+PROFILE = """SELECT 'layer' AS dimension, unnest(['ethernet', 'ipv4', CASE proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' END, CASE WHEN proto = 6 AND dst_port = 80 THEN 'http' WHEN proto = 17 AND (src_port = 53 OR dst_port = 53) THEN 'dns' WHEN proto = 17 AND (src_port = 123 OR dst_port = 123) THEN 'ntp' WHEN proto = 17 AND (src_port IN (443, 8443) OR dst_port IN (443, 8443)) THEN 'quic' WHEN proto = 6 AND dst_port = 22 THEN 'ssh' END]) AS value FROM packets"""
+
+
+@query("agg_capture_profile", sql(f"""SELECT dimension, value, count(*) AS n FROM ({PROFILE}) l WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT 'method' AS dimension, split_part(payload, ' ', 1) AS value, count(*) AS n FROM http_requests GROUP BY 2 UNION ALL
   SELECT 'path', left(regexp_extract(payload, '^[A-Z]+ ([^\\s]*)', 1), 255), count(*) FROM http_requests GROUP BY 2 UNION ALL
   SELECT 'host', regexp_extract(payload, 'Host: ([^\\r\\n]*)', 1), count(*) FROM http_requests GROUP BY 2 UNION ALL
   SELECT 'agent', CASE WHEN payload LIKE '%Chrome%' THEN 'Chrome' WHEN payload LIKE '%Firefox%' THEN 'Firefox' WHEN payload LIKE '%Safari%' THEN 'Safari' ELSE 'Other' END, count(*) FROM http_requests GROUP BY 2""", "packets", "http_requests"))
 def agg_capture_profile(spark, sf):
+    """Packets of each protocol layer; requests of each method, path, host and kind of agent.
+
+    Both are counted by all their dimensions at once, and only these counts are taken apart by dimension.
+    """
     p = c("payload")
-    rows = http_requests(spark, sf).select(F.explode(F.create_map(F.lit("method"), T.request_method(p), F.lit("path"), T.request_path(p), F.lit("host"), T.request_header(p, "Host"), F.lit("agent"), T.agent_family(T.request_header(p, "User-Agent")))).alias("dimension", "value"))
-    return rows.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    service = T.service_name(c("proto"), c("src_port"), c("dst_port"))
+    stack = packets(spark, sf).groupBy(T.protocol_name(c("proto")).alias("transport"), service.alias("service")).agg(F.count("*").alias("n"))
+    layers = stack.select("n", F.explode(F.array_compact(F.array(F.lit("ethernet"), F.lit("ipv4"), c("transport"), F.nullif("service", F.lit("other"))))).alias("value")).select(F.lit("layer").alias("dimension"), "value", "n")
+    told = {"method": T.request_method(p), "path": T.request_path(p), "host": T.request_header(p, "Host"), "agent": T.agent_family(T.request_header(p, "User-Agent"))}
+    rows = http_requests(spark, sf).groupBy(*[v.alias(k) for k, v in told.items()]).agg(F.count("*").alias("n"))
+    return rows.unpivot(["n"], list(told), "dimension", "value").select("dimension", "value", "n").unionByName(layers).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
 
 
 @query("agg_protocol_shares", sql("""SELECT CAST(floor(100.0::DOUBLE * count(*) FILTER (WHERE proto = 6 AND dst_port = 80) / count(*)) AS BIGINT) AS http_pct, CAST(floor(100.0::DOUBLE * count(*) FILTER (WHERE proto = 17 AND (src_port = 53 OR dst_port = 53)) / count(*)) AS BIGINT) AS dns_pct,
@@ -131,10 +142,26 @@ def agg_protocol_shares(spark, sf):
     return K.protocol_shares(packets(spark, sf))
 
 
-@query("agg_dataset_stats", sql("SELECT src_ip, CAST(count(*) AS BIGINT) AS packets, CAST(sum(pkt_len) AS BIGINT) AS bytes, count(DISTINCT w) AS sessions, round(count(*) / count(DISTINCT w)::DOUBLE, 6) AS packets_per_session FROM packets GROUP BY src_ip"))
+REQUESTS = "SELECT regexp_extract(payload, '^[A-Z]+ ([^\\s?]*)', 1) AS path, split_part(payload, ' ', 1) AS method FROM http_requests"
+TOTALS = "SELECT count(*) AS n, CAST(sum(pkt_len) AS BIGINT) AS b, count(DISTINCT concat(src_ip, ' ', w)) AS s FROM packets"
+
+
+@query("agg_dataset_stats", sql(f"""SELECT 'total' AS kind, 'packets' AS name, n, NULL::DOUBLE AS share FROM ({TOTALS}) t UNION ALL SELECT 'total', 'bytes', b, NULL FROM ({TOTALS}) t UNION ALL SELECT 'total', 'sessions', s, NULL FROM ({TOTALS}) t UNION ALL SELECT 'total', 'packets_per_session', NULL, round(n / s::DOUBLE, 6) FROM ({TOTALS}) t
+  UNION ALL SELECT 'method', method, count(*), round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM http_requests), 6) FROM ({REQUESTS}) r GROUP BY method
+  UNION ALL (SELECT 'path', path, count(*) AS k, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM http_requests), 6) FROM ({REQUESTS}) r GROUP BY path ORDER BY k DESC, path LIMIT 10)""", "packets", "http_requests"))
 def agg_dataset_stats(spark, sf):
-    daily = packets(spark, sf).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b")).transform(K.named)
-    return daily.groupBy("src_ip").agg(F.sum("n").alias("packets"), F.sum("b").alias("bytes"), F.count("*").alias("sessions")).withColumn("packets_per_session", F.round(c("packets") / c("sessions"), 6))
+    """Of a data set: packets, bytes, sessions (a source's day) and packets a session; the share of each method; the ten most frequent paths."""
+    daily = packets(spark, sf).groupBy("src_ip", K.window_start(DAY).alias("w")).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("b"))
+    one = daily.agg(F.sum("n").alias("packets"), F.sum("b").alias("bytes"), F.count("*").alias("sessions"))
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("long")
+    totals = one.unpivot([], ["packets", "bytes", "sessions"], "name", "n").select(F.lit("total").alias("kind"), "name", "n", none.alias("share"))
+    totals = totals.unionByName(one.select(F.lit("total").alias("kind"), F.lit("packets_per_session").alias("name"), nothing.alias("n"), F.round(c("packets") / c("sessions"), 6).alias("share")))
+    p = c("payload")
+    counts = http_requests(spark, sf).groupBy(T.request_method(p).alias("method"), T.request_path(p).alias("path")).agg(F.count("*").alias("n"))
+    whole = F.broadcast(counts.agg(F.sum("n").alias("all")))  # one row
+    by = lambda x: counts.groupBy(c(x).alias("name")).agg(F.sum("n").alias("n"))
+    share = lambda rows, kind: rows.crossJoin(whole).select(F.lit(kind).alias("kind"), "name", "n", F.round(100 * c("n") / c("all"), 6).alias("share"))
+    return totals.unionByName(share(by("method"), "method")).unionByName(share(by("path").orderBy(F.desc("n"), "name").limit(10), "path"))
 
 
 @query("agg_distinct_exact", sql("SELECT w, count(DISTINCT src_ip) AS src_ips, count(DISTINCT dst_port) AS dst_ports FROM packets GROUP BY w"))

@@ -24,7 +24,7 @@ def src_packets(spark, sf):
 def join_ip_state(spark, sf):
     p = packets(spark, sf)
     state = p.groupBy("src_ip").agg(F.count("*").alias("ip_packets"), F.sum("pkt_len").alias("ip_bytes"))
-    return p.join(state, "src_ip").select("pkt_id", "ip_packets", "ip_bytes")
+    return J.join_state(p, state, "src_ip", "ip_packets").select("pkt_id", "ip_packets", "ip_bytes")
 
 
 LIMITS = {("baseline", "udp"): 2, ("baseline", "syn"): 2, ("attack", "udp"): 1, ("attack", "syn"): 1}

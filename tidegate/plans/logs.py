@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import traffic as T
+from tidegate.operators import distributions as Q
+from tidegate.operators import runs as U
 from tidegate.plans.registry import query
 from tidegate.sources import detector_logs as D
 from tidegate.sources.storage import scratch
@@ -164,3 +166,18 @@ def snap_run_summary(spark, sf):
     rows = logged(spark, sf, "aggregate")
     return rows.groupBy(c("log").alias("run_id")).agg(F.sum("total_packets").alias("packets"), F.max("total_gbps").alias("peak_gbps"), F.round(F.avg("total_gbps"), 6).alias("mean_gbps"), F.max("attack_percent").alias("most_attack_pct"), F.count_if(c("alert_level") == "HIGH").alias("highs"), F.min(F.when(c("alert_level") != "NONE", c("time_s"))).alias("first_alert_s"),
                                                   *[F.max(x).alias(f"max_{x}") for x in EVENTS], F.round(F.avg("cycles_per_pkt"), 6).alias("mean_cycles"), F.min("cycles_per_pkt").alias("least_cycles"), F.round(100 * F.sum("rx_dropped") / F.sum("rx_packets_nic"), 6).alias("drop_pct"))
+
+
+LATENCIES = f"SELECT detection_latency_ms AS ms FROM ({fields_sql('aggregate')}) l WHERE detection_latency_ms > 0"
+
+
+@query("snap_latency_hist", f"SELECT CAST(CASE WHEN hi > lo THEN least(20, floor((ms - lo) / (hi - lo) * 20) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n, min(mean) AS mean_ms, true AS median_within FROM (SELECT ms, min(ms) OVER () AS lo, max(ms) OVER () AS hi, (SELECT round(avg(ms), 6) FROM ({LATENCIES}) m) AS mean FROM ({LATENCIES}) k) x GROUP BY 1")
+def snap_latency_hist(spark, sf):
+    """Detection latencies of logs in 20 bins of equal width, their mean, and whether the sketched median is within its bound."""
+    rows = logged(spark, sf, "aggregate").where(c("detection_latency_ms") > 0).select(c("detection_latency_ms").alias("ms"), "log")
+    bins = U.equal_bins(rows, "ms", 20)
+    hundredths = rows.select(F.lit("ms").alias("metric"), "log", F.round(c("ms") * 100).cast("long").alias("value"))
+    told = Q.quantiles(Q.united(Q.sketches(hundredths, "metric", "log"), "metric"), "metric", points=(0.5,)).drop("n")
+    median = Q.within_rank(told, hundredths.groupBy("metric", "value").agg(F.count("*").alias("times")), "metric")
+    one = rows.agg(F.round(F.avg("ms"), 6).alias("mean_ms")).crossJoin(median.select(c("within_bound").alias("median_within")))  # one row
+    return bins.crossJoin(F.broadcast(one))

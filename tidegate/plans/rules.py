@@ -87,11 +87,20 @@ for _name, _metric, _severity in (
     add_per_ip(_name, _metric, _severity)
 
 
-@query("rule_event_counts", sql("SELECT alert_type, count(*) AS events, count(DISTINCT src_ip) AS sources FROM (" + " UNION ALL ".join(f"SELECT '{m.upper()}' AS alert_type, src_ip FROM {PER_IP_SQL} WHERE {hit_sql(m)}" for m in METRICS) + ") e GROUP BY alert_type"))
+EVENTS_SQL = " UNION ALL ".join(f"SELECT '{m.upper()}' AS alert_type, src_ip, concat('{m} ', {m}) AS details, {m} AS value FROM {PER_IP_SQL} WHERE {hit_sql(m)}" for m in METRICS)
+
+
+@query("rule_event_counts", sql(f"SELECT alert_type, count(*) AS events, count(DISTINCT src_ip) AS sources, 'HIGH' AS severity, string_agg(DISTINCT details, ' | ' ORDER BY details) AS reasons FROM ({EVENTS_SQL}) e GROUP BY alert_type"))
 def rule_event_counts(spark, sf):
-    found = R.alerts(per_ip(spark, sf), R.per_source(PER_IP), keep=("w", "src_ip"))
+    """Events and sources of each rule, its greatest severity, and its different reasons in order.
+
+    A reason is a metric and its value in a window, so there are few of them, and they are counted before they are gathered.
+    """
+    found = R.alerts(per_ip(spark, sf), R.per_source(PER_IP), keep=("w", "src_ip")).withColumn("code", T.alert_code(c("severity")))
     by_source = found.groupBy("alert_type", "src_ip").agg(F.count("*").alias("n"))
-    return by_source.groupBy("alert_type").agg(F.sum("n").alias("events"), F.count("*").alias("sources"))
+    counts = by_source.groupBy("alert_type").agg(F.sum("n").alias("events"), F.count("*").alias("sources"))
+    reasons = found.groupBy("alert_type", "details").agg(F.max("code").alias("code")).groupBy("alert_type").agg(T.alert_level(F.max("code")).alias("severity"), F.array_join(F.sort_array(F.collect_list("details")), " | ").alias("reasons"))
+    return counts.join(reasons, "alert_type")
 
 
 HTTP = """(SELECT w, sum(n) AS packets, sum(CASE WHEN net = 'attack' THEN n ELSE 0 END) AS attack, count(DISTINCT src_ip) AS ips, max(path_n) AS top_n, sum(CASE WHEN method = 'GET' THEN n ELSE 0 END) AS gets, max(ip_n) AS top_ip, sum(CASE WHEN agent = '' OR agent LIKE 'curl%' THEN n ELSE 0 END) AS odd_agents FROM (

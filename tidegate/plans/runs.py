@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import traffic as T
 from tidegate.operators import blocks as B
 from tidegate.operators import counters as K
+from tidegate.operators import distributions as D
 from tidegate.operators import runs as U
 from tidegate.operators import series as S
 from tidegate.plans.registry import query
@@ -72,9 +73,13 @@ def run_proto_totals(spark, sf):
     return K.window_counters(packets(spark, sf), "1 day", only=names).agg(*[F.sum(x).alias(x) for x in names]).unpivot([], list(names), "name", "n")
 
 
-@query("snap_phase_split", sql(f"SELECT run_id, idx, phase FROM {DELTA}", *SNAP))
+#: The second at which the attack of the snapshots starts.
+ATTACK_START_S = 55
+
+
+@query("snap_phase_split", sql(f"SELECT run_id, idx, phase, CASE WHEN interval_s >= {ATTACK_START_S} THEN 'attack' ELSE 'baseline' END AS phase_by_time FROM {DELTA}", *SNAP))
 def snap_phase_split(spark, sf):
-    return U.with_deltas(snapshots(spark, sf)).select("run_id", "idx", "phase")
+    return U.with_deltas(snapshots(spark, sf)).select("run_id", "idx", "phase", U.phase_of("start_time", ATTACK_START_S).alias("phase_by_time"))
 
 
 @query("snap_phase_metrics", sql(f"SELECT run_id, phase, count(*) AS intervals, CAST(sum(packets_d) AS BIGINT) AS packets, round(avg(packets_d) / 5, 6) AS mean_pps, round(sum(bytes_d) * 8 / 1e9 / (count(*) * 5), 9) AS gbps, round(sum(bytes_d) * 8 / 1e9 / (count(*) * 5) / 25 * 100, 9) AS util FROM {DELTA} GROUP BY run_id, phase", *SNAP))
@@ -162,18 +167,30 @@ def snap_link_util(spark, sf):
     return rows.groupBy("run_id").agg(F.round(F.avg("u"), 9).alias("avg_util"), F.round(F.max("u"), 9).alias("max_util"), F.round(F.min("u"), 9).alias("min_util"), F.round(100 - F.max("u"), 9).alias("headroom"))
 
 
-@query("snap_latency_hist", sql(f"SELECT CAST(CASE WHEN hi > lo THEN least(20, floor((packets_d - lo) / (hi - lo) * 20) + 1) ELSE 1 END AS INT) AS bin, count(*) AS n FROM (SELECT packets_d, CAST(min(packets_d) OVER () AS DOUBLE) AS lo, CAST(max(packets_d) OVER () AS DOUBLE) AS hi FROM {DELTA}) x GROUP BY 1", *SNAP))
-def snap_latency_hist(spark, sf):
-    return U.equal_bins(U.with_deltas(snapshots(spark, sf)), "packets_d", 20)
+#: Widths of the bins of each metric.
+WIDTHS = {"pkt_len": 100, "ttl": 4, "src_port": 1000, "dst_port": 1000, "gap_us": 60_000_000}
+LONG = ("SELECT 'pkt_len' AS metric, CAST(pkt_len AS BIGINT) AS value FROM packets UNION ALL SELECT 'ttl', CAST(64 - src_ip % 13 AS BIGINT) FROM packets UNION ALL SELECT 'src_port', CAST(src_port AS BIGINT) FROM packets UNION ALL SELECT 'dst_port', CAST(dst_port AS BIGINT) FROM packets"
+        " UNION ALL SELECT 'gap_us', epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, pkt_id)) FROM packets")
 
 
-@query("dist_extract", sql("SELECT 'pkt_len' AS metric, CAST(pkt_len // 100 AS BIGINT) AS bin, count(*) AS n FROM packets GROUP BY 2 UNION ALL SELECT 'src_port', CAST(src_port // 1000 AS BIGINT), count(*) FROM packets WHERE src_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dst_port', CAST(dst_port // 1000 AS BIGINT), count(*) FROM packets WHERE dst_port IS NOT NULL GROUP BY 2 UNION ALL SELECT 'gap_hours', CAST(gap // 3600000000 AS BIGINT), count(*) FROM (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, pkt_id)) AS gap FROM packets) g WHERE gap IS NOT NULL GROUP BY 2"))
+@query("dist_extract", sql("SELECT metric, bin, n, CAST(sum(n) OVER (PARTITION BY metric) AS BIGINT) AS total, true AS within_bound FROM (SELECT metric, CAST(value // CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WIDTHS.items()) + f" END AS BIGINT) AS bin, count(*) AS n FROM ({LONG}) l WHERE value IS NOT NULL GROUP BY 1, 2) b"))
 def dist_extract(spark, sf):
-    widths = {"pkt_len": 100, "src_port": 1000, "dst_port": 1000}
-    rows = packets(spark, sf).select(*[F.floor(c(x) / n).cast("long").alias(x) for x, n in widths.items()]).unpivot([], list(widths), "metric", "bin")
-    gaps = S.split_lag(packets(spark, sf).withColumn("us", F.unix_micros(c("ts").cast("timestamp"))), "src_ip", ("ts", "pkt_id"), "us", F.date_trunc("day", "ts"), "before")
-    rows = rows.union(gaps.select(F.lit("gap_hours"), F.floor((c("us") - c("before")) / 3600000000).cast("long")))
-    return rows.where("bin IS NOT NULL").groupBy("metric", "bin").agg(F.count("*").alias("n"))
+    """Histograms of packet size, time to live, ports and the time since the packet before, as read from frames; with
+    each whether the quantiles of its sketches, made by day and united, are within their bound of the exact ranks."""
+    from tidegate.sources import frames as N
+
+    read = N.decode_frames(N.pack_frames(packets(spark, sf))).withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
+    day = F.floor(c("us") / 86_400_000_000)
+    # Packets of one time are told apart by their number.
+    order = read.withColumn("at", F.struct("us", "pkt_id"))
+    seen = B.lagged(B.numbered(order, "at", day), "us", "before").select(F.floor(c("us") / 86_400_000_000).alias("day"), c("pkt_len").cast("long").alias("pkt_len"), c("ttl").cast("long").alias("ttl"), c("src_port").cast("long").alias("src_port"), c("dst_port").cast("long").alias("dst_port"), (c("us") - c("before")).alias("gap_us"))
+    long = seen.unpivot(["day"], list(WIDTHS), "metric", "value").where("value IS NOT NULL")
+    told = D.quantiles(D.united(D.sketches(long, "metric", "day"), "metric"), "metric").drop("n")
+    counts = long.groupBy("metric", "value").agg(F.count("*").alias("times"))
+    width = F.element_at(F.create_map(*[F.lit(x) for kv in WIDTHS.items() for x in kv]), c("metric"))
+    bins = counts.groupBy("metric", F.floor(c("value") / width).alias("bin")).agg(F.sum("times").alias("n"))
+    whole = counts.groupBy("metric").agg(F.sum("times").alias("total")).join(D.within_rank(told, counts, "metric"), "metric")
+    return bins.join(F.broadcast(whole), "metric").select("metric", "bin", "n", "total", "within_bound")  # a row for each metric
 
 
 @query("replay_report", sql("""SELECT net AS run_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE n >= 80) AS BIGINT) AS ok, CAST(count(*) FILTER (WHERE n < 80) AS BIGINT) AS failed, CAST(sum(d) AS BIGINT) AS duration_sec, round(avg(round(b * 8 / 1e6 / greatest(d, 1)::DOUBLE, 9)), 9) AS mean_mbps

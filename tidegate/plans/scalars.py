@@ -99,16 +99,27 @@ def fn_strip_ansi(spark, sf):
     return packets(spark, sf).select("pkt_id", T.strip_ansi(coloured).alias("text"))
 
 
-@query("fn_extract_number", sql("SELECT pkt_id, CAST(src_ip AS DOUBLE) AS value FROM packets"))
+@query("fn_extract_number", sql("SELECT pkt_id, CASE WHEN pkt_id % 4 = 3 THEN 0 ELSE CAST(src_ip AS DOUBLE) END AS value, CASE WHEN pkt_id % 4 = 3 THEN 0 ELSE src_ip END AS whole FROM packets"))
 def fn_extract_number(spark, sf):
-    line = F.concat(F.lit("Total: "), F.format_number("src_ip", 0), F.lit(" pkts"))
-    return packets(spark, sf).select("pkt_id", T.extract_number(line, r"Total:\s+([0-9,.]+)").alias("value"))
+    """The first group as a number; 0 where the text has no match or no number there."""
+    line = F.when(c("pkt_id") % 4 == 3, "Total: none pkts").otherwise(F.concat(F.lit("Total: "), F.format_number("src_ip", 0), F.lit(" pkts")))
+    return packets(spark, sf).select("pkt_id", T.extract_number(line, r"Total:\s+([0-9,.]+)").alias("value"), T.extract_number(line, r"Total:\s+([0-9,.]+)", "long").alias("whole"))
 
 
-@query("fn_syn_ack_smoothed", sql("SELECT w, round(CASE WHEN ack > 10 THEN syn / (ack + 1)::DOUBLE ELSE 0.0 END, 6) AS smoothed, CASE WHEN ack > 10 AND syn / (ack + 1)::DOUBLE > 0.55 THEN 'high' WHEN ack > 10 AND syn / (ack + 1)::DOUBLE > 0.45 THEN 'medium' ELSE 'low' END AS band FROM counters", "counters"))
+#: Limits of the bands of the ratio of SYN to ACK: the documented ones, and such as the fixtures reach.
+SYN_ACK_BANDS, SYN_ACK_SCALED = (1.0, 3.0, 5.0), (0.4, 0.5, 0.6)
+SMOOTHED = "CASE WHEN ack > 10 THEN syn / (ack + 1)::DOUBLE ELSE 0.0 END"
+
+
+def syn_ack_sql(limits):
+    low, mid, high = limits
+    return f"CASE WHEN {SMOOTHED} > {high} THEN 'attack' WHEN {SMOOTHED} > {mid} THEN 'suspicious' WHEN {SMOOTHED} > {low} THEN 'elevated' ELSE 'normal' END"
+
+
+@query("fn_syn_ack_smoothed", sql(f"SELECT w, round({SMOOTHED}, 6) AS smoothed, {syn_ack_sql(SYN_ACK_BANDS)} AS band, {syn_ack_sql(SYN_ACK_SCALED)} AS scaled_band FROM counters", "counters"))
 def fn_syn_ack_smoothed(spark, sf):
     rows = K.window_counters(packets(spark, sf), "1 day", only=("syn", "ack")).withColumn("v", T.syn_ack_smoothed(c("syn"), c("ack")))
-    return rows.select("w", F.round("v", 6).alias("smoothed"), T.band(c("v"), 0.45, 0.55).alias("band"))
+    return rows.select("w", F.round("v", 6).alias("smoothed"), T.syn_ack_band(c("v"), SYN_ACK_BANDS).alias("band"), T.syn_ack_band(c("v"), SYN_ACK_SCALED).alias("scaled_band"))
 
 
 @query("fn_band", sql("SELECT run_id, idx, CASE WHEN attack_percent > 15 THEN 'high' WHEN attack_percent > 0 THEN 'medium' ELSE 'low' END AS band FROM snapshots", "packets", "snapshots"))

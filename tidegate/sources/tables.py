@@ -41,7 +41,9 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     agent = lambda text: F.lit(f"User-Agent: {text}\r\n")
     six = F.col("pkt_id") % 6
     agents = F.when(six == 0, "").when(six == 1, agent("curl/7.68.0")).when(six == 2, agent("Mozilla/5.0 Firefox/95.0")).when(six == 3, agent("Mozilla/5.0 Safari/605.1")).otherwise(agent("Mozilla/5.0 Chrome/96.0 Safari/537.36"))
-    rows = p.where((F.col("proto") == T.TCP) & (F.col("dst_port") == 80)).join(g, F.col("page_id") == F.col("pkt_id") % 50)
+    # Pages by number, so that the packets go round all of them: as many keys as pages, none of them hot.
+    number = F.broadcast(g.agg(F.count("*").alias("pages")))  # one row
+    rows = p.where((F.col("proto") == T.TCP) & (F.col("dst_port") == 80)).crossJoin(number).join(g, F.col("page_id") == F.col("pkt_id") % F.col("pages"))
     method = F.when(F.col("pkt_id") % 5 == 0, "POST").otherwise("GET")
     text = F.concat(method, F.lit(" "), F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1), F.lit(" HTTP/1.1\r\nHost: "), F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("\r\n"), agents, F.lit("\r\n"))
     return rows.select("pkt_id", "ts", "src_ip", "pkt_len", text.alias("payload"))
@@ -82,7 +84,7 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
   concat(CASE WHEN p.pkt_id % 5 = 0 THEN 'POST' ELSE 'GET' END, ' ', regexp_extract(g.url, '^https?://[^/]+(/[^?#]*)', 1), ' HTTP/1.1', chr(13), chr(10), 'Host: ', regexp_extract(g.url, '^https?://([^/]+)', 1), chr(13), chr(10),
     CASE p.pkt_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('User-Agent: curl/7.68.0', chr(13), chr(10)) WHEN 2 THEN concat('User-Agent: Mozilla/5.0 Firefox/95.0', chr(13), chr(10))
       WHEN 3 THEN concat('User-Agent: Mozilla/5.0 Safari/605.1', chr(13), chr(10)) ELSE concat('User-Agent: Mozilla/5.0 Chrome/96.0 Safari/537.36', chr(13), chr(10)) END, chr(13), chr(10)) AS payload
-FROM packets p JOIN pages g ON g.page_id = p.pkt_id % 50 WHERE p.proto = 6 AND p.dst_port = 80""",
+FROM packets p JOIN pages g ON g.page_id = p.pkt_id % (SELECT count(*) FROM pages) WHERE p.proto = 6 AND p.dst_port = 80""",
     "snapshots": """SELECT 'r1' AS run_id, idx, idx * 5 AS interval_s, total_packets, baseline_packets, attack_packets, total_bytes,
   round(CAST(100 * attack_packets AS DOUBLE) / total_packets, 1) AS attack_percent,
   CASE WHEN w_att * 100 > w_tot * 26 THEN 'HIGH' WHEN w_att * 100 > w_tot * 22 THEN 'MEDIUM' WHEN w_syn * 100 > w_tcp * 36 THEN 'LOW' ELSE 'NONE' END AS alert_level
