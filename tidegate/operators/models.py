@@ -52,9 +52,9 @@ def split(rows: DataFrame, key: str, train: int = 70, validate: int = 15) -> Dat
     return rows.withColumn("split", F.when(part < train, "train").when(part < train + validate, "validate").otherwise("test"))
 
 
-def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], trees: int = 100, depth: int = 6, kind: str = "forest"):
-    """A fitted pipeline: label index (alphabetical), assembled features, and a forest, a single tree, or boosted trees
-    (``trees`` rounds for each class against the others)."""
+def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], trees: int = 100, depth: int = 6, kind: str = "forest", labels: DataFrame | None = None):
+    """A fitted pipeline: label index (alphabetical, of the rows or of ``labels``), assembled features, and a forest, a
+    single tree, or boosted trees (``trees`` rounds for each class against the others)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -66,10 +66,8 @@ def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], tre
         learner = DecisionTreeClassifier(maxDepth=depth, seed=7, **columns)
     else:
         learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, **columns)
-    return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"), VectorAssembler(inputCols=list(features), outputCol="features"),
-        learner,
-    ]).fit(rows)
+    index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows if labels is None else labels)
+    return Pipeline(stages=[index, VectorAssembler(inputCols=list(features), outputCol="features"), learner]).fit(rows)
 
 
 def save_model(model, path: str, spark) -> None:
@@ -87,13 +85,21 @@ def load_model(path: str, spark):
 
 
 def score_multiclass(model, rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` with predicted (a label's name), confidence and probabilities (by label index); the first of equal classes wins."""
+    """``rows`` with predicted (a label's name), confidence and probabilities (by label index); the first of equal classes wins.
+
+    Boosted trees of one class against the others give a margin for each; their probabilities are made to sum to one.
+    """
     from pyspark.ml.functions import vector_to_array
 
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    p = vector_to_array("probability")
+    seen = model.transform(rows)
+    if "probability" in seen.columns:
+        p = vector_to_array("probability")
+    else:
+        each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+        p = F.transform(each, lambda x: x / F.aggregate(each, F.lit(0.0), lambda a, y: a + y))
     best = F.array_max("p")
-    return model.transform(rows).withColumn("p", p).select(*rows.columns, F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("predicted"), best.alias("confidence"), c("p").alias("probabilities"))
+    return seen.withColumn("p", p).select(*rows.columns, F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("predicted"), best.alias("confidence"), c("p").alias("probabilities"))
 
 
 def gated(predicted: Column, confidence: Column, benign: str = "benign", least: float = 0.75) -> Column:
