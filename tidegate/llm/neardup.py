@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import textarrays as ta
-from tidegate.llm.base import lookup, materialise, small_batches, table
+from tidegate.llm.base import discard, lookup, materialise, small_batches, table
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 80, 2
@@ -302,7 +302,7 @@ def deal_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (written ids a, b) whose texts are similar enough, with their similarity."""
+    """The pairs (written ids a, b) whose texts are similar enough, with their similarity; written."""
     both = dealt = deal_pairs(pairs)
     rows = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, docs, key, text)
     for end in ("a", "b"):
@@ -318,7 +318,9 @@ def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text:
                 keep = pa.array(sim > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim[sim > 0])], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double"), "neardup-links")
+    discard(dealt)
+    return links
 
 
 def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> DataFrame:
@@ -336,7 +338,8 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
         large = materialise(large, f"{name}-step")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = lookup(large, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        edges = materialise(small, name)
+        old, edges = edges, materialise(small, name)
+        discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -463,12 +466,11 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
     return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def settled_classes(texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+def settled_classes(shared: DataFrame, members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
     """``classes`` of the links of all pairs that share a bucket: every such pair is compared, or joined by links already, or too unlike to be similar."""
-    shared = shared_buckets(texts)
-    members = large_members(shared, texts)
     done = materialise(candidate_pairs(shared, members, least), "neardup-pairs")
-    links = materialise(verify(done, texts, docs, key, text, least), "neardup-links")
+    discard(shared)
+    links = verify(done, texts, docs, key, text, least)
     named = classes(links, "neardup-classes")
     for step in ("hubs", "segments"):
         left = unsettled(members, named)
@@ -476,7 +478,7 @@ def settled_classes(texts: DataFrame, docs: DataFrame, key: str, text: str, leas
             break
         found = hub_pairs(left, links, least) if step == "hubs" else segment_pairs(left.select("id", "class").distinct(), texts, docs, key, text, least)
         more = materialise(found.join(done, ["a", "b"], "left_anti"), "neardup-pairs")
-        new = None if more.isEmpty() else materialise(verify(more, texts, docs, key, text, least), "neardup-links")
+        new = None if more.isEmpty() else verify(more, texts, docs, key, text, least)
         if new is not None and not new.isEmpty():
             named = classes(named.select(F.col("id").alias("a"), F.col("class").alias("b")).union(new.select("a", "b")), "neardup-classes")
         done = done.union(more)
@@ -491,17 +493,25 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     # The order in which one of several rows is taken: those with a key first.
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")
     grouped = told.groupBy("same").agg(F.first("words").alias("words"), F.first("buckets").alias("buckets"), F.min(rank).alias("rep"), F.count("*").alias("n"))
-    texts = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")
-    named = settled_classes(texts, docs, key, text, least)
+    sketched = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")
+    # From here on rows and texts are kept without their sketches, which are the largest tables.
+    rows = materialise(seen.select("key", "mark", "same"), "neardup-rows")
+    discard(seen)
+    told = rows.where(F.col("same").isNotNull())
+    shared = shared_buckets(sketched)
+    members = large_members(shared, sketched)
+    texts = materialise(sketched.drop("buckets"), "neardup-ids")
+    discard(sketched)
+    named = settled_classes(shared, members, texts, docs, key, text, least)
     placed = texts.select("same", "n", "rep", "id").join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     placed = materialise(placed, "neardup-placed")
     best = placed.groupBy("class").agg(F.min("rep").alias("best"), F.count("*").alias("n"))
     placed = lookup(placed.select("same", F.col("n").alias("rows"), "rep", "class"), best, "class", placed.count())
     placed = materialise(placed.select("same", F.col("rows").alias("n"), "class", "best", "rep"), "neardup-named")
-    out = lookup(told.select("key", "mark", "same"), placed, "same", seen.count())
+    out = lookup(told.select("key", "mark", "same"), placed, "same", rows.count())
     stays = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
     out = out.select("key", "mark", "class", F.col("best.key").alias("class_id"), F.col("rep.key").alias("same_as"), stays.alias("stays"))
-    lone = seen.where(F.col("same").isNull()).select("key", "mark", F.lit(None).cast("long").alias("class"), F.col("key").alias("class_id"), F.col("key").alias("same_as"), F.lit(True).alias("stays"))
+    lone = rows.where(F.col("same").isNull()).select("key", "mark", F.lit(None).cast("long").alias("class"), F.col("key").alias("class_id"), F.col("key").alias("same_as"), F.lit(True).alias("stays"))
     return out.union(lone)
 
 
