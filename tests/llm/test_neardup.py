@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_operators import DOC, EDGE, SF, WORD
@@ -114,9 +115,10 @@ def test_every_bucket_is_settled(spark):
     assert len(alike) > 200 and got == whole  # the common passage puts nearly all into shared buckets, so all links are found
 
 
-def test_key_pieces_meet_every_similar_text():
-    rng = random.Random(9)
-    common = np.zeros(2 * neardup.SLOTS, np.int64)
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_key_pieces_meet_every_similar_text(most):
+    rng = random.Random(9 + most)
+    common = np.random.default_rng(most).integers(0, most + 1, 2 * neardup.SLOTS)
     for _ in range(300):
         a = [rng.randint(0, 60) for _ in range(rng.randint(1, 60))]
         b = list(a)
@@ -194,3 +196,26 @@ def test_classes(spark):
     star = spark.range(1, 3001).selectExpr("5000L AS a", "id AS b").union(spark.createDataFrame([(3000, 7001), (7001, 7002)], "a long, b long"))
     got = {r["id"]: r["class"] for r in neardup.classes(star).collect()}
     assert set(got.values()) == {1} and len(got) == 3002
+
+
+def test_bags_leave_no_similar_pair_out(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [base]
+    for n in (3, 12, 23, 24, 25, 40, 90):
+        for _ in range(6):
+            t = base[:]
+            for _ in range(n):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 2)] = [rng.choice(words)] * rng.randint(0, 2)
+            texts.append(t)
+    texts += [["same"] * 600, ["same"] * 560, ["same"] * 400, []]
+    rows = neardup.word_rows(pa.array([" ".join(t) for t in texts]))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    similar = {(i, j) for i, j in pairs if neardup.similarity(rows[i], rows[j]) > 0}
+    for most in (neardup.MOST_WORDS, 0):
+        monkeypatch.setattr(neardup, "MOST_WORDS", most)
+        got = {(r["a"], r["b"]) for r in neardup.near_bags(spark.createDataFrame(pairs, "a long, b long"), df).collect()}
+        assert similar <= got and (len(got) < 0.9 * len(pairs) if most else len(got) == len(pairs))

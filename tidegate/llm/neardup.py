@@ -44,6 +44,8 @@ LEAST_HASHES = 16
 SLOTS = 1 << 16
 #: Key pieces that a similar text must hold; more spare comparisons and cost rows.
 MEET = 2
+#: Words of texts, as four-byte hashes, that may be broadcast to compare bags of words (16 MB), by their counted number.
+MOST_WORDS = 4_000_000
 #: Pairs that meet one copy of a text in a task.
 PAIRS_A_TEXT = 256
 
@@ -385,22 +387,33 @@ def key_pieces(h: np.ndarray, common: np.ndarray, least: float = SIMILARITY) ->
     """Codes and places of pieces of a text, and how many of them any similar, not longer text must hold.
 
     A row of n words is at most d = (1 - least) * n edits away. Each edit spoils one of its disjoint pieces at most,
-    so of any d + m of them m stand in the other text unchanged, at most d places off. The rarest are taken (m is MEET
-    where there are as many), of single words or of pairs of words, whichever promises fewer meetings.
+    so of any d + m of them m stand in the other text unchanged, at most d places off. m is MEET where there are as
+    many. The text is taken two words at a time; of such a pair one piece is the pair or its rarer word, two are both
+    words; the d + m pieces of fewest meetings are taken.
     """
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 1
     most = int((1 - least) * len(h) + 1e-9)
-    best: tuple | None = None
-    for size in (1, 2):
-        code = pieces(h, size)[::size]
-        if len(code) <= most:
-            continue
-        need = min(len(code), most + MEET)
-        seen = common[slots(code)].min(0)
-        rare = np.argpartition(seen, need - 1)[:need] if need < len(code) else np.arange(len(code))
-        cost = int(common[slots(np.unique(code[rare]))].min(0).sum())
-        if best is None or cost < best[0]:
-            best = (cost, code[rare], rare * size, need - most)
-    return best[1:] if best else (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+    need = min(len(h), most + MEET)
+    met = lambda code: common[slots(code)].min(0).astype(np.float64)
+    word, pair = pieces(h, 1), pieces(h, 2)[::2]
+    single = met(word)
+    if len(h) % 2:
+        single = np.append(single, np.inf)
+    left, right = single[::2], single[1::2]
+    both = np.full(len(left), np.inf)
+    both[: len(pair)] = met(pair) if len(pair) else both[:0]
+    first = np.minimum(both, np.minimum(left, right))
+    second = left + right - first  # what a second piece adds; never less than the first
+    cost = np.concatenate((first, second))
+    order = np.argsort(cost, kind="stable")[:need]  # in a tie the first piece of a pair of words comes before its second
+    one, two = np.zeros(len(left), bool), np.zeros(len(left), bool)
+    one[order[order < len(left)]] = True
+    two[order[order >= len(left)] - len(left)] = True
+    as_pair = one & ~two & (both <= np.minimum(left, right))
+    alone = one & ~two & ~as_pair
+    places = np.concatenate((np.flatnonzero(two) * 2, np.flatnonzero(two) * 2 + 1, np.flatnonzero(alone) * 2 + (right < left)[alone]))
+    return np.concatenate((word[places], pair[as_pair[: len(pair)]])), np.concatenate((places, np.flatnonzero(as_pair) * 2)), need - most
 
 
 def all_pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -463,7 +476,40 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
     near = (F.col("x.first") - F.col("y.last") <= off) & (F.col("y.first") - F.col("x.last") <= off)
     met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.words") <= F.col("x.words")) & (F.col("x.words") - F.col("y.words") <= off) & near)
     enough = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.sum("x.times").alias("met"), F.first("x.meet").alias("meet")).where("met >= meet")
-    return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialise(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-met")
+    return near_bags(pairs, whole, least)
+
+
+def near_bags(pairs: DataFrame, whole: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that have enough words in common for the similarity; no similar pair is left out. ``whole``: id and text.
+
+    The words of few texts are broadcast as sorted hashes, so that pairs which only share a common passage do not meet
+    as texts. Where there are more, all pairs stay, and ``verify`` counts the words when it has the texts.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                b = batch.slice(lo, 32)
+                rows = word_rows(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in rows], pa.int32()), pa.array([np.sort((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in rows], pa.binary())], ["id", "words", "bag"])
+
+    marks = materialise(whole.select("id", "text").mapInArrow(mark, "id long, words int, bag binary"), "neardup-bags")
+    if (marks.agg(F.sum("words")).first()[0] or 0) > MOST_WORDS:
+        return pairs
+    told = marks.toPandas()
+    held = pairs.sparkSession.sparkContext.broadcast(dict(zip(told["id"].tolist(), told["bag"].tolist(), strict=True)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag = lambda i: np.frombuffer(held.value[i], np.uint32)
+        for b in batches:
+            keep = []
+            for x, y in zip(*(map(bag, b.column(i).to_pylist()) for i in (0, 1)), strict=True):
+                long = max(len(x), len(y))
+                keep.append(long - common_words(x, y) <= int((1 - least) * long + 1e-9))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(near, "a long, b long")
 
 
 def settled_classes(shared: DataFrame, members: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
