@@ -54,9 +54,9 @@ def split(rows: DataFrame, key: str, train: int = 70, validate: int = 15) -> Dat
 
 def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], trees: int = 100, depth: int = 6, kind: str = "forest", labels: DataFrame | None = None):
     """A fitted pipeline: label index (alphabetical, of the rows or of ``labels``), assembled features, and a forest, a
-    single tree, or boosted trees (``trees`` rounds for each class against the others)."""
+    single tree, boosted trees (``trees`` rounds for each class against the others), or naive Bayes over counts."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     columns = {"labelCol": "label_index", "featuresCol": "features"}
@@ -64,6 +64,8 @@ def train_multiclass(rows: DataFrame, label: str, features: tuple[str, ...], tre
         learner = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=7), **columns)
     elif kind == "tree":
         learner = DecisionTreeClassifier(maxDepth=depth, seed=7, **columns)
+    elif kind == "bayes":
+        learner = NaiveBayes(modelType="multinomial", smoothing=1.0, **columns)
     else:
         learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, **columns)
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows if labels is None else labels)

@@ -161,28 +161,56 @@ def ml_evaluate(spark, sf):
     return real.join(said, "label", "left").crossJoin(whole).select("label", T.ratio(c("tp"), F.coalesce("np", F.lit(0))).alias("precision"), T.ratio(c("tp"), c("nl")).alias("recall"), "accuracy")
 
 
+#: Features of a packet for the gate: its network, and its service port among those of the documented services. Kinds of
+#: attack share ports, so the label does not follow from them.
+GATE_PORTS = (22, 53, 80, 123, 161, 443, 8080, 8443)
+#: Laplace-smoothed shares of the training packets, as naive Bayes counts them: two of 11 indicators stand in each row.
+GATE_SQL = f""", seen AS (SELECT p.pkt_id, p.w, l.label, p.net = 'attack' AS hostile, CASE WHEN p.dst_port IN {GATE_PORTS} THEN p.dst_port ELSE 0 END AS port, (p.pkt_id * 7919 + 13) % 100 < 70 AS learned FROM packets p JOIN {LABELLED} ON l.pkt_id = p.pkt_id),
+kinds AS (SELECT label, count(*) AS n FROM seen WHERE learned GROUP BY label), whole AS (SELECT sum(n) AS n, count(*) AS kinds FROM kinds),
+nets AS (SELECT label, hostile, count(*) AS n FROM seen WHERE learned GROUP BY ALL), ports AS (SELECT label, port, count(*) AS n FROM seen WHERE learned GROUP BY ALL),
+weights AS (SELECT c.hostile, c.port, k.label, (k.n + 1.0::DOUBLE) / (whole.n + whole.kinds) * (coalesce(x.n, 0) + 1) / (2 * k.n + 11) * (coalesce(y.n, 0) + 1) / (2 * k.n + 11) AS p
+  FROM (SELECT DISTINCT hostile, port FROM seen) c CROSS JOIN kinds k CROSS JOIN whole LEFT JOIN nets x ON x.label = k.label AND x.hostile = c.hostile LEFT JOIN ports y ON y.label = k.label AND y.port = c.port),
+told AS (SELECT hostile, port, label AS predicted, p / sum(p) OVER (PARTITION BY hostile, port) AS confidence, row_number() OVER (PARTITION BY hostile, port ORDER BY p DESC, label) AS place FROM weights),
+gate AS (SELECT s.pkt_id, s.w, t.predicted, t.confidence, t.predicted <> 'benign' AND t.confidence >= 0.75 AS attack FROM seen s JOIN told t ON t.hostile = s.hostile AND t.port = s.port AND t.place = 1)
+"""
+
+
+def gate_sql(body: str, *names: str) -> str:
+    return sql("", *names).rstrip() + GATE_SQL + body
+
+
 def predictions(spark, sf):
+    """All packets (pkt_id, w) with the class and confidence that naive Bayes gives them, which learned from the training
+    packets, and whether they pass the gate."""
+    rows = M.split(labelled(spark, sf), "pkt_id")
+    net, port = T.network_class(c("src_ip")), c("dst_port")
+    known = F.coalesce(port.isin(*GATE_PORTS), F.lit(False))
+    told = {"hostile": net == "attack", "peaceful": net != "attack", **{f"port_{x}": known & (port == x) for x in GATE_PORTS}, "port_none": ~known}
+    rows = rows.withColumns({name: F.coalesce(cond.cast("int"), F.lit(0)) for name, cond in told.items()})
+    model = M.train_multiclass(rows.where("split = 'train'"), "label", tuple(told), kind="bayes")
+    model.stages[0].setHandleInvalid("keep")  # no packet goes for a label that no training packet has
+    day = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd HH:mm:ss")
+    return M.score_multiclass(model, rows.select("pkt_id", day.alias("w"), "label", *told), "label").withColumn("attack", M.gated(c("predicted"), c("confidence")))
+
+
+@query("ml_confidence_gate", gate_sql("SELECT pkt_id, predicted, round(confidence, 6) AS confidence, attack FROM gate"))
+def ml_confidence_gate(spark, sf):
+    """Every packet with its class, and whether it is an attack of at least the confidence."""
+    return predictions(spark, sf).select("pkt_id", "predicted", F.round("confidence", 6).alias("confidence"), "attack")
+
+
+def row_predictions(spark, sf):
     """All rows of the model with the class and confidence that a tree gives them, which learned from a part of them."""
     rows = model_rows(spark, sf)
     model = M.train_multiclass(rows.where("split = 'train'"), "label", M.FEATURES, kind="tree", labels=rows)
     return M.score_multiclass(model, rows, "label").withColumn("attack", M.gated(c("predicted"), c("confidence")))
 
 
-@query("ml_confidence_gate", rows_sql("SELECT net, count(*) AS n, true AS passed_are_sure, true AS benign_never, net <> 'attack' AS none_passed FROM rows GROUP BY net"))
-def ml_confidence_gate(spark, sf):
-    """What passes is an attack of at least the confidence; of the rows of the baseline network, which the model tells
-    by its own counter, none passes."""
-    seen = predictions(spark, sf)
-    sure = ~c("attack") | ((c("confidence") >= 0.75) & (c("predicted") != "benign"))
-    never = (c("predicted") != "benign") | ~c("attack")
-    return seen.groupBy("net").agg(F.count("*").alias("n"), F.bool_and(sure).alias("passed_are_sure"), F.bool_and(never).alias("benign_never"), (T.count_where(c("attack")) == 0).alias("none_passed"))
-
-
 @query("ml_hybrid_decision", rows_sql(", counters AS (SELECT w, count(*) FILTER (WHERE tcp_flags & 2 <> 0) AS syn, count(*) FILTER (WHERE proto = 6) AS tcp FROM packets GROUP BY w) SELECT w, CASE WHEN syn > 0.34 * tcp THEN 'rule' ELSE 'no rule' END AS by_rule, true AS follows FROM counters WHERE w IN (SELECT w FROM rows)"))
 def ml_hybrid_decision(spark, sf):
     """The decision of each day: CRITICAL and HIGH where the rule fires, ANOMALY where only the model finds an attack of
     enough confidence. ``follows``: the decision tells the model's finding as well."""
-    model = predictions(spark, sf).groupBy(c("day").alias("w")).agg(F.bool_or("attack").alias("model"))
+    model = row_predictions(spark, sf).groupBy(c("day").alias("w")).agg(F.bool_or("attack").alias("model"))
     rows = daily(spark, sf).join(model, "w").select("w", "model", M.hybrid_decision(c("syn") > 0.34 * c("tcp"), c("model")).alias("decision"))
     return rows.select("w", F.when(c("decision").isin("CRITICAL", "HIGH"), "rule").otherwise("no rule").alias("by_rule"), (c("decision").isin("CRITICAL", "ANOMALY") == c("model")).alias("follows"))
 
