@@ -53,7 +53,7 @@ def few_days(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "per"), [("ml_confidence_gate", "pkt_id")])
+@pytest.mark.parametrize(("name", "per"), [("ml_confidence_gate", "pkt_id"), ("ml_hybrid_decision", "w")])
 def test_every_packet_and_day_is_decided(spark, few_days, name, per):
     import duckdb
 

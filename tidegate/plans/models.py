@@ -199,20 +199,11 @@ def ml_confidence_gate(spark, sf):
     return predictions(spark, sf).select("pkt_id", "predicted", F.round("confidence", 6).alias("confidence"), "attack")
 
 
-def row_predictions(spark, sf):
-    """All rows of the model with the class and confidence that a tree gives them, which learned from a part of them."""
-    rows = model_rows(spark, sf)
-    model = M.train_multiclass(rows.where("split = 'train'"), "label", M.FEATURES, kind="tree", labels=rows)
-    return M.score_multiclass(model, rows, "label").withColumn("attack", M.gated(c("predicted"), c("confidence")))
-
-
-@query("ml_hybrid_decision", rows_sql(", counters AS (SELECT w, count(*) FILTER (WHERE tcp_flags & 2 <> 0) AS syn, count(*) FILTER (WHERE proto = 6) AS tcp FROM packets GROUP BY w) SELECT w, CASE WHEN syn > 0.34 * tcp THEN 'rule' ELSE 'no rule' END AS by_rule, true AS follows FROM counters WHERE w IN (SELECT w FROM rows)"))
+@query("ml_hybrid_decision", gate_sql("SELECT w, CASE WHEN syn > 0.34 * tcp AND passed * 20 > packets * 3 THEN 'CRITICAL' WHEN syn > 0.34 * tcp THEN 'HIGH' WHEN passed * 20 > packets * 3 THEN 'ANOMALY' ELSE 'NONE' END AS decision FROM counters JOIN (SELECT w, count(*) FILTER (WHERE attack) AS passed FROM gate GROUP BY w) g USING (w)", "counters"))
 def ml_hybrid_decision(spark, sf):
-    """The decision of each day: CRITICAL and HIGH where the rule fires, ANOMALY where only the model finds an attack of
-    enough confidence. ``follows``: the decision tells the model's finding as well."""
-    model = row_predictions(spark, sf).groupBy(c("day").alias("w")).agg(F.bool_or("attack").alias("model"))
-    rows = daily(spark, sf).join(model, "w").select("w", "model", M.hybrid_decision(c("syn") > 0.34 * c("tcp"), c("model")).alias("decision"))
-    return rows.select("w", F.when(c("decision").isin("CRITICAL", "HIGH"), "rule").otherwise("no rule").alias("by_rule"), (c("decision").isin("CRITICAL", "ANOMALY") == c("model")).alias("follows"))
+    """The decision of every day: the rule on SYN packets, and the model where more than 15 % of the packets pass its gate."""
+    model = predictions(spark, sf).groupBy("w").agg((T.count_where(c("attack")) * 20 > F.count("*") * 3).alias("model"))
+    return daily(spark, sf).join(model, "w").select("w", M.hybrid_decision(c("syn") > 0.34 * c("tcp"), c("model")).alias("decision"))
 
 
 class BrokenModel:
