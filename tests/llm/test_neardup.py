@@ -219,3 +219,43 @@ def test_bags_leave_no_similar_pair_out(spark, monkeypatch):
         monkeypatch.setattr(neardup, "MOST_WORDS", most)
         got = {(r["a"], r["b"]) for r in neardup.near_bags(spark.createDataFrame(pairs, "a long, b long"), df).collect()}
         assert similar <= got and (len(got) < 0.9 * len(pairs) if most else len(got) == len(pairs))
+
+
+def test_pieces_in_reach(spark):
+    """No similar pair is left out, and a piece that is moved farther than its number among the pieces allows does not meet."""
+    rng = random.Random(12)
+    rows, ok = [], []
+    for i in range(300):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(2, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.randint(0, 40)] * rng.randint(0, 1)
+        a, b = (np.array(v, np.uint64) for v in sorted((a, b), key=len, reverse=True))
+        if len(b) and neardup.similarity(a, b) > 0:
+            *keys, meet = neardup.key_pieces(a, rng.choice((np.zeros(2 * neardup.SLOTS, np.int64), np.random.default_rng(i).integers(0, 9, 2 * neardup.SLOTS))))
+            ok.append(i)
+            for which, found, words in (("x", neardup.ranges(*keys), len(a)), ("y", neardup.ranges(*neardup.all_pieces(b)[:2]), len(b))):
+                rows += [(which, i, words, meet, int(r[0].view(np.int64)), *map(int, r[1:])) for r in zip(*found, strict=True)]
+    assert len(ok) > 100
+    df = spark.createDataFrame(rows, "which string, id long, words int, meet int, code long, first int, last int, times int, first_number int, last_number int")
+    x, y = df.where("which = 'x'").alias("x"), df.where("which = 'y'").alias("y")
+    met = x.join(y, (neardup.F.col("x.id") == neardup.F.col("y.id")) & (neardup.F.col("x.code") == neardup.F.col("y.code")) & neardup.in_reach("x", "y", 0.8))
+    got = {r["id"] for r in met.groupBy("x.id").agg(neardup.F.sum("x.times").alias("n"), neardup.F.first("x.meet").alias("meet")).where("n >= meet").collect()}
+    assert got == set(ok)
+    # One hundred words, so 20 edits: the second of 22 pieces may be moved by one place, not by five.
+    schema = "words int, meet int, first int, last int, first_number int, last_number int"
+    one = spark.createDataFrame([(100, 2, 8, 8, 2, 2)], schema).alias("x").crossJoin(spark.createDataFrame([(100, 2, q, q, 1, 1) for q in (3, 7, 8, 9, 13)], schema).alias("y"))
+    assert {r["first"] for r in one.where(neardup.in_reach("x", "y", 0.8)).select("y.first").collect()} == {7, 8, 9}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_only_rows_that_may_be_wanted_move(spark, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "MARK_BITS", bits)
+    rows = spark.range(2000).selectExpr("id", "xxhash64(id) AS mark")
+    got = neardup.by_mark(rows, "mark", rows.where("id % 100 = 0").select("mark"))
+    may = {r["id"] for r in got.where("_may").collect()}
+    assert got.count() == 2000 and set(range(0, 2000, 100)) <= may and len(may) < (30 if bits > 64 else 1000)
+    assert not neardup.by_mark(rows, "mark", rows.limit(0).select("mark")).where("_may").count()
+    if bits == 64:
+        test_keys_that_repeat_or_miss(spark)

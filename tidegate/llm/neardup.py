@@ -46,6 +46,8 @@ SLOTS = 1 << 16
 MEET = 2
 #: Words of texts, as four-byte hashes, that may be broadcast to compare bags of words (16 MB), by their counted number.
 MOST_WORDS = 4_000_000
+#: Bits of the table by which rows are told apart before their texts move; in words of 64, so that it may be broadcast at any size.
+MARK_BITS = 1 << 23
 #: Pairs that meet one copy of a text in a task.
 PAIRS_A_TEXT = 256
 
@@ -285,10 +287,25 @@ def word_rows(texts: pa.Array) -> list[np.ndarray]:
     return [h[at[i] : at[i + 1]] for i in range(len(texts))]
 
 
+def by_mark(rows: DataFrame, mark: str, marks: DataFrame) -> DataFrame:
+    """``rows`` with _may: whether the hash in column ``mark`` may be among ``marks`` (one column); true for all that are.
+
+    Where there are many marks it is true for others too, so an exact join must follow; but only such rows need move.
+    """
+    spot = lambda m: F.pmod(m, F.lit(MARK_BITS))
+    bit = lambda m: (spot(m) % 64).cast("int")
+    word = lambda m: F.floor(spot(m) / 64).cast("int")
+    m = F.col(marks.columns[0])
+    table = marks.select(word(m).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(m)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    told = rows.withColumn("_word", word(F.col(mark))).join(F.broadcast(table), "_word", "left")
+    return told.withColumn("_may", F.coalesce(F.getbit("_bits", bit(F.col(mark))) == 1, F.lit(False))).drop("_word", "_bits")
+
+
 def texts_of(ids: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """id and text for each of the ids."""
     told = texts.select("id", F.col("rep.key").alias("k"), F.col("rep.mark").alias("m")).join(ids, "id", "left_semi")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    rows = by_mark(rows, "mark", told.select("m")).where("_may").drop("_may")
     # Spark broadcasts the ids only if it measures them to be few. Rows that repeat are alike; one of them is taken.
     found = rows.join(told, (F.col("mark") == F.col("m")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
     return found.groupBy("id").agg(F.min("text").alias("text"))
@@ -422,13 +439,33 @@ def all_pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate((one, two)), np.concatenate((np.arange(len(one)), np.arange(len(two)))), 1
 
 
-def ranges(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each different code with its first and its last place and how often it stands."""
+def ranges(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each different code with its first and its last place, how often it stands, and the numbers of the first and the last by place (from 1)."""
+    number = np.empty(len(place), np.int64)
+    number[np.argsort(place, kind="stable")] = np.arange(1, len(place) + 1)
     order = np.lexsort((place, code))
-    code, place = code[order], place[order]
+    code, place, number = code[order], place[order], number[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
     end = np.append(first[1:], len(code)).astype(np.int64)[: len(first)]
-    return code[first], place[first], place[end - 1], end - first
+    return code[first], place[first], place[end - 1], end - first, number[first], number[end - 1]
+
+
+def in_reach(x: str, y: str, least: float):
+    """Whether pieces of the longer text ``x`` may stand in ``y`` where an alignment of at most d edits needs them.
+
+    Of d + m disjoint pieces, numbered by place, and for each j from 1 to m, take the least k with at most k - j edits
+    up to the end of piece k: this piece is unspoiled, with just k - j edits before it and at most d - k + j behind.
+    These are m different pieces, and such a piece is moved by at most k - 1 places seen from the begin of the texts and
+    d - k + m seen from their end; both together by at most d. Codes that repeat are taken by their outermost places.
+    """
+    v = lambda name: F.col(name).cast("long")
+    most = F.floor(v(f"{x}.words") * (1 - least) + 1e-9)
+    longer = v(f"{x}.words") - v(f"{y}.words")
+    before, behind = v(f"{x}.last_number") - 1, most - v(f"{x}.first_number") + v(f"{x}.meet")
+    slack = F.floor((most - longer) / 2)
+    low = F.greatest(v(f"{x}.first") - v(f"{y}.last"), -before, longer - behind, -slack)
+    high = F.least(v(f"{x}.last") - v(f"{y}.first"), before, longer + behind, longer + slack)
+    return (longer >= 0) & (longer <= most) & (low <= high)
 
 
 def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
@@ -464,17 +501,15 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
                     meet = pa.array(np.repeat([x[2] for x in taken], size), pa.int32())
                     own = [pa.array(np.repeat(b.column(i).to_numpy(), size)) for i in (0, 1)]
                     words = pa.array(np.repeat([len(h) for h in rows], size), pa.int32())
-                    code, *spots = (np.concatenate([x[i] for x in found]) for i in range(4))
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, words, *[pa.array(x, pa.int32()) for x in spots], meet], ["code", "id", "class", "words", "first", "last", "times", "meet"])
+                    code, *spots = (np.concatenate([x[i] for x in found]) for i in range(6))
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, words, *[pa.array(x, pa.int32()) for x in spots], meet], ["code", "id", "class", "words", "first", "last", "times", "first_number", "last_number", "meet"])
 
         return run
 
-    schema = "code long, id long, class long, words int, first int, last int, times int, meet int"
+    schema = "code long, id long, class long, words int, first int, last int, times int, first_number int, last_number int, meet int"
     source = whole.select("id", "class", "text")
-    keys, stand = source.mapInArrow(emit("keys"), schema).alias("x"), source.mapInArrow(emit("all"), schema).alias("y")
-    off = F.floor(F.col("x.words") * (1 - least) + 1e-9)
-    near = (F.col("x.first") - F.col("y.last") <= off) & (F.col("y.first") - F.col("x.last") <= off)
-    met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.words") <= F.col("x.words")) & (F.col("x.words") - F.col("y.words") <= off) & near)
+    keys, stand = source.mapInArrow(emit("keys"), schema).alias("x"), source.mapInArrow(emit("all"), schema).select("code", "id", "class", "words", "first", "last").alias("y")
+    met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & in_reach("x", "y", least))
     enough = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.sum("x.times").alias("met"), F.first("x.meet").alias("meet")).where("met >= meet")
     pairs = materialise(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-met")
     return near_bags(pairs, whole, least)
@@ -574,14 +609,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of near duplicates: that of the least key, or without any key that of the least hash.
 
-    Texts without words all stay. Only rows that go, or that repeat, meet ``docs`` in a join.
+    Texts without words all stay. Only rows that go, or that repeat, meet ``docs`` in a join, and only rows that may be among them move.
     """
     seen = materialise(classify(docs, key, text, **options).select("key", "mark", "class", "stays"), "neardup-decisions")
     gone = seen.where(~F.col("stays")).select("key", "mark").distinct()
     twice = seen.where(F.col("stays") & F.col("class").isNotNull()).groupBy("key", "mark").count().where("count > 1").select("key", "mark")
     told = materialise(gone.withColumn("repeats", F.lit(False)).union(twice.withColumn("repeats", F.lit(True))).select(F.col("key").alias("_k"), F.col("mark").alias("_m"), F.col("repeats").alias("_repeats")), "neardup-gone")
     same = F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_m"))
-    kept = docs.join(told, same, "left_anti")
+    parted = by_mark(docs.withColumn("_mark", F.xxhash64(F.col(text))), "_mark", told.select("_m"))
+    kept = parted.where(~F.col("_may")).select(*docs.columns).union(parted.where("_may").select(*docs.columns).join(told, same, "left_anti"))
     again = told.where("_repeats")
     if again.isEmpty():
         return kept
