@@ -259,3 +259,33 @@ def test_only_rows_that_may_be_wanted_move(spark, monkeypatch, bits):
     assert not neardup.by_mark(rows, "mark", rows.limit(0).select("mark")).where("_may").count()
     if bits == 64:
         test_keys_that_repeat_or_miss(spark)
+
+
+def test_texts_that_share_a_heavy_piece_meet_with_their_bags(spark, monkeypatch):
+    """A pair of words that many texts repeat brings together only those that may be similar, and all of these."""
+    monkeypatch.setattr(neardup, "HEAVY_MEETINGS", 500, raising=False)
+    monkeypatch.setattr(neardup, "KEYS_A_COPY", 16, raising=False)
+    monkeypatch.setattr(neardup, "texts_of", lambda ids, texts, *_: texts)
+    monkeypatch.setattr(neardup, "near_bags", lambda pairs, *_: pairs)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    texts = [rng.sample(words, 40) + ["a", "b"] * 60 for _ in range(60)]
+    for t in texts[:12]:
+        other = t[:]
+        for at in rng.sample(range(40), 20):
+            other[at] = rng.choice(words)
+        texts.append(other)
+    texts += [rng.sample(words, 400) for _ in range(200)]  # so that single words are dearer than the pair
+    df = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "id long, class long, text string")
+    got = {(r["a"], r["b"]) for r in neardup.segment_pairs(df.select("id", "class"), df.select("id", "text"), df, "id", "text").collect()}
+    rows = neardup.word_rows(pa.array([" ".join(t) for t in texts]))
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.similarity(rows[i], rows[j]) > 0}
+    assert len(similar) >= 12 and similar <= got and len(got) < 100  # 2,556 pairs repeat the two words
+
+
+def test_numbered_words_never_count_too_little():
+    rng = random.Random(14)
+    for _ in range(200):
+        x, y = (np.array([rng.randint(0, 9) << 32 for _ in range(rng.randint(1, 40))], np.uint64) for _ in range(2))
+        a, b = neardup.numbered_words(x), neardup.numbered_words(y)
+        assert len(np.intersect1d(a, b)) + len(x) - len(a) >= neardup.common_words(x, y)

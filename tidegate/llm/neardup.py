@@ -44,6 +44,10 @@ LEAST_HASHES = 16
 SLOTS = 1 << 16
 #: Key pieces that a similar text must hold; more spare comparisons and cost rows.
 MEET = 2
+#: A key piece of so many meetings is heavy: texts meet by it with their bags of words. There are at most HEAVY_CODES of them, a bit each.
+HEAVY_MEETINGS, HEAVY_CODES = 10_000, 62
+#: Texts with a heavy key piece that meet one copy of the texts that hold it.
+KEYS_A_COPY = 64
 #: Words of texts, as four-byte hashes, that may be broadcast to compare bags of words (16 MB), by their counted number.
 MOST_WORDS = 4_000_000
 #: Bits of the table by which rows are told apart before their texts move; in words of 64, so that it may be broadcast at any size.
@@ -488,6 +492,8 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
     common = np.zeros(2 * SLOTS, np.int64)
     common[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_pieces(whole, shared, least))
+    taken = {"keys": lambda h: key_pieces(h, shared.value, least), "all": all_pieces}
 
     def emit(which: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,26 +501,90 @@ def segment_pairs(left: DataFrame, texts: DataFrame, docs: DataFrame, key: str,
                 for lo in range(0, batch.num_rows, 32):
                     b = batch.slice(lo, 32)
                     rows = word_rows(b.column(2))
-                    taken = [key_pieces(h, shared.value, least) if which == "keys" else all_pieces(h) for h in rows]
-                    found = [ranges(*x[:2]) for x in taken]
+                    chosen = [taken[which](h) for h in rows]
+                    held = [held_bits(x[0], heavy.value) for x in chosen]
+                    # Heavy pieces go; the others keep their numbers.
+                    found = [tuple(v[~np.isin(r[0], heavy.value[0])] for v in r) for r in (ranges(*x[:2]) for x in chosen)]
                     size = [len(x[0]) for x in found]
-                    meet = pa.array(np.repeat([x[2] for x in taken], size), pa.int32())
+                    meet = pa.array(np.repeat([x[2] for x in chosen], size), pa.int32())
                     own = [pa.array(np.repeat(b.column(i).to_numpy(), size)) for i in (0, 1)]
                     words = pa.array(np.repeat([len(h) for h in rows], size), pa.int32())
                     code, *spots = (np.concatenate([x[i] for x in found]) for i in range(6))
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, words, *[pa.array(x, pa.int32()) for x in spots], meet], ["code", "id", "class", "words", "first", "last", "times", "first_number", "last_number", "meet"])
+                    bits = pa.array(np.repeat(np.array(held, np.int64), size))
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *own, words, *[pa.array(x, pa.int32()) for x in spots], meet, bits], ["code", "id", "class", "words", "first", "last", "times", "first_number", "last_number", "meet", "heavy"])
 
         return run
 
-    schema = "code long, id long, class long, words int, first int, last int, times int, first_number int, last_number int, meet int"
+    schema = "code long, id long, class long, words int, first int, last int, times int, first_number int, last_number int, meet int, heavy long"
     source = whole.select("id", "class", "text")
-    keys, stand = source.mapInArrow(emit("keys"), schema).alias("x"), source.mapInArrow(emit("all"), schema).select("code", "id", "class", "words", "first", "last").alias("y")
-    met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & in_reach("x", "y", least))
-    enough = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.sum("x.times").alias("met"), F.first("x.meet").alias("meet")).where("met >= meet")
+    keys, stand = source.mapInArrow(emit("keys"), schema).alias("x"), source.mapInArrow(emit("all"), schema).select("code", "id", "class", "words", "first", "last", "heavy").alias("y")
+    met = keys.join(stand, (F.col("x.code") == F.col("y.code")) & (F.col("x.class") != F.col("y.class")) & (F.col("x.heavy").bitwiseAND(F.col("y.heavy")) == 0) & in_reach("x", "y", least))
+    enough = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.sum("x.times").alias("met"), F.first("x.meet").alias("meet")).where("met >= meet").select("x", "y")
+    if len(heavy.value[0]):
+        enough = enough.union(heavy_pairs(source, taken, heavy, least))
     pairs = materialise(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-met")
     return near_bags(pairs, whole, least)
 
 
+def heavy_pieces(whole: DataFrame, shared, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the key pieces of most meetings, by number of bit, and in how many parts the texts with such a key are dealt."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = np.concatenate([np.zeros(0, np.uint64), *[np.unique(key_pieces(h, shared.value, least)[0]) for h in word_rows(b.column(0))]])
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(shared.value[slots(code)].min(0))], ["code", "common"])
+
+    counted = whole.select("text").mapInArrow(count, "code long, common long").groupBy("code").agg(F.count("*").alias("n"), F.max("common").alias("common"))
+    most = counted.where(F.col("n") * F.col("common") >= HEAVY_MEETINGS).orderBy(F.desc(F.col("n") * F.col("common")), "code").limit(HEAVY_CODES).collect()
+    return np.array([r["code"] for r in most], np.int64).view(np.uint64), np.array([-(-r["n"] // KEYS_A_COPY) for r in most], np.int32)
+
+
+def held_bits(code: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> int:
+    """The bits of the heavy codes that are among a text's."""
+    return sum(1 << int(i) for i in np.flatnonzero(np.isin(heavy[0], code)))
+
+
+def numbered_words(h: np.ndarray) -> np.ndarray:
+    """A four-byte hash for each word with its occurrence number, each once, in text order."""
+    seen = (occurrence_labels(h, np.zeros(len(h), np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return seen[np.sort(np.unique(seen, return_index=True)[1])]
+
+
+def heavy_pairs(source: DataFrame, taken: dict, heavy, least: float) -> DataFrame:
+    """Pairs (x, y) of texts of different classes that have a heavy piece in common, a key of the longer one, and enough words for the similarity.
+
+    Whoever shares a heavy piece meets here only, whatever else they share: once, by the first of these pieces, and with
+    the bags of words in the condition of the join, so that no row comes out for texts that have the piece alone in
+    common. Of words that fall on one hash one is kept, which may only let more pairs through.
+    """
+
+    def emit(which: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, parts = heavy.value
+            for batch in batches:
+                for b in (batch.slice(lo, 32) for lo in range(0, batch.num_rows, 32)):
+                    out = []
+                    for key, own, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_rows(b.column(2)), strict=True):
+                        held = held_bits(taken[which](h)[0], heavy.value)
+                        bag = numbered_words(h) if held else None
+                        out += [(i, int(parts[i]), key, own, len(h), held, bag) for i in range(len(codes)) if held >> i & 1]
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["bit", "parts", "id", "class", "words", "heavy", "bag"])
+
+        return run
+
+    schema = "bit int, parts int, id long, class long, words int, heavy long, bag array<int>"
+    x = source.mapInArrow(emit("keys"), schema).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
+    y = source.mapInArrow(emit("all"), schema).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    both = F.col("x.heavy").bitwiseAND(F.col("y.heavy"))
+    first = both.bitwiseAND(-both) == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit"))
+    most = F.floor(F.col("x.words") * (1 - least) + 1e-9)
+    longer = F.col("x.words") - F.col("y.words")
+    alike = F.size(F.array_intersect("x.bag", "y.bag")) >= F.size("x.bag") - most
+    met = x.join(y, (F.col("x.bit") == F.col("y.bit")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.class") != F.col("y.class")) & (longer >= 0) & (longer <= most) & first & alike)
+    return met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+
+
 def near_bags(pairs: DataFrame, whole: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that have enough words in common for the similarity; no similar pair is left out. ``whole``: id and text.
 
