@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.sources.packages import ship
-from tidegate.sources.storage import discard, materialise, scratch, shared_dir
+from tidegate.sources.storage import discard, materialise, release, scratch, shared_dir
 from tidegate.sources.tables import table
 
-__all__ = ["BATCH_ROWS", "discard", "let", "lookup", "materialise", "scratch", "shared_dir", "ship", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "discard", "let", "lookup", "materialise", "release", "scratch", "shared_dir", "ship", "small_batches", "table"]
 
 #: Rows in an Arrow batch sent to Python. Small, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 256

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import textarrays as ta
-from tidegate.llm.base import discard, lookup, materialise, small_batches, table
+from tidegate.llm.base import discard, lookup, materialise, release, small_batches, table
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 80, 2
@@ -363,6 +363,7 @@ def classes(links: DataFrame, name: str = "classes", most_rounds: int = 60) -> D
         small = lookup(large, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         old, edges = edges, materialise(small, name)
         discard(old, large)
+        release(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -624,6 +625,7 @@ def settled_classes(shared: DataFrame, members: DataFrame, texts: DataFrame, doc
     links = verify(done, texts, docs, key, text, least)
     named = classes(links, "neardup-classes")
     for step in ("hubs", "segments"):
+        release(docs.sparkSession)
         left = unsettled(members, named)
         if left.isEmpty():
             break
@@ -653,6 +655,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     members = large_members(shared, sketched)
     texts = materialise(sketched.drop("buckets"), "neardup-ids")
     discard(sketched)
+    release(docs.sparkSession)
     named = settled_classes(shared, members, texts, docs, key, text, least)
     placed = texts.select("same", "n", "rep", "id").join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     placed = materialise(placed, "neardup-placed")
