@@ -45,7 +45,7 @@ SLOTS = 1 << 16
 #: Key pieces that a similar text must hold; more spare comparisons and cost rows.
 MEET = 2
 #: A key piece of so many meetings is heavy: texts meet by it with their bags of words. There are at most HEAVY_CODES of them, a bit each.
-HEAVY_MEETINGS, HEAVY_CODES = 10_000, 62
+HEAVY_MEETINGS, HEAVY_CODES = 300_000, 62
 #: Texts with a heavy key piece that meet one copy of the texts that hold it.
 KEYS_A_COPY = 64
 #: Words of texts, as four-byte hashes, that may be broadcast to compare bags of words (16 MB), by their counted number.
